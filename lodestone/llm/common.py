@@ -12,7 +12,6 @@ Conventions of the subpackage
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -20,16 +19,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-LOWER_TABLE = str.maketrans(UPPER, UPPER.lower())
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: Rows of a batch that are Python objects at a time.
+ROWS = 1000
+BLANKS = r"[\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.translate(LOWER_TABLE)) if text else []
+def words_of(text: str | None) -> list[bytes]:
+    """The words of a text in UTF-8: on bytes, lower() changes A-Z only and split() cuts at the six blanks."""
+    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
 def lower_ascii(text: Column) -> Column:
@@ -38,7 +39,7 @@ def lower_ascii(text: Column) -> Column:
 
 def word_array(text: Column) -> Column:
     """The words of a text as an array; null and blank texts give an empty one."""
-    return F.filter(F.split(lower_ascii(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), BLANKS), "")
 
 
 def fold(doc_id: Column, parts: int) -> Column:
@@ -46,14 +47,15 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(parts))
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: str) -> DataFrame:
-    """``fn`` on each Arrow batch of ``df``; narrow, one batch in memory at a time."""
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+    """``fn`` on the rows of ``df``, ``ROWS`` of an Arrow batch at a time; narrow, in bounded memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = fn(batch)
-            if out is not None and out.num_rows:
-                yield from out.to_batches() if isinstance(out, pa.Table) else (out,)
+            for at in range(0, batch.num_rows, ROWS):
+                out = fn(batch.slice(at, ROWS))
+                if out.num_rows:
+                    yield out
 
     return df.mapInArrow(run, schema)
 

@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestone.llm.decontamination import op4_decontamination
+from lodestone.llm.html_main_text import op1_main_text
+from lodestone.llm.near_duplicates import op6_near_duplicates
 from lodestone.llm.sentence_pieces import op9_sentence_pieces
 from lodestone.llm.token_counts import op3_token_counts
+from lodestone.llm.toxicity import op10_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_main_text": op1_main_text,
     "op3_token_counts": op3_token_counts,
+    "op4_decontamination": op4_decontamination,
+    "op6_near_duplicates": op6_near_duplicates,
     "op9_sentence_pieces": op9_sentence_pieces,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
