@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.decontamination import op4_decontamination
 from lodestone.llm.html_main_text import op1_main_text
+from lodestone.llm.line_dedup import op5_line_dedup
 from lodestone.llm.near_duplicates import op6_near_duplicates
 from lodestone.llm.sentence_pieces import op9_sentence_pieces
 from lodestone.llm.token_counts import op3_token_counts
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_main_text": op1_main_text,
     "op3_token_counts": op3_token_counts,
     "op4_decontamination": op4_decontamination,
+    "op5_line_dedup": op5_line_dedup,
     "op6_near_duplicates": op6_near_duplicates,
     "op9_sentence_pieces": op9_sentence_pieces,
     "op10_toxicity": op10_toxicity,
