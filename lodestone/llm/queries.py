@@ -8,18 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.decontamination import op4_decontamination
 from lodestone.llm.html_main_text import op1_main_text
+from lodestone.llm.language_id import op7_language_id
+from lodestone.llm.language_model import op8_language_model
 from lodestone.llm.line_dedup import op5_line_dedup
 from lodestone.llm.near_duplicates import op6_near_duplicates
 from lodestone.llm.sentence_pieces import op9_sentence_pieces
 from lodestone.llm.token_counts import op3_token_counts
 from lodestone.llm.toxicity import op10_toxicity
+from lodestone.llm.vector_search import op2_vector_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_main_text": op1_main_text,
+    "op2_vector_search": op2_vector_search,
     "op3_token_counts": op3_token_counts,
     "op4_decontamination": op4_decontamination,
     "op5_line_dedup": op5_line_dedup,
     "op6_near_duplicates": op6_near_duplicates,
+    "op7_language_id": op7_language_id,
+    "op8_language_model": op8_language_model,
     "op9_sentence_pieces": op9_sentence_pieces,
     "op10_toxicity": op10_toxicity,
 }
