@@ -167,7 +167,7 @@ def search(vectors: DataFrame, is_query, k: int = K, target: float = TARGET) ->
     rows = usable(vectors.select("vec_id", "embedding"))
     n = rows.count()
     draw = F.pmod(F.xxhash64(F.lit("tree"), "vec_id"), F.lit(1_000_000)) < int(min(1.0, SAMPLE / max(n, 1)) * 1_000_000)
-    sample = rows.filter(draw).select("v").toPandas()
+    sample = rows.filter(draw).select("v").toArrow().to_pandas()
     tree = Tree(_matrix(sample["v"]) if len(sample) else np.zeros((0, 1)))
     shared = spark.sparkContext.broadcast(tree)
 
