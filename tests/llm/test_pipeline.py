@@ -19,7 +19,7 @@ def folder(spark, tmp_path_factory):
     item, base, line = words(30), words(90), words(60)
     texts = {i: words(60) for i in range(1, 41)}
     texts |= {i: f"{words(20)} you idiot and moron. {words(20)}" for i in range(100, 160)}
-    texts |= {200: base, 201: base + " more", 210: f"{words(20)} {item} {words(20)}", 220: f"{words(9)}\n{line}", 221: f"{words(9)}\n{line}", 230: None, 231: ""}
+    texts |= {200: "\n".join(" ".join(base.split()[i : i + 9]) for i in range(0, 90, 9)), 201: base, 210: f"{words(20)} {item} {words(20)}", 220: f"{words(9)}\n{line}", 221: f"{words(9)}\n{line}", 230: None, 231: ""}
     rows = [(i, t, "en", "s", len(t or "")) for i, t in texts.items()]
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
