@@ -167,7 +167,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, width: int = WIDTH) -
     def vector(texts: pd.Series) -> pd.Series:
         return pd.Series([v.astype(np.float32) if v.any() else None for run in pieces(list(texts)) for v in histograms(run, width)])
 
-    rows = known.filter(wanted).select("lang", vector("text").alias("v")).filter("v is not null").orderBy("lang").toPandas()
+    rows = known.filter(wanted).select("lang", vector("text").alias("v")).filter("v is not null").orderBy("lang").toArrow().to_pandas()
     if not len(rows):
         return Hierarchy(np.zeros((0, width)), [], width)
     return Hierarchy(np.stack(rows["v"].to_numpy()), rows["lang"].tolist(), width)
