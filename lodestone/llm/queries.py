@@ -30,4 +30,45 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = "list_filter(regexp_split_to_array(" + _LOWER + r", '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+#: The others learn, search approximately, or decode: the tests hold them against brute force, an exact
+#: round trip or held-out texts.
+ORACLE_SQL: dict[str, str] = {
+    "op5_line_dedup": f"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10)))))::INT AS line_no FROM documents
+), sets AS (
+  SELECT doc_id, line_no, list_sort(list_distinct({_WORDS.format("line")})) AS ws FROM lines
+), firsts AS (
+  SELECT ws, min({{'d': doc_id, 'l': line_no}}) AS spot FROM sets WHERE len(ws) > 0 GROUP BY 1
+), words AS (
+  SELECT spot, len(ws) AS n, unnest(ws) AS w FROM firsts
+), pairs AS (
+  SELECT y.spot AS b, x.spot AS a, count(*) / (any_value(x.n) + any_value(y.n) - count(*)) AS similarity
+  FROM words x JOIN words y ON x.w = y.w AND x.spot < y.spot AND 5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)
+  GROUP BY 1, 2 HAVING 9 * count(*) >= 4 * (any_value(x.n) + any_value(y.n))
+), earliest AS (
+  SELECT ws, coalesce(e.a, f.spot) AS a, coalesce(e.similarity, 1.0::DOUBLE) AS similarity
+  FROM firsts f LEFT JOIN (SELECT b, min({{'a': a, 'similarity': similarity}}) AS e FROM pairs GROUP BY 1) ON b = f.spot
+)
+SELECT doc_id, line_no, a.d AS first_doc, a.l AS first_line, similarity FROM sets JOIN earliest USING (ws) WHERE NOT (doc_id = a.d AND line_no = a.l)""",
+    "op6_near_duplicates": f"""
+WITH RECURSIVE sets AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) END AS sh
+  FROM (SELECT doc_id, {_WORDS.format("text")} AS ws FROM documents)
+), shingles AS (
+  SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM sets
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.x = b.x AND a.doc_id < b.doc_id
+  GROUP BY 1, 2 HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))
+), ends AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT doc_id AS node, doc_id AS least FROM documents
+  UNION SELECT ends.b, reach.least FROM reach JOIN ends ON ends.a = reach.node WHERE reach.least < ends.b
+)
+SELECT doc_id, len(any_value(sh)) AS n_shingles, min(least) AS component_id, doc_id = min(least) AS kept FROM sets JOIN reach ON doc_id = node GROUP BY doc_id""",
+}
