@@ -31,7 +31,7 @@ def vector_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, block: int =
     found = None
     for part in range(parts):
         mine = queries if parts == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
-        rows = mine.toPandas()
+        rows = mine.toArrow().to_pandas()
         shared = spark.sparkContext.broadcast((rows["query_id"].to_numpy(), _unit(rows["embedding"]) if len(rows) else None))
 
         def compare(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:

@@ -1,0 +1,5 @@
+"""Nothing here keeps state over time, so there are no streaming operators.
+
+Cleaning, sectioning and token counts are narrow, one page at a time, and take a streaming DataFrame as
+they are: ``parse_sections(stream)`` can be written with ``writeStream``.
+"""
