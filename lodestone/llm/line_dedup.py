@@ -1,6 +1,6 @@
 """Line deduplication by an exact set similarity join, in DataFrame functions only.
 
-A line is the set of its words.  A line goes if an earlier one (by doc_id, then place) has a Jaccard
+A line is the set of its words in lower case.  A line goes if an earlier one (by doc_id, then place) has a Jaccard
 similarity of 4/5 or more; of equal lines the first stays.  Lines without words always stay.
 
 1. Lines with equal text are one class; its first line stands for it.
@@ -9,9 +9,10 @@ similarity of 4/5 or more; of equal lines the first stays.  Lines without words
    makes it fast.
 3. Two sets can only be similar if they share a word of their prefixes (the first n - ceil(4n/5) + 1
    words), so prefixes are joined by word.  In the join a pair must also pass the length filter, the
-   positional filter (what can still be common after the shared word) and a parity sketch: the bits in
-   which the sketches of two sets differ are no more than the words in which the sets differ.
-4. What is left is verified on the words themselves.
+   positional filter (what can still be common after the shared word) and a parity sketch of 128 bits: the
+   bits in which the sketches of two sets differ are no more than the words in which the sets differ.
+4. What is left is verified on the whole word sets, by 64-bit hashes of the words; first the earliest
+   candidate of each line, then the others of the lines that it didn't settle.
 
 Null and empty texts have no lines; rows with the same doc_id count as one document.
 """
@@ -31,7 +32,7 @@ MAX_BROADCAST = 2_000_000
 
 def rarity_levels(docs: DataFrame, buckets: int = BUCKETS) -> Column:
     """An array with the level of each bucket, as one constant: its size is fixed."""
-    words = docs.select(F.explode(word_array(F.col("text"))).alias("word"))
+    words = docs.select(F.explode(word_array(F.col("text"), F.lower)).alias("word"))
     counts = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(buckets)).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     levels = ["0"] * buckets
     for r in counts.select("bucket", F.least(F.lit(255), F.round(8 * F.log2(F.col("n") + 1))).cast("int").alias("level")).collect():
@@ -46,23 +47,26 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 def line_classes(docs: DataFrame, levels: Column | None = None, buckets: int = BUCKETS) -> DataFrame:
     """text_key, doc_id, line_no (of the first line of the class) and, with levels: n, sketch, prefix."""
-    lines = lines_of(docs).filter(F.trim(F.translate("line", "\t\n\x0b\f\r", "     ")) != "")
+    lines = lines_of(docs).filter(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
     first = F.min(F.struct("doc_id", "line_no")).alias("first")
     keyed = lines.select(F.xxhash64("line", F.length("line")).alias("text_key"), "doc_id", "line_no", "line")
     if levels is None:
         return keyed.groupBy("text_key").agg(first).select("text_key", "first.*")
-    hashes = F.transform(F.array_distinct(word_array(F.col("line"))), lambda w: F.xxhash64(w))
+    hashes = F.transform(F.array_distinct(word_array(F.col("line"), F.lower)), lambda w: F.xxhash64(w))
     level = lambda h: F.get(levels, F.pmod(h, F.lit(buckets)).cast("int")).cast("long")
     order = F.sort_array(F.transform(hashes, lambda h: F.shiftleft(level(h), 55).bitwiseOR(F.shiftrightunsigned(h, 9))))
-    sketch = F.expr("aggregate(ordered, 0L, (a, h) -> a ^ shiftleft(1L, cast(h & 63 as int)))")
+    half = "aggregate(ordered, 0L, (a, h) -> a ^ if((h & 64) = {}, shiftleft(1L, cast(h & 63 as int)), 0L))"
     n = F.size("ordered")
-    made = keyed.withColumn("ordered", order).select("text_key", "doc_id", "line_no", n.alias("n"), sketch.alias("sketch"), F.slice("ordered", 1, n - F.expr("(4 * size(ordered) + 4) div 5").cast("int") + 1).alias("prefix"))
-    return made.groupBy("text_key").agg(first, F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch"), F.any_value("prefix").alias("prefix")).select("text_key", "first.*", "n", "sketch", "prefix")
+    # words of the prefix by a shorter hash: words that share it by chance only cost a look
+    prefix = F.transform(F.slice("ordered", 1, n - F.expr("(4 * size(ordered) + 4) div 5").cast("int") + 1), lambda h: (h % (2**31 - 1)).cast("int"))
+    made = keyed.withColumn("ordered", order).select("text_key", "doc_id", "line_no", n.alias("n"), F.expr(half.format(0)).alias("low"), F.expr(half.format(64)).alias("high"), prefix.alias("prefix"))
+    own = ("n", "low", "high", "prefix")
+    return made.groupBy("text_key").agg(first, *(F.any_value(c).alias(c) for c in own)).select("text_key", "first.*", *own)
 
 
 def candidate_pairs(classes: DataFrame) -> DataFrame:
     """(a_doc, a_line, b_doc, b_line): pairs of classes, a first, that pass all filters."""
-    entries = classes.select("doc_id", "line_no", "n", "sketch", F.posexplode("prefix").alias("place", "word"))
+    entries = classes.select("doc_id", "line_no", "n", "low", "high", F.posexplode("prefix").alias("place", "word"))
     x, y = entries.alias("x"), entries.alias("y")
     most = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
     both = F.col("x.n") + F.col("y.n")
@@ -72,7 +76,7 @@ def candidate_pairs(classes: DataFrame) -> DataFrame:
         & ((F.col("x.doc_id") < F.col("y.doc_id")) | ((F.col("x.doc_id") == F.col("y.doc_id")) & (F.col("x.line_no") < F.col("y.line_no"))))
         & (5 * F.least("x.n", "y.n") >= 4 * F.greatest("x.n", "y.n"))
         & (9 * most >= 4 * both)
-        & (9 * F.bit_count(F.col("x.sketch").bitwiseXOR(F.col("y.sketch"))) <= both),
+        & (9 * (F.bit_count(F.col("x.low").bitwiseXOR(F.col("y.low"))) + F.bit_count(F.col("x.high").bitwiseXOR(F.col("y.high")))) <= both),
     )
     return joined.select(F.col("x.doc_id").alias("a_doc"), F.col("x.line_no").alias("a_line"), F.col("y.doc_id").alias("b_doc"), F.col("y.line_no").alias("b_line")).distinct()
 
@@ -86,8 +90,7 @@ def verified_pairs(docs: DataFrame, pairs: DataFrame, max_broadcast: int = MAX_B
         mine = docs.select("doc_id", "text").join(F.broadcast(ends.select("doc_id").distinct()), "doc_id", "left_semi")
     else:
         mine = docs.select("doc_id", "text")
-    words = lines_of(mine).join(wanted, ["doc_id", "line_no"]).dropDuplicates(["doc_id", "line_no"]).select("doc_id", "line_no", F.array_distinct(word_array(F.col("line"))).alias("words"))
-    words = cut_lineage(words)
+    words = lines_of(mine).join(wanted, ["doc_id", "line_no"]).dropDuplicates(["doc_id", "line_no"]).select("doc_id", "line_no", F.transform(F.array_distinct(word_array(F.col("line"), F.lower)), lambda w: F.xxhash64(w)).alias("words"))
     side = lambda s: words.select(F.col("doc_id").alias(f"{s}_doc"), F.col("line_no").alias(f"{s}_line"), F.col("words").alias(f"{s}_words"))
     rows = pairs.join(side("a"), ["a_doc", "a_line"]).join(side("b"), ["b_doc", "b_line"])
     rows = rows.withColumn("common", F.size(F.array_intersect("a_words", "b_words"))).withColumn("both", F.size("a_words") + F.size("b_words"))
@@ -101,7 +104,11 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull())
     pairs = cut_lineage(candidate_pairs(line_classes(docs, rarity_levels(docs))))
-    similar = verified_pairs(docs, pairs)
+    # most lines are settled by their earliest candidate; only for the others the rest is verified
+    first = pairs.groupBy("b_doc", "b_line").agg(F.min(F.struct("a_doc", "a_line")).alias("a")).select("a.*", "b_doc", "b_line")
+    settled = cut_lineage(verified_pairs(docs, first))
+    rest = pairs.join(settled.select("b_doc", "b_line"), ["b_doc", "b_line"], "left_anti").join(first, ["a_doc", "a_line", "b_doc", "b_line"], "left_anti")
+    similar = settled.unionByName(verified_pairs(docs, rest.select(*pairs.columns)))
     earliest = similar.groupBy("b_doc", "b_line").agg(F.min(F.struct("a_doc", "a_line", "similarity")).alias("e")).select("b_doc", "b_line", "e.*")
     classes = line_classes(docs)
     named = classes.join(earliest, (F.col("doc_id") == F.col("b_doc")) & (F.col("line_no") == F.col("b_line")), "left")

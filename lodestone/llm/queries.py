@@ -40,7 +40,7 @@ ORACLE_SQL: dict[str, str] = {
 WITH lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10)))))::INT AS line_no FROM documents
 ), sets AS (
-  SELECT doc_id, line_no, list_sort(list_distinct({_WORDS.format("line")})) AS ws FROM lines
+  SELECT doc_id, line_no, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(line), '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))) AS ws FROM lines
 ), firsts AS (
   SELECT ws, min({{'d': doc_id, 'l': line_no}}) AS spot FROM sets WHERE len(ws) > 0 GROUP BY 1
 ), words AS (
