@@ -120,6 +120,20 @@ def test_large_group_in_blocks(spark):
     assert {r.component_id for r in rows} == {1}
 
 
+def test_pairs_within_a_template(spark):
+    """Strangers at 0.80, pairs at 0.90, nodes far over the limit: no pivot is like anybody."""
+    template, texts = [f"t{i}" for i in range(100)], []
+    for i in range(120):
+        own = [*template[:50], *(f"own{i}x{j}" for j in range(9)), *template[59:]]
+        texts.append(" ".join(own))
+        if i % 3 == 0:
+            texts.append(" ".join([*own[:20], *(f"more{i}x{j}" for j in range(3)), *own[23:]]))
+    want = classes_by_hand(texts, 3, 85, 100)
+    assert len({c for _, c in want.values()}) == 120
+    rows = near_duplicates.near_duplicates(docs_of(spark, texts), 3, 85, 100, small=8).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == want
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (3, 4), (9, 8), (8, 7), (5, 5), (2, 1), (20, 1)]
     found = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
