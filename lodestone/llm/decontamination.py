@@ -1,6 +1,6 @@
 """Benchmark items in documents: SimHash of item-sized windows, a multi-index, and exact verification.
 
-A window has as many words as an item; its features are its five-word shingles, weighted by how often
+A window has as many words as an item, or is the whole text if that is shorter; its features are its five-word shingles, weighted by how often
 they occur.  Its 64-bit SimHash is looked up in eight blocks of eight bits: two fingerprints within
 RADIUS differ by at most RADIUS // 8 bits in some block, so a table of all block values within that
 distance misses none of them (at similarity 0.8, 97 % of windows are within RADIUS; above it, more).  What is found is verified by the weighted similarity
@@ -102,13 +102,11 @@ class ItemIndex:
             if hits[-1] < least:
                 continue
             pairs = []
-            for size in self.sizes[k]:
-                m = size - k + 1
-                if m <= len(shingles) and SIMILAR * m <= hits[-1]:
-                    starts = np.flatnonzero(hits[m:] - hits[:-m] >= SIMILAR * m)
-                    for part in (starts[x : x + 512] for x in range(0, len(starts), 512)):
-                        w, i, distance = self.candidates(self._windows(shingles, part, m))
-                        pairs += zip(distance.tolist(), part[w].tolist(), [m] * len(w), i.tolist(), [size] * len(w))
+            for m in {min(size - k + 1, len(shingles)) for size in self.sizes[k] if SIMILAR * (size - k + 1) <= hits[-1]}:
+                starts = np.flatnonzero(hits[m:] - hits[:-m] >= SIMILAR * m)
+                for part in (starts[x : x + 512] for x in range(0, len(starts), 512)):
+                    w, i, distance = self.candidates(self._windows(shingles, part, m))
+                    pairs += zip(distance.tolist(), part[w].tolist(), [m] * len(w), i.tolist(), [m + k - 1] * len(w))
             self._verify(shingles, sorted(pairs), found)
         return [(self.ids[i], *x) for i, x in sorted(found.items())]
 

@@ -194,6 +194,16 @@ def test_decontamination(spark):
     assert decontamination.contamination(docs.limit(0), table).count() == decontamination.contamination(docs, table.limit(0)).count() == 0
 
 
+def test_texts_shorter_than_an_item(spark):
+    item = sentence(100)
+    words = item.split()
+    texts = [" ".join(words[:95]), " ".join(words[4:]), " ".join(words[:70]), item]
+    table = spark.createDataFrame([(0, item)], "item_id long, text string")
+    rows = {r.doc_id: r for r in decontamination.contamination(docs_of(spark, texts), table).collect()}
+    assert set(rows) == {1, 2, 4}
+    assert (rows[1].similarity, rows[1].first_word, rows[1].n_words) == (pytest.approx(91 / 96), 0, 95)
+
+
 # ---- vectors
 
 
