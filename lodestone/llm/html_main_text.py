@@ -25,6 +25,7 @@ from collections import defaultdict
 from collections.abc import Callable
 from urllib.parse import urlsplit
 
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -239,9 +240,9 @@ def main_text(pages: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame
     if few:
         source = pages.select("page_id", "url", "html")
     else:
-        host = F.regexp_replace(F.coalesce(F.lower(F.try_parse_url("url", F.lit("HOST"))), F.lit("")), r"^www\.", "")
+        host_of_url = F.pandas_udf(lambda urls: pd.Series([host_of(u if isinstance(u, str) else None) for u in urls], dtype=object), "string")
         lists = cut.groupBy("host").agg(F.collect_set("node").alias("cut"))
-        source = pages.select("page_id", "url", "html", host.alias("host")).join(lists, "host", "left").select("page_id", "url", "html", "cut")
+        source = pages.select("page_id", "url", "html", host_of_url("url").alias("host")).join(lists, "host", "left").select("page_id", "url", "html", "cut")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         lists = None if few else batch.column(3).to_pylist()

@@ -79,6 +79,15 @@ def test_style_tree_cuts_what_repeats_on_a_host(spark):
         assert not any("same words" in r.text or not r.text for r in html_main_text.main_text(pages, most).collect())
 
 
+def test_hosts_are_the_same_joined_and_broadcast(spark):
+    page = "<html><body><div class='x1'><p>same words everywhere</p></div><div class='x2'><p>{}</p></div></body></html>"
+    urls = ["http://a_b/{}", "http://h/{} x|y", "http://www.Q:80/{}^"]
+    rows = [(i, urls[i % 3].format(i), page.format(sentence(20))) for i in range(36)] + [(99, None, page.format("one"))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    few, joined = ({r.page_id: r.text for r in html_main_text.main_text(pages, most).collect()} for most in (100, 0))
+    assert few == joined and not any("same words" in few[i] for i in range(36)) and "same words" in few[99]
+
+
 # ---- near duplicates
 
 
