@@ -82,7 +82,7 @@ class Lattice:
         self.sieve[self.hashes >> np.uint64(44)] = True
         self.longest = max(map(len, vocabulary["score"]))
         self.known: dict[str, tuple[float, tuple[int, ...], float]] = {}
-        self.deep: dict[str, list[float]] = {}
+        self.deep: dict[str, list[tuple[float, tuple[int, ...]]]] = {}
 
     @staticmethod
     def _hash(piece: str) -> int:
@@ -244,10 +244,37 @@ class Lattice:
         """What path c of a part scores below its best; inf if it has fewer paths."""
         if c < 2:
             return self.part(part)[2] if c else 0.0
+        found = self.best_of(part, n)
+        return found[c][0] if c < len(found) else math.inf
+
+    def best_of(self, part: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
+        """(score below the best, ids) of the n best paths of a part, the one that ``part`` gives first."""
         if part not in self.deep:
-            found = [s for s, _ in islice(self.paths(part), n)]
-            self.deep[part] = [found[0] - s for s in found]
-        return self.deep[part][c] if c < len(self.deep[part]) else math.inf
+            found, first = list(islice(self.paths(part), n)), self.part(part)[1]
+            others = [(found[0][0] - s, ids) for s, ids in found if ids != first]
+            self.deep[part] = [(0.0, first), *others][:n]
+        return self.deep[part]
+
+    def spans(self, units: list[str], starts: np.ndarray, choice: dict[tuple[int, int], int], n: int) -> list[tuple[int, int, list[int]]]:
+        """(first, n, ids): the pieces of the best path that a path of ``n_best`` replaces, and by what.
+
+        ``starts`` are the places of the units' pieces in the best path.
+        """
+        out = []
+        for (k, i), c in sorted(choice.items()):
+            parts = self.parts(units[k])
+            first = int(starts[k]) + sum(len(self.part(x)[1]) for x in parts[:i])
+            out.append((first, len(self.part(parts[i])[1]), list(self.best_of(parts[i], n)[c][1])))
+        return out
+
+
+def splice(ids: list[int], spans: list[tuple[int, int, list[int]]]) -> list[int]:
+    """The pieces of a path from those of the best one and its spans."""
+    out, at = [], 0
+    for first, size, own in spans:
+        out += [*ids[at:first], *own]
+        at = first + size
+    return out + list(ids[at:])
 
 
 def units_of(text: str | None) -> list[str]:
@@ -286,20 +313,22 @@ _LATTICES: dict[int, tuple[Lattice, dict]] = {}
 
 
 def encode(docs: DataFrame, vocabulary: dict, n: int = N_BEST, text_col: str = "text") -> DataFrame:
-    """The rows with piece_ids array<int>, n_pieces long, nbest_scores array<double> added (or replaced).
+    """The rows with piece_ids array<int>, n_pieces long, nbest_scores array<double>, nbest_spans added (or replaced).
 
     piece_ids is the best segmentation of the whole text; nbest_scores are the scores of the best n, best
-    first (fewer if there are fewer).  Null and empty texts have no pieces and one path of score 0.
+    first (fewer if there are fewer); nbest_spans are, for each of them, the spans of piece_ids that it replaces
+    (none for the best; ``splice`` puts them in).  Null and empty texts have no pieces and one path of score 0.
     """
-    docs = docs.drop("piece_ids", "n_pieces", "nbest_scores")
+    docs = docs.drop("piece_ids", "n_pieces", "nbest_scores", "nbest_spans")
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     key, place = hash((len(vocabulary["score"]), vocabulary["byte_score"])), docs.columns.index(text_col)
-    added = [StructField("piece_ids", ArrayType(IntegerType())), StructField("n_pieces", LongType()), StructField("nbest_scores", ArrayType(DoubleType()))]
-    schema = StructType([*docs.schema, *added])
+    span = StructType([StructField("first", IntegerType()), StructField("n", IntegerType()), StructField("ids", ArrayType(IntegerType()))])
+    added = [StructField("piece_ids", ArrayType(IntegerType())), StructField("n_pieces", LongType()), StructField("nbest_scores", ArrayType(DoubleType())), StructField("nbest_spans", ArrayType(ArrayType(span)))]
+    schema, span_type = StructType([*docs.schema, *added]), pa.struct([("first", pa.int32()), ("n", pa.int32()), ("ids", pa.list_(pa.int32()))])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         lattice, known = _LATTICES.get(key) or _LATTICES.setdefault(key, (Lattice(shared.value), {}))
-        values, lengths, scores = [], [0], []
+        values, lengths, scores, spans = [], [0], [], []
         chains = [units_of(t) for t in batch.column(place).to_pylist()]
         if len(known) >= CACHE:
             known.clear()
@@ -310,9 +339,12 @@ def encode(docs: DataFrame, vocabulary: dict, n: int = N_BEST, text_col: str = "
             ids = np.fromiter(chain.from_iterable(map(itemgetter(1), found)), np.int32)
             values.append(ids)
             lengths.append(len(ids))
-            scores.append([s for s, _ in n_best(lattice, units, found, n)])
+            paths = n_best(lattice, units, found, n)
+            starts = np.cumsum([0, *(len(f[1]) for f in found)])
+            scores.append([s for s, _ in paths])
+            spans.append([[dict(zip(("first", "n", "ids"), x)) for x in lattice.spans(units, starts, choice, n)] for _, choice in paths])
         ids = pa.ListArray.from_arrays(pa.array(np.cumsum(lengths).astype(np.int32)), pa.array(np.concatenate(values)))
-        added = [ids, pa.array(np.asarray(lengths[1:], np.int64)), pa.array(scores, pa.list_(pa.float64()))]
+        added = [ids, pa.array(np.asarray(lengths[1:], np.int64)), pa.array(scores, pa.list_(pa.float64())), pa.array(spans, pa.list_(pa.list_(span_type)))]
         return pa.RecordBatch.from_arrays([*batch.columns, *added], names=schema.names)
 
     return map_batches(docs, run, schema)
@@ -332,10 +364,10 @@ def decode(df: DataFrame, vocabulary: dict, ids_col: str = "piece_ids", out_col:
 
 
 def op9_sentence_pieces(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id, n_pieces, piece_ids, nbest_scores, round_trip (decoding gives the text again)."""
+    """doc_id, n_pieces, piece_ids, nbest_scores, nbest_spans, round_trip (decoding gives the text again)."""
     v = load_vocabulary(vocabulary)
     coded = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), v), v)
-    return coded.select("doc_id", "n_pieces", "piece_ids", "nbest_scores", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    return coded.select("doc_id", "n_pieces", "piece_ids", "nbest_scores", "nbest_spans", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 
 def encode_documents(spark: SparkSession, docs: DataFrame, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:

@@ -304,6 +304,19 @@ def test_pieces_round_trip(spark):
     assert sentence_pieces.encode(docs.limit(0), v).count() == 0
 
 
+def test_n_best_segmentations(spark):
+    texts = [None, "", "a", "internationally", "hello world, aé☃ the  the", "x\ny and so on " * 40]
+    v = sentence_pieces.load_vocabulary(sentence_pieces.VOCABULARY)
+    cost = {i: s for s, i in v["score"].values()}
+    for r in sentence_pieces.encode(docs_of(spark, texts), v).collect():
+        paths = [sentence_pieces.splice(r.piece_ids, [tuple(x) for x in spans]) for spans in r.nbest_spans]
+        assert len(paths) == len(r.nbest_scores) == len(set(map(tuple, paths))) and paths[0] == r.piece_ids
+        for ids, score in zip(paths, r.nbest_scores):
+            assert b"".join(v["surface"][i] for i in ids).decode()[1:] == (r.text or "")
+            assert sum(cost.get(i, v["byte_score"]) for i in ids) == pytest.approx(score)
+    assert len(paths) == 4
+
+
 # ---- languages
 
 
