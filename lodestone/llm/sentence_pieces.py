@@ -5,8 +5,9 @@ forward Viterbi pass gives the best score of every prefix; those scores are the
 an A* search that walks back from the end, so paths leave its heap in order of their total score.
 
 No piece crosses the start of a run of blanks or a line end, so the lattice of a text is a chain of the
-lattices of its units.  Units repeat: a worker keeps their best paths, and the N best paths of a text
-are merged from the units whose second path costs least.
+lattices of its units.  Units repeat: a worker keeps their best paths (a bounded number of characters),
+solves new ones of one length side by side, and merges the N best paths of a text, best first, from the
+units whose second path costs least; the segmentations of these units come from A*.
 
 Piece scores: the files at hand hold merge ranks, not log probabilities, so a piece scores
 ``-ln(rank + 2)`` (Zipf); a byte piece scores as the last rank less ``BYTE_PENALTY``.
@@ -17,9 +18,9 @@ from __future__ import annotations
 import heapq
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import chain, islice
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +34,12 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 BYTE_PENALTY = 10.0
 N_BEST = 4
-#: Units kept by a Python worker before it starts afresh.
-CACHE = 150_000
-#: Characters of the parts that are solved side by side.
-SIDE_BY_SIDE = 48
+#: Characters of the units that a Python worker keeps before it starts afresh.
+CACHE = 800_000
+#: Characters of the units that are solved side by side at most, and how many of one length are.
+SIDE_BY_SIDE, TOGETHER = 32, 4_096
+#: Bits of a hash by which pieces are found.
+HEAD = 18
 _STEP = 0x9E3779B97F4A7C15
 _UNITS = re.compile(r" *[^ \n]+| +|\n")
 
@@ -62,7 +65,11 @@ def load_vocabulary(path: str) -> dict:
 
 
 class Lattice:
-    """Best paths over the pieces of one unit."""
+    """Best paths over the pieces of units, and what a worker keeps of the units it has met.
+
+    ``row`` gives each kept unit a number; ``score``, ``gap`` (how far its second path is behind, inf if
+    there is none), ``starts`` and ``sizes`` (where the pieces of the best path are in ``flat``) are by number.
+    """
 
     def __init__(self, vocabulary: dict):
         self.bytes, self.byte_score = vocabulary["bytes"], vocabulary["byte_score"]
@@ -77,12 +84,19 @@ class Lattice:
         order = np.argsort(h)
         self.hashes = h[order]
         self.scores = np.array([x for x, _ in vocabulary["score"].values()])[order]
-        self.ids = np.array([i for _, i in vocabulary["score"].values()])[order]
-        self.sieve = np.zeros(1 << 20, bool)
-        self.sieve[self.hashes >> np.uint64(44)] = True
+        self.ids = np.array([i for _, i in vocabulary["score"].values()], np.int32)[order]
+        heads = (self.hashes >> np.uint64(64 - HEAD)).astype(np.int64)
+        per_head = np.bincount(heads, minlength=1 << HEAD)
+        self.first, self.filled, self.most = (np.cumsum(per_head) - per_head).astype(np.int32), per_head > 0, int(per_head.max())
         self.longest = max(map(len, vocabulary["score"]))
-        self.known: dict[str, tuple[float, tuple[int, ...], float]] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.row: dict[str, int] = {}
         self.deep: dict[str, list[tuple[float, tuple[int, ...]]]] = {}
+        self.score, self.gap, self.flat = np.zeros(0), np.zeros(0), np.zeros(0, np.int32)
+        self.sizes, self.starts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.held = 0
 
     @staticmethod
     def _hash(piece: str) -> int:
@@ -129,100 +143,109 @@ class Lattice:
             for i, _, s, piece in into[j]:
                 heapq.heappush(heap, (-(best[i] + s + tail), piece + ids, i, s + tail))
 
-    def parts(self, unit: str) -> list[str]:
-        """The unit cut wherever two characters stand side by side in no piece, so that no path crosses."""
-        cuts = [0, *(i for i, pair in enumerate(zip(unit, unit[1:]), 1) if pair not in self.pairs), len(unit)]
-        return [unit[i:j] for i, j in zip(cuts, cuts[1:])] if len(cuts) > 2 else [unit]
-
-    def part(self, part: str) -> tuple[float, tuple[int, ...], float]:
-        if (found := self.known.get(part)) is None:
-            found = self.known[part] = self.solve(part)
-        return found
-
-    def two_best(self, units: list[str]) -> list[tuple[float, tuple[int, ...], float]]:
-        """(score, ids, gap to the second path, or inf) of each unit."""
-        if len(self.known) >= CACHE:
-            self.known.clear()
-            self.deep.clear()
-        split = [self.parts(u) for u in units]
-        self.solve_many(list(set(chain.from_iterable(split)).difference(self.known)))
+    def chain_of(self, text: str | None) -> list[str]:
+        """The units of a text, long ones cut wherever two characters stand side by side in no piece, as no
+        path crosses there."""
+        units = units_of(text)
+        if len(text or "") < SIDE_BY_SIDE or max(map(len, units)) <= SIDE_BY_SIDE:
+            return units
         out = []
-        for parts in split:
-            found = [self.known[p] for p in parts]
-            out.append(found[0] if len(found) == 1 else (math.fsum(f[0] for f in found), tuple(chain.from_iterable(f[1] for f in found)), min(f[2] for f in found)))
+        for unit in units:
+            cuts = [0, *(i for i, pair in enumerate(zip(unit, unit[1:]), 1) if pair not in self.pairs), len(unit)] if len(unit) > SIDE_BY_SIDE else [0, len(unit)]
+            out += [unit[i:j] for i, j in zip(cuts, cuts[1:])]
         return out
 
-    def solve_many(self, parts: list[str]) -> None:
-        """``solve`` for many parts side by side; long ones and those with byte pieces go one by one."""
-        short = [p for p in parts if len(p) <= SIDE_BY_SIDE]
-        self.known.update((p, self.solve(p)) for p in parts if len(p) > SIDE_BY_SIDE)
-        if not short:
-            return
-        sizes = np.fromiter(map(len, short), np.int64, len(short))
-        codes = np.frombuffer("".join(short).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
-        first = np.cumsum(sizes) - sizes
-        part = np.repeat(np.arange(len(short)), sizes)
-        offset = np.arange(len(codes)) - first[part]
-        node = first + np.arange(len(short))  # a part of n characters has n + 1 nodes
-        h, found = np.zeros(len(codes), np.uint64), []
-        alive = np.arange(len(codes))
-        single = np.zeros(len(codes), bool)
-        for size in range(1, self.longest + 1):
-            alive = alive[offset[alive] + size <= sizes[part[alive]]]
-            if not len(alive):
-                break
-            h[alive] = (h[alive] + codes[alive + size - 1]) * np.uint64(_STEP)
-            at = alive[self.sieve[h[alive] >> np.uint64(44)]]
-            place = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
-            hit = self.hashes[place] == h[at]
-            at, place = at[hit], place[hit]
-            single[at] |= size == 1
-            found.append((at, np.full(len(at), size), place))
-        plain = np.ones(len(short), bool)
-        plain[part[~single]] = False
-        at, size, place = (np.concatenate(x) for x in zip(*found))
-        mine = plain[part[at]]
-        at, size, place = at[mine], size[mine], place[mine]
-        whose, start, score = part[at], offset[at], self.scores[place]
-        end = start + size
-        begin, stop = node[whose] + start, node[whose] + end
-        best, rest = np.full(len(codes) + len(short), -np.inf), np.full(len(codes) + len(short), -np.inf)
-        best[node], rest[node + sizes] = 0.0, 0.0
-        last = np.full(len(best), -1)
-        order = np.lexsort((-size, end))
-        for e in np.split(order, np.flatnonzero((np.diff(end[order]) != 0) | (np.diff(size[order]) != 0)) + 1):
-            s = best[begin[e]] + score[e]
-            better = s > best[stop[e]]
-            best[stop[e][better]] = s[better]
-            last[stop[e][better]] = e[better]
-        order = np.lexsort((size, -start))
-        for e in np.split(order, np.flatnonzero((np.diff(start[order]) != 0) | (np.diff(size[order]) != 0)) + 1):
-            rest[begin[e]] = np.maximum(rest[begin[e]], score[e] + rest[stop[e]])
-        chosen, here = np.zeros(len(at), bool), (node + sizes)[plain]
-        while len(here):
-            e = last[here]
-            chosen[e] = True
-            here = begin[e]
-            here = here[last[here] >= 0]
-        second = np.full(len(short), -np.inf)
-        np.maximum.at(second, whose[~chosen], (best[begin] + score + rest[stop])[~chosen])
-        picked = np.flatnonzero(chosen)
-        picked = picked[np.argsort(begin[picked], kind="stable")]
-        cuts = np.cumsum(np.bincount(whose[picked], minlength=len(short)))
-        ids, top = self.ids[place[picked]].tolist(), best[node + sizes]
-        gaps, low = np.where(plain, top, 0.0) - second, 0
-        for p, ok, high, t, gap in zip(short, plain.tolist(), cuts.tolist(), top.tolist(), gaps.tolist()):
-            self.known[p] = (t, tuple(ids[low:high]), gap) if ok else self.solve(p)
-            low = high
-
-    def solve(self, part: str) -> tuple[float, tuple[int, ...], float]:
-        """(score, ids, gap) of a part.
-
-        The second path has an edge that the best one lacks, so its score is the largest of prefix score +
-        edge + suffix score over those edges.
+    def rows_of(self, units: list[str]) -> np.ndarray:
+        """The number of each unit, new ones solved."""
+        fresh = sorted(set(units).difference(self.row), key=len)
+        at = 0
+        while at < len(fresh):
+            size = len(fresh[at])
+            end = at + 1
+            if size <= SIDE_BY_SIDE:
+                end = min(bisect_right(fresh, size, at, key=len), at + TOGETHER)
+                self._keep(fresh[at:end], *self.solve_equal(fresh[at:end]))
+            else:
+                total, ids, gap = self.solve(fresh[at])
+                self._keep(fresh[at:end], np.array([total]), np.array([gap]), np.array([len(ids)]), np.array(ids, np.int32))
+            at = end
+        return np.fromiter(map(self.row.__getitem__, units), np.int64, len(units))
+
+    def _keep(self, units: list[str], score: np.ndarray, gap: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> None:
+        self.row.update(zip(units, range(len(self.row), len(self.row) + len(units))))
+        self.score, self.gap = np.concatenate([self.score, score]), np.concatenate([self.gap, gap])
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.sizes, self.flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, flat])
+        self.held += len(units) * len(units[0])
+
+    def _pieces(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(score or -inf, id or -1) by size - 1, start and column of all pieces in the columns of codes;
+        a character that is no piece scores as its bytes, with id -2."""
+        size, n = codes.shape
+        most = min(self.longest, size)
+        score, piece = np.full((most, size, n), -np.inf), np.full((most, size, n), -1, np.int32)
+        h = np.zeros_like(codes)
+        for k in range(most):
+            h = (h[: size - k] + codes[k:]) * np.uint64(_STEP)
+            head = (h >> np.uint64(64 - HEAD)).astype(np.int64)
+            at = np.flatnonzero(self.filled[head])
+            seek, place = h.ravel()[at], self.first[head.ravel()[at]]
+            for _ in range(self.most):
+                hit = self.hashes[place] == seek
+                score[k].ravel()[at[hit]], piece[k].ravel()[at[hit]] = self.scores[place[hit]], self.ids[place[hit]]
+                at, seek, place = at[~hit], seek[~hit], np.minimum(place[~hit] + 1, len(self.hashes) - 1)
+        raw = piece[0] < 0
+        if raw.any():
+            c = codes[raw] - np.uint64(1)
+            score[0][raw] = (1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)) * self.byte_score
+            piece[0][raw] = -2
+        return score, piece
+
+    def solve_equal(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(score, gap, pieces of each, all pieces) of units of one length, side by side.
+
+        Forward and backward passes give the best scores of all prefixes and suffixes; the second path has
+        an edge that the best one lacks, so its score is the largest prefix + edge + suffix of those.
         """
-        edges, best, last = self.forward(part)
-        j = n = len(part)
+        n, size = len(units), len(units[0])
+        codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, size).T.astype(np.uint64) + np.uint64(1)
+        score, piece = self._pieces(codes)
+        used = [k for k in range(len(score)) if k == 0 or (piece[k] >= 0).any()]
+        best, rest, took = np.full((size + 1, n), -np.inf), np.full((size + 1, n), -np.inf), np.zeros((size + 1, n), np.int64)
+        best[0] = rest[size] = 0.0
+        for j in range(1, size + 1):
+            for k in reversed(used):
+                if k < j:
+                    s = best[j - k - 1] + score[k, j - k - 1]
+                    better = s > best[j]
+                    best[j] = np.where(better, s, best[j])
+                    took[j][better] = k
+        for i in range(size - 1, -1, -1):
+            for k in used:
+                if i + k < size:
+                    np.maximum(rest[i], score[k, i] + rest[i + k + 1], out=rest[i])
+        every, here, path = np.arange(n), np.full(n, size), np.full((size, n), -1, np.int32)
+        edge = np.full((size, n), -1)
+        while len(every):
+            k = took[here, every]
+            here = here - k - 1
+            path[here, every], edge[here, every] = piece[k, here, every], k
+            every, here = every[here > 0], here[here > 0]
+        second = np.full(n, -np.inf)
+        for k in used:
+            through = best[: size - k] + score[k, : size - k] + rest[k + 1 :]
+            through[edge[: size - k] == k] = -np.inf
+            np.maximum(second, through.max(axis=0), out=second)
+        total, path = best[size], path.T
+        if (path == -2).any():  # characters that are bytes have several pieces each
+            rows = [self.solve(u)[1] if (p == -2).any() else p[p >= 0] for u, p in zip(units, path)]
+            return total, total - second, np.fromiter(map(len, rows), np.int64, n), np.concatenate([np.asarray(r, np.int32) for r in rows])
+        return total, total - second, (path >= 0).sum(axis=1), path[path >= 0]
+
+    def solve(self, unit: str) -> tuple[float, tuple[int, ...], float]:
+        """(score, ids, gap) of one unit."""
+        edges, best, last = self.forward(unit)
+        j = n = len(unit)
         path = []
         while j:
             path.append(last[j])
@@ -230,42 +253,40 @@ class Lattice:
         ids = tuple(chain.from_iterable(e[3] for e in reversed(path)))
         if len(edges) == len(path):
             return best[n], ids, math.inf
-        rest, second = [-math.inf] * n + [0.0], -math.inf
+        rest, second, own = [-math.inf] * n + [0.0], -math.inf, set(path)
         for e in reversed(edges):
             i, j, s, _ = e
             s += rest[j]
             if s > rest[i]:
                 rest[i] = s
-            if s + best[i] > second and e not in path:
+            if s + best[i] > second and e not in own:
                 second = s + best[i]
         return best[n], ids, best[n] - second
 
-    def loss(self, part: str, c: int, n: int) -> float:
-        """What path c of a part scores below its best; inf if it has fewer paths."""
+    def pieces_of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(pieces of the best paths of the units one after the other, number of pieces of each unit)."""
+        sizes = self.sizes[rows]
+        return self.flat[np.repeat(self.starts[rows] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())], sizes
+
+    def loss(self, unit: str, c: int, n: int) -> float:
+        """What path c of a unit scores below its best; inf if it has fewer paths."""
         if c < 2:
-            return self.part(part)[2] if c else 0.0
-        found = self.best_of(part, n)
+            return float(self.gap[self.row[unit]]) if c else 0.0
+        found = self.best_of(unit, n)
         return found[c][0] if c < len(found) else math.inf
 
-    def best_of(self, part: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """(score below the best, ids) of the n best paths of a part, the one that ``part`` gives first."""
-        if part not in self.deep:
-            found, first = list(islice(self.paths(part), n)), self.part(part)[1]
+    def best_of(self, unit: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
+        """(score below the best, ids) of the n best paths of a unit by A*, the one that is kept first."""
+        if unit not in self.deep:
+            found = list(islice(self.paths(unit), n))
+            first = tuple(self.pieces_of(np.array([self.row[unit]]))[0].tolist())
             others = [(found[0][0] - s, ids) for s, ids in found if ids != first]
-            self.deep[part] = [(0.0, first), *others][:n]
-        return self.deep[part]
+            self.deep[unit] = [(0.0, first), *others][:n]
+        return self.deep[unit]
 
-    def spans(self, units: list[str], starts: np.ndarray, choice: dict[tuple[int, int], int], n: int) -> list[tuple[int, int, list[int]]]:
-        """(first, n, ids): the pieces of the best path that a path of ``n_best`` replaces, and by what.
-
-        ``starts`` are the places of the units' pieces in the best path.
-        """
-        out = []
-        for (k, i), c in sorted(choice.items()):
-            parts = self.parts(units[k])
-            first = int(starts[k]) + sum(len(self.part(x)[1]) for x in parts[:i])
-            out.append((first, len(self.part(parts[i])[1]), list(self.best_of(parts[i], n)[c][1])))
-        return out
+    def spans(self, units: list[str], sizes: np.ndarray, choice: dict[int, int], n: int) -> list[tuple[int, int, list[int]]]:
+        """(first, n, ids): the pieces of the best path that a path of ``n_best`` replaces, and by what."""
+        return [(int(sizes[:k].sum()), int(sizes[k]), list(self.best_of(units[k], n)[c][1])) for k, c in sorted(choice.items())]
 
 
 def splice(ids: list[int], spans: list[tuple[int, int, list[int]]]) -> list[int]:
@@ -282,34 +303,31 @@ def units_of(text: str | None) -> list[str]:
     return _UNITS.findall(f" {text}") if text else []
 
 
-def n_best(lattice: Lattice, units: list[str], found: list[tuple], n: int) -> list[tuple[float, dict[tuple[int, int], int]]]:
-    """The n best paths of a text: (score, {(unit, part): which of its paths}), best first.
+def n_best(lattice: Lattice, units: list[str], rows: np.ndarray, n: int) -> list[tuple[float, dict[int, int]]]:
+    """The n best paths of a text: (score, {place of a unit: which of its paths}), best first.
 
-    ``found`` is what ``two_best`` gives for each unit.  Only the n - 1 parts with the smallest gaps can
-    differ from their best path in the n best of all.  Further paths of a part than its second are
-    searched when the merge first asks for them.
+    Only the n - 1 units with the smallest gaps can differ from their best path in the n best of all.
+    Segmentations of a unit after its best one come from A*, when the merge first asks for them.
     """
-    total = math.fsum(map(itemgetter(0), found))
-    gaps = np.fromiter(map(itemgetter(2), found), np.float64, len(found))
+    total, gaps = math.fsum(lattice.score[rows]), lattice.gap[rows]
     limit = np.partition(gaps, n - 2)[n - 2] if len(gaps) >= n > 1 else math.inf
-    near = [k for k in np.flatnonzero(gaps <= limit).tolist() if gaps[k] < math.inf] if n > 1 else []
-    options = ((lattice.loss(part, 1, n), k, i, part) for k in near for i, part in enumerate(lattice.parts(units[k])))
-    places = heapq.nsmallest(n - 1, (o for o in options if o[0] < math.inf))
+    near = np.flatnonzero((gaps <= limit) & (gaps < math.inf)).tolist() if n > 1 else []
+    places = [k for _, k in heapq.nsmallest(n - 1, zip(gaps[near].tolist(), near))]
     heap, seen, out = [(0.0, (0,) * len(places))], set(), []
     while heap:
         lost, choice = heapq.heappop(heap)
-        out.append((total - lost, {places[k][1:3]: c for k, c in enumerate(choice) if c}))
+        out.append((total - lost, {places[k]: c for k, c in enumerate(choice) if c}))
         if len(out) == n:
             break
         for k, c in enumerate(choice):
             to = (*choice[:k], c + 1, *choice[k + 1 :])
-            if to not in seen and (more := lattice.loss(places[k][3], c + 1, n)) < math.inf:
+            if to not in seen and (more := lattice.loss(units[places[k]], c + 1, n)) < math.inf:
                 seen.add(to)
-                heapq.heappush(heap, (lost - lattice.loss(places[k][3], c, n) + more, to))
+                heapq.heappush(heap, (lost - lattice.loss(units[places[k]], c, n) + more, to))
     return out
 
 
-_LATTICES: dict[int, tuple[Lattice, dict]] = {}
+_LATTICES: dict[int, Lattice] = {}
 
 
 def encode(docs: DataFrame, vocabulary: dict, n: int = N_BEST, text_col: str = "text") -> DataFrame:
@@ -327,24 +345,21 @@ def encode(docs: DataFrame, vocabulary: dict, n: int = N_BEST, text_col: str = "
     schema, span_type = StructType([*docs.schema, *added]), pa.struct([("first", pa.int32()), ("n", pa.int32()), ("ids", pa.list_(pa.int32()))])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lattice, known = _LATTICES.get(key) or _LATTICES.setdefault(key, (Lattice(shared.value), {}))
-        values, lengths, scores, spans = [], [0], [], []
-        chains = [units_of(t) for t in batch.column(place).to_pylist()]
-        if len(known) >= CACHE:
-            known.clear()
-        fresh = list(set(chain.from_iterable(chains)).difference(known))
-        known.update(zip(fresh, lattice.two_best(fresh)))
-        for units in chains:
-            found = list(map(known.__getitem__, units))
-            ids = np.fromiter(chain.from_iterable(map(itemgetter(1), found)), np.int32)
-            values.append(ids)
-            lengths.append(len(ids))
-            paths = n_best(lattice, units, found, n)
-            starts = np.cumsum([0, *(len(f[1]) for f in found)])
+        lattice = _LATTICES.get(key) or _LATTICES.setdefault(key, Lattice(shared.value))
+        if lattice.held > CACHE:
+            lattice.clear()
+        chains = [lattice.chain_of(t) for t in batch.column(place).to_pylist()]
+        rows = lattice.rows_of(list(chain.from_iterable(chains)))
+        ids, sizes = lattice.pieces_of(rows)
+        ends = np.cumsum([0, *map(len, chains)])
+        lengths = np.diff(np.concatenate([[0], np.cumsum(sizes)])[ends])
+        scores, spans = [], []
+        for units, low, high in zip(chains, ends, ends[1:]):
+            paths = n_best(lattice, units, rows[low:high], n)
             scores.append([s for s, _ in paths])
-            spans.append([[dict(zip(("first", "n", "ids"), x)) for x in lattice.spans(units, starts, choice, n)] for _, choice in paths])
-        ids = pa.ListArray.from_arrays(pa.array(np.cumsum(lengths).astype(np.int32)), pa.array(np.concatenate(values)))
-        added = [ids, pa.array(np.asarray(lengths[1:], np.int64)), pa.array(scores, pa.list_(pa.float64())), pa.array(spans, pa.list_(pa.list_(span_type)))]
+            spans.append([[dict(zip(("first", "n", "ids"), x)) for x in lattice.spans(units, sizes[low:high], choice, n)] for _, choice in paths])
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(ids))
+        added = [lists, pa.array(lengths.astype(np.int64)), pa.array(scores, pa.list_(pa.float64())), pa.array(spans, pa.list_(pa.list_(span_type)))]
         return pa.RecordBatch.from_arrays([*batch.columns, *added], names=schema.names)
 
     return map_batches(docs, run, schema)
@@ -352,11 +367,11 @@ def encode(docs: DataFrame, vocabulary: dict, n: int = N_BEST, text_col: str = "
 
 def decode(df: DataFrame, vocabulary: dict, ids_col: str = "piece_ids", out_col: str = "decoded") -> DataFrame:
     """Adds the text that piece ids stand for; null ids give null, ids outside the vocabulary nothing."""
-    shared = df.sparkSession.sparkContext.broadcast(vocabulary["surface"])
+    shared, made = df.sparkSession.sparkContext.broadcast(vocabulary["surface"]), {}
 
     @F.pandas_udf("string")
     def text_of(ids):
-        surface = dict(enumerate(shared.value))
+        surface = made or made.update(enumerate(shared.value)) or made
         get = lambda x: surface.get(x, b"")
         return ids.map(lambda x: None if x is None else b"".join(map(get, x.tolist())).decode("utf-8", "replace")[1:])
 
