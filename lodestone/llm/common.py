@@ -37,15 +37,16 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
-def word_array(text: Column, lower: Callable[[Column], Column] = lower_ascii) -> Column:
-    """The words of a text as an array; null and blank texts give an empty one.
+def word_array(text: Column, lower: Callable[[Column], Column] = lower_ascii, bare: bool = True) -> Column:
+    """The words of a text as an array; null and blank texts give an empty one.  Without ``bare`` there
+    may be empty words among them.
 
     Blanks are made one kind first, as splitting at a single character is far cheaper than at a pattern.
     """
     out = lower(F.coalesce(text, F.lit("")))
     for blank in "\t\n\x0b\f\r":
         out = F.replace(out, F.lit(blank), F.lit(" "))
-    return F.array_remove(F.split(out, " "), "")
+    return F.array_remove(F.split(out, " "), "") if bare else F.split(out, " ")
 
 
 def fold(doc_id: Column, parts: int) -> Column:

@@ -3,18 +3,22 @@
 A line is the set of its words in lower case.  A line goes if an earlier one (by doc_id, then place) has a Jaccard
 similarity of 4/5 or more; of equal lines the first stays.  Lines without words always stay.
 
-1. Lines with equal text are one class; its first line stands for it.
+1. Lines with equal text are one class (by two hashes of the text); its first line stands for it.
 2. Words are ordered by rarity: counts of all words of the corpus, in a fixed number of hash buckets, give
    each word a level; words of a level are ordered by hash.  Any common order makes the join exact, rarity
    makes it fast.
-3. Two sets can only be similar if they share a word of their prefixes (the first n - ceil(4n/5) + 1
+3. Near copies first meet the earliest line of their group: lines that share a run of words at the start
+   or the end are grouped, and each is verified against the group's earliest line.  What that
+   settles need only be held against still earlier lines, so a group of near copies costs its size.
+4. Two sets can only be similar if they share a word of their prefixes (the first n - ceil(4n/5) + 1
    words), so prefixes are joined by word.  In the join a pair must also pass the length filter, the
-   positional filter (what can still be common after the shared word) and a parity sketch of 128 bits: the
-   bits in which the sketches of two sets differ are no more than the words in which the sets differ.
-4. What is left is verified on the whole word sets, by 64-bit hashes of the words; first the earliest
-   candidate of each line, then the others of the lines that it didn't settle.
+   positional filter (what can still be common after the shared word), a parity sketch (the bits in
+   which the sketches of two sets differ are no more than the words in which the sets differ), and the
+   one line must be earlier than what the other is settled by.
+5. What is left is verified on the whole word sets, by 64-bit hashes of the words.
 
-Null and empty texts have no lines; rows with the same doc_id count as one document.
+Null and empty texts have no lines.  Rows may share a doc_id: their lines at one place count as equally
+early and never remove each other.
 """
 
 from __future__ import annotations
@@ -24,106 +28,166 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import cut_lineage, table, word_array
 
-#: Hash buckets of the word counts; a level is 8 * log2 of a bucket's count, below 256.
+#: Hash buckets of the word counts, a power of two; a level is 8 * log2 of a bucket's count, below 256.
 BUCKETS = 1 << 17
-#: Lines to verify that are broadcast to the texts; more are joined by doc_id.
+#: Rows of lines that are broadcast; more are joined.
 MAX_BROADCAST = 2_000_000
+#: Words of a run at the start or the end of a line by which near copies meet their earliest line.
+RUN = 4
+SPOT = ("doc_id", "line_no", "key")
 
 
 def rarity_levels(docs: DataFrame, buckets: int = BUCKETS) -> Column:
-    """An array with the level of each bucket, as one constant: its size is fixed."""
-    words = docs.select(F.explode(word_array(F.col("text"), F.lower)).alias("word"))
-    counts = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(buckets)).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    """The level of each bucket in the top eight bits, as one constant array: its size is fixed."""
+    hashes = F.transform(word_array(F.col("text"), F.lower, False), lambda w: F.xxhash64(w).bitwiseAND(buckets - 1).cast("int"))
+    counts = docs.select(F.explode(hashes).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     levels = ["0"] * buckets
-    for r in counts.select("bucket", F.least(F.lit(255), F.round(8 * F.log2(F.col("n") + 1))).cast("int").alias("level")).collect():
-        levels[r.bucket] = str(r.level)
-    return F.split(F.lit(",".join(levels)), ",").cast("array<int>")
+    found = counts.select("bucket", F.least(F.lit(255), F.round(8 * F.log2(F.col("n") + 1))).cast("int").alias("level")).toArrow()
+    for bucket, level in zip(found.column("bucket").to_pylist(), found.column("level").to_pylist()):
+        levels[bucket] = str((level - 128) << 56)
+    return F.split(F.lit(",".join(levels)), ",").cast("array<bigint>")
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, line of every line."""
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-
-
-def line_classes(docs: DataFrame, levels: Column | None = None, buckets: int = BUCKETS) -> DataFrame:
-    """text_key, doc_id, line_no (of the first line of the class) and, with levels: n, sketch, prefix."""
-    lines = lines_of(docs).filter(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-    first = F.min(F.struct("doc_id", "line_no")).alias("first")
-    keyed = lines.select(F.xxhash64("line", F.length("line")).alias("text_key"), "doc_id", "line_no", "line")
-    if levels is None:
-        return keyed.groupBy("text_key").agg(first).select("text_key", "first.*")
-    hashes = F.transform(F.array_distinct(word_array(F.col("line"), F.lower)), lambda w: F.xxhash64(w))
-    level = lambda h: F.get(levels, F.pmod(h, F.lit(buckets)).cast("int")).cast("long")
-    order = F.sort_array(F.transform(hashes, lambda h: F.shiftleft(level(h), 55).bitwiseOR(F.shiftrightunsigned(h, 9))))
+    """doc_id, line_no, line, key, key2 (hashes of the text) of every line with a word."""
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    worded = lines.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    return worded.select("doc_id", "line_no", "line", F.xxhash64("line").alias("key"), F.xxhash64(F.lit(7), "line", F.length("line")).alias("key2"))
+
+
+def line_classes(lines: DataFrame) -> DataFrame:
+    """key, key2, doc_id, line_no of the first line, n_lines of each class.
+
+    A place is one number here, so that Spark can aggregate by hashing.
+    """
+    place = F.col("doc_id").cast("decimal(19,0)") * F.lit(10**10).cast("decimal(11,0)") + F.col("line_no")
+    classes = lines.groupBy("key", "key2").agg(F.min(place.cast("decimal(38,0)")).alias("place"), F.count(F.lit(1)).alias("n_lines"))
+    line_no = F.pmod("place", F.lit(10**10).cast("decimal(11,0)"))
+    doc_id = ((F.col("place") - line_no) / F.lit(10**10).cast("decimal(11,0)")).cast("bigint")
+    return classes.select("key", "key2", doc_id.alias("doc_id"), line_no.cast("int").alias("line_no"), "n_lines")
+
+
+def word_sets(lines: DataFrame, classes: DataFrame, levels: Column, buckets: int = BUCKETS) -> DataFrame:
+    """doc_id, line_no, key, n, low, high (sketch), runs, prefix of the first line of each class."""
+    words = lines.select(*SPOT, word_array(F.col("line"), F.lower).alias("words"))
+    hashed = words.select(*SPOT, F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+    level = lambda h: F.get(levels, h.bitwiseAND(buckets - 1).cast("int"))
+    order = F.sort_array(F.transform(F.array_distinct("hashes"), lambda h: level(h).bitwiseOR(F.shiftrightunsigned(h, 8))))
+    size = F.size("hashes")
+    starts = (F.lit(1), F.lit(RUN + 1), F.greatest(F.lit(1), size - RUN + 1))
+    runs = [F.xxhash64(F.lit(i), F.slice("hashes", s, F.lit(RUN))) for i, s in enumerate(starts) if i != 1]
+    runs.append(F.when(size > 2 * RUN, F.xxhash64(F.lit(1), F.slice("hashes", starts[1], F.lit(RUN)))))
+    made = hashed.select(*SPOT, F.filter(F.array(*runs), lambda r: r.isNotNull()).alias("runs"), order.alias("ordered"))
     half = "aggregate(ordered, 0L, (a, h) -> a ^ if((h & 64) = {}, shiftleft(1L, cast(h & 63 as int)), 0L))"
-    n = F.size("ordered")
-    # words of the prefix by a shorter hash: words that share it by chance only cost a look
-    prefix = F.transform(F.slice("ordered", 1, n - F.expr("(4 * size(ordered) + 4) div 5").cast("int") + 1), lambda h: (h % (2**31 - 1)).cast("int"))
-    made = keyed.withColumn("ordered", order).select("text_key", "doc_id", "line_no", n.alias("n"), F.expr(half.format(0)).alias("low"), F.expr(half.format(64)).alias("high"), prefix.alias("prefix"))
-    own = ("n", "low", "high", "prefix")
-    return made.groupBy("text_key").agg(first, *(F.any_value(c).alias(c) for c in own)).select("text_key", "first.*", *own)
+    prefix = F.slice("ordered", 1, F.size("ordered") - F.expr("(4 * size(ordered) + 4) div 5").cast("int") + 1)
+    sets = made.select(*SPOT, F.size("ordered").alias("n"), F.expr(half.format(0)).alias("low"), F.expr(half.format(64)).alias("high"), "runs", prefix.alias("prefix"))
+    sets = cut_lineage(sets.join(classes.select(*SPOT).hint("shuffle_hash"), list(SPOT)))
+    if sets.count() > classes.count():  # whole rows are repeated
+        sets = cut_lineage(sets.dropDuplicates(list(SPOT)))
+    return sets
+
+
+def _earlier(x: str, y: str) -> Column:
+    """Whether place x is before place y; x and y are prefixes of column names."""
+    return (F.col(f"{x}doc_id") < F.col(f"{y}doc_id")) | ((F.col(f"{x}doc_id") == F.col(f"{y}doc_id")) & (F.col(f"{x}line_no") < F.col(f"{y}line_no")))
+
+
+def _alike(x: str, y: str) -> Column:
+    """The length filter and the sketch; x and y are prefixes of column names."""
+    both = F.col(f"{x}n") + F.col(f"{y}n")
+    apart = [F.bit_count(F.col(f"{x}{half}").bitwiseXOR(F.col(f"{y}{half}"))) for half in ("low", "high")]
+    return (5 * F.least(f"{x}n", f"{y}n") >= 4 * F.greatest(f"{x}n", f"{y}n")) & (9 * (apart[0] + apart[1]) <= both)
+
 
+def _sized(rows: DataFrame, most: int = MAX_BROADCAST) -> DataFrame:
+    """``rows``, which are written already, to be broadcast if they are few enough."""
+    return F.broadcast(rows) if rows.count() <= most else rows
 
-def candidate_pairs(classes: DataFrame) -> DataFrame:
-    """(a_doc, a_line, b_doc, b_line): pairs of classes, a first, that pass all filters."""
-    entries = classes.select("doc_id", "line_no", "n", "low", "high", F.posexplode("prefix").alias("place", "word"))
+
+def _named(side: str, of: str = "") -> list[Column]:
+    return [F.col(f"{of}{c}").alias(f"{side}_{c}") for c in SPOT]
+
+
+def leader_pairs(sets: DataFrame, hops: int = 2) -> DataFrame:
+    """(a, b): each line with the earliest line of one of its runs that passes the filters, if that is earlier.
+
+    Where that line has such a leader itself and the two pass the filters, too, the leader's leader is taken.
+    """
+    own = ("n", "low", "high")
+    runs = sets.select(*SPOT, *own, F.explode("runs").alias("run"))
+    place = F.col("doc_id").cast("decimal(19,0)") * F.lit(10**10).cast("decimal(11,0)") + F.col("line_no")
+    runs = runs.withColumn("place", place.cast("decimal(38,0)"))
+    least = runs.groupBy("run").agg(F.min("place").alias("least"), F.count(F.lit(1)).alias("members")).filter("members > 1").drop("members")
+    grouped = cut_lineage(runs.join(least, "run"))
+    leaders = grouped.filter(F.col("place") == F.col("least")).select("run", *(F.col(c).alias(f"a_{c}") for c in (*SPOT, *own)))
+    met = grouped.join(leaders, "run").filter(_earlier("a_", "") & _alike("a_", "")).withColumnsRenamed({c: f"b_{c}" for c in (*SPOT, *own)})
+    of = lambda s: [f"{s}_{c}" for c in (*SPOT, *own)]
+    now = cut_lineage(met.groupBy(*of("b")).agg(F.min(F.struct(*of("a"))).alias("a")).select("a.*", *of("b")))
+    for _ in range(hops):
+        above = now.select(*(F.col(f"b_{c}").alias(f"a_{c}") for c in SPOT), F.struct(*(F.col(c).alias(f"up_{c[2:]}") for c in of("a"))).alias("up"))
+        hop = now.join(above, [f"a_{c}" for c in SPOT], "left").select(*of("a"), *of("b"), "up.*")
+        now = hop.select(*(F.when(_alike("up_", "b_"), F.col(f"up_{c}")).otherwise(F.col(f"a_{c}")).alias(f"a_{c}") for c in (*SPOT, *own)), *of("b"))
+    return now.select(*(f"a_{c}" for c in SPOT), *(f"b_{c}" for c in SPOT))
+
+
+def candidate_pairs(sets: DataFrame, settled: DataFrame) -> DataFrame:
+    """(a, b): pairs of classes that pass all filters, a earlier than what b is settled by, else than b.
+
+    settled: a, b.
+    """
+    bound = settled.select(F.col("b_doc_id").alias("doc_id"), F.col("b_line_no").alias("line_no"), F.col("b_key").alias("key"), F.col("a_doc_id").alias("until_doc_id"), F.col("a_line_no").alias("until_line_no"))
+    bounded = sets.join(_sized(bound), list(SPOT), "left").withColumns({"until_doc_id": F.coalesce("until_doc_id", "doc_id"), "until_line_no": F.coalesce("until_line_no", "line_no")})
+    entries = bounded.select(*SPOT, "n", "low", "high", "until_doc_id", "until_line_no", F.posexplode("prefix").alias("place", "word"))
+    entries = entries.withColumn("word", F.pmod("word", F.lit(2**31 - 1)).cast("int"))  # words that share it by chance only cost a look
     x, y = entries.alias("x"), entries.alias("y")
     most = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
-    both = F.col("x.n") + F.col("y.n")
-    joined = x.join(
-        y,
-        (F.col("x.word") == F.col("y.word"))
-        & ((F.col("x.doc_id") < F.col("y.doc_id")) | ((F.col("x.doc_id") == F.col("y.doc_id")) & (F.col("x.line_no") < F.col("y.line_no"))))
-        & (5 * F.least("x.n", "y.n") >= 4 * F.greatest("x.n", "y.n"))
-        & (9 * most >= 4 * both)
-        & (9 * (F.bit_count(F.col("x.low").bitwiseXOR(F.col("y.low"))) + F.bit_count(F.col("x.high").bitwiseXOR(F.col("y.high")))) <= both),
-    )
-    return joined.select(F.col("x.doc_id").alias("a_doc"), F.col("x.line_no").alias("a_line"), F.col("y.doc_id").alias("b_doc"), F.col("y.line_no").alias("b_line")).distinct()
+    on = (F.col("x.word") == F.col("y.word")) & _earlier("x.", "y.until_") & (9 * most >= 4 * (F.col("x.n") + F.col("y.n"))) & _alike("x.", "y.")
+    return x.join(y, on).select(*_named("a", "x."), *_named("b", "y.")).distinct()
 
 
 def verified_pairs(docs: DataFrame, pairs: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """The candidate pairs whose word sets are similar, with similarity."""
-    ends = cut_lineage(pairs.select(F.col("a_doc").alias("doc_id"), F.col("a_line").alias("line_no")).union(pairs.select("b_doc", "b_line")).distinct())
-    few = ends.count() <= max_broadcast
-    wanted = F.broadcast(ends) if few else ends
-    if few:
-        mine = docs.select("doc_id", "text").join(F.broadcast(ends.select("doc_id").distinct()), "doc_id", "left_semi")
-    else:
-        mine = docs.select("doc_id", "text")
-    words = lines_of(mine).join(wanted, ["doc_id", "line_no"]).dropDuplicates(["doc_id", "line_no"]).select("doc_id", "line_no", F.transform(F.array_distinct(word_array(F.col("line"), F.lower)), lambda w: F.xxhash64(w)).alias("words"))
-    side = lambda s: words.select(F.col("doc_id").alias(f"{s}_doc"), F.col("line_no").alias(f"{s}_line"), F.col("words").alias(f"{s}_words"))
-    rows = pairs.join(side("a"), ["a_doc", "a_line"]).join(side("b"), ["b_doc", "b_line"])
-    rows = rows.withColumn("common", F.size(F.array_intersect("a_words", "b_words"))).withColumn("both", F.size("a_words") + F.size("b_words"))
-    return rows.filter(9 * F.col("common") >= 4 * F.col("both")).select("a_doc", "a_line", "b_doc", "b_line", (F.col("common") / (F.col("both") - F.col("common"))).alias("similarity"))
+    """The pairs whose word sets are similar, with similarity."""
+    ends = pairs.select(F.col("a_doc_id").alias("doc_id"), F.col("a_line_no").alias("line_no"), F.col("a_key").alias("key")).union(pairs.select("b_doc_id", "b_line_no", "b_key")).distinct()
+    wanted = cut_lineage(ends.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "key")).alias("wanted")))
+    n = wanted.agg(F.sum(F.size("wanted")).alias("n")).first().n or 0
+    rows = docs.select("doc_id", "text").join(F.broadcast(wanted) if n <= max_broadcast else wanted, "doc_id")
+    rows = rows.select("doc_id", F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
+    rows = rows.select("doc_id", "w.line_no", "w.key", F.get("lines", F.col("w.line_no")).alias("line")).filter(F.xxhash64("line") == F.col("key"))
+    words = rows.select(*SPOT, F.array_distinct(F.transform(word_array(F.col("line"), F.lower), lambda w: F.xxhash64(w))).alias("words")).dropDuplicates(list(SPOT))
+    side = lambda s: words.select(*_named(s), F.col("words").alias(f"{s}_words"))
+    on = lambda s: [f"{s}_{c}" for c in SPOT]
+    made = pairs.join(side("a"), on("a")).join(side("b"), on("b"))
+    made = made.withColumn("common", F.size(F.array_intersect("a_words", "b_words"))).withColumn("both", F.size("a_words") + F.size("b_words"))
+    similar = made.filter(9 * F.col("common") >= 4 * F.col("both"))
+    return similar.select(*on("a"), *on("b"), (F.col("common") / (F.col("both") - F.col("common"))).alias("similarity"))
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, first_doc, first_line, similarity of every line that goes.
+    """doc_id, line_no, key, first_doc, first_line, similarity of every line that goes.
 
-    first_doc and first_line are the earliest similar line; similarity is 1.0 for an equal set of words.
+    first_doc and first_line are the earliest similar line; similarity is 1.0 for an equal set of words;
+    key is a hash of the line.
     """
     docs = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull())
-    pairs = cut_lineage(candidate_pairs(line_classes(docs, rarity_levels(docs))))
-    # most lines are settled by their earliest candidate; only for the others the rest is verified
-    first = pairs.groupBy("b_doc", "b_line").agg(F.min(F.struct("a_doc", "a_line")).alias("a")).select("a.*", "b_doc", "b_line")
-    settled = cut_lineage(verified_pairs(docs, first))
-    rest = pairs.join(settled.select("b_doc", "b_line"), ["b_doc", "b_line"], "left_anti").join(first, ["a_doc", "a_line", "b_doc", "b_line"], "left_anti")
-    similar = settled.unionByName(verified_pairs(docs, rest.select(*pairs.columns)))
-    earliest = similar.groupBy("b_doc", "b_line").agg(F.min(F.struct("a_doc", "a_line", "similarity")).alias("e")).select("b_doc", "b_line", "e.*")
-    classes = line_classes(docs)
-    named = classes.join(earliest, (F.col("doc_id") == F.col("b_doc")) & (F.col("line_no") == F.col("b_line")), "left")
-    named = named.select(
-        "text_key", F.coalesce("a_doc", "doc_id").alias("first_doc"), F.coalesce("a_line", "line_no").alias("first_line"), F.coalesce("similarity", F.lit(1.0)).alias("similarity")
+    lines = lines_of(docs)
+    classes = cut_lineage(line_classes(lines))
+    sets = word_sets(lines, classes, rarity_levels(docs))
+    settled = cut_lineage(verified_pairs(docs, cut_lineage(leader_pairs(sets))))
+    pairs = cut_lineage(candidate_pairs(sets, settled))
+    similar = settled.unionByName(verified_pairs(docs, pairs))
+    of_b = [F.col(f"b_{c}").alias(c) for c in SPOT]
+    earliest = similar.groupBy(*of_b).agg(F.min(F.struct("a_doc_id", "a_line_no", "similarity")).alias("e"))
+    named = classes.join(earliest, list(SPOT), "left").filter(F.col("e").isNotNull() | (F.col("n_lines") > 1))
+    named = cut_lineage(
+        named.select("key", "key2", F.coalesce("e.a_doc_id", "doc_id").alias("first_doc"), F.coalesce("e.a_line_no", "line_no").alias("first_line"), F.coalesce("e.similarity", F.lit(1.0)).alias("similarity"))
     )
-    named = cut_lineage(named)
-    lines = lines_of(docs).select("doc_id", "line_no", F.xxhash64("line", F.length("line")).alias("text_key"))
     at_first = (F.col("doc_id") == F.col("first_doc")) & (F.col("line_no") == F.col("first_line"))
-    return lines.join(named, "text_key").filter(~at_first).select("doc_id", "line_no", "first_doc", "first_line", "similarity")
+    return lines.drop("line").join(_sized(named), ["key", "key2"]).filter(~at_first).select("doc_id", "line_no", "key", "first_doc", "first_line", "similarity")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line of ``documents`` that goes, with the earlier line it repeats."""
-    return repeated_lines(table(spark, sf_dir, "documents"))
+    """Every line of ``documents`` that goes, with the earliest line that it repeats."""
+    return repeated_lines(table(spark, sf_dir, "documents")).drop("key")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -131,10 +195,10 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
     A document that loses all its lines stays with an empty text.
     """
-    gone = repeated_lines(docs).groupBy("doc_id").agg(F.collect_set("line_no").alias("gone_lines"))
+    gone = repeated_lines(docs).groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "key")).alias("gone_lines"))
     row = docs.select("doc_id", F.struct(*docs.columns).alias("row")).join(gone, "doc_id", "left")
-    kept = F.filter(F.transform(F.split(F.col("row.text"), "\n"), lambda line, i: F.struct(line.alias("line"), i.alias("i"))), lambda x: ~F.array_contains("gone_lines", x["i"]))
-    text = F.when(F.col("gone_lines").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform(kept, lambda x: x["line"]), "\n"))
+    lines = F.transform(F.split(F.col("row.text"), "\n"), lambda line, i: F.struct(line.alias("line"), F.struct(i.alias("line_no"), F.xxhash64(line).alias("key")).alias("spot")))
+    kept = F.transform(F.filter(lines, lambda x: ~F.array_contains("gone_lines", x["spot"])), lambda x: x["line"])
+    text = F.when(F.col("gone_lines").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))
     changed = {"text": text, "n_chars": F.length(text).cast("long")}
     return row.select(*(changed[c].alias(c) if c in changed else F.col("row").getField(c).alias(c) for c in docs.columns))
-
