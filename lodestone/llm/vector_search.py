@@ -6,11 +6,16 @@ first, and visits leaves until the calibrated number is reached: ``calibrate`` c
 queries with all vectors and widens the visits until their mean recall is ``TARGET``.
 
 Equal vectors are one class and searched once, so a frequent vector costs no more than a rare one: of a
-class only its ``k + 1`` smallest ids can be among k nearest, all its queries share one search.  Leaves are
-cut into blocks of vectors and of queries; a task compares one block with another.
+class only its ``k + 1`` smallest ids can be among k nearest, all its queries share one search.  Leaves that
+are neighbours in the tree share a shard of bounded size, crowded leaves are dealt over several; a query is
+sent once to each shard with the leaves that it visits there, and k + 1 rows of it leave a shard.
 
-Vectors that are null, empty, zero, of another length than most, or hold nulls or non-finite components
-take no part.  Ties go to the smaller id.
+The tree grows with the table up to ``SAMPLE`` sampled vectors; beyond, leaves hold more.  How much the
+traversal saves depends on the vectors: where they lie evenly in all directions, recall takes visits to
+about half of all leaves, so the work is then queries times vectors.
+
+Vectors that are null, empty, zero, or hold nulls or non-finite components take no part, nor do those of
+another length than most, as there is no inner product with them.  Ties go to the smaller id.
 """
 
 from __future__ import annotations
@@ -27,11 +32,11 @@ from lodestone.llm.common import cut_lineage, table
 
 K = 20
 #: Vectors that the tree is fitted on, branches of a node, sampled vectors of a leaf at most.
-SAMPLE, BRANCHES, LEAF = 20_000, 12, 48
+SAMPLE, BRANCHES, LEAF = 100_000, 12, 96
 #: Mean recall to reach in calibration, and its queries.
-TARGET, CALIBRATION = 0.98, 64
-#: Vectors and queries that one task compares, salts of a frequent vector.
-BLOCK, QUERY_BLOCK, SALTS = 4_096, 1_024, 64
+TARGET, CALIBRATION = 0.95, 128
+#: Vectors of a shard and queries that one task compares, queries that it compares at a time, salts of a frequent vector.
+SHARD, QUERY_BLOCK, AT_A_TIME, SALTS = 16_384, 512, 64, 64
 
 
 class Tree:
@@ -98,15 +103,16 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return (x @ centres.T - (centres**2).sum(axis=1) / 2).argmax(axis=1)
 
 
-def best(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def best(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, s: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, id, score): the k rows of x with the largest inner product with each q.
 
     Block products choose the candidates; the score is summed again row by row, so that it doesn't hang on
-    the block.
+    the block.  ``s`` are the products, -inf where they aren't wanted.
     """
-    s = q @ x.T
+    s = q @ x.T if s is None else s
     limit = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
-    rows, columns = np.nonzero(s >= (limit - 1e-9 * np.maximum(1, np.abs(limit)))[:, None])
+    limit = np.where(np.isfinite(limit), limit - 1e-9 * np.maximum(1, np.abs(limit)), limit)
+    rows, columns = np.nonzero((s >= limit[:, None]) & (s > -np.inf))
     score = np.concatenate([(q[rows[i : i + 65536]] * x[columns[i : i + 65536]]).sum(axis=1) for i in range(0, len(rows), 65536)] or [np.zeros(0)])
     order = np.lexsort((ids[columns], -score, rows))
     rows, columns, score = rows[order], columns[order], score[order]
@@ -161,13 +167,49 @@ def calibrate(tree: Tree, points: DataFrame, sizes: np.ndarray, queries: list[tu
     return int(np.searchsorted(found, min(target, found[-1]))) + 1
 
 
+def deal_out(sizes: np.ndarray, most: int = SHARD) -> tuple[np.ndarray, np.ndarray, int]:
+    """(first shard, number of shards of each leaf, number of all): leaves of over ``most`` vectors have
+    shards of their own, the others share one with their neighbours."""
+    first, parts, shard, held = np.zeros(len(sizes), np.int64), np.maximum(1, -(-sizes // most)), 0, 0
+    for leaf, size in enumerate(sizes.tolist()):
+        if held and (size > most or held + size > most):
+            shard, held = shard + 1, 0
+        first[leaf] = shard
+        if size > most:
+            shard += int(parts[leaf])
+        else:
+            held += size
+    return first, parts, shard + 1
+
+
+def compare(p: pd.DataFrame, q: pd.DataFrame, k: int) -> pd.DataFrame:
+    """qid, cid, score: the k best of a shard for each query, among the leaves that it visits."""
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    if len(p) and len(q):
+        p = p.sort_values("leaf", kind="stable")
+        x, ids, leaf = _matrix(p["v"]), p["cid"].to_numpy(), p["leaf"].to_numpy()
+        own, starts = np.unique(leaf, return_index=True)
+        ends = [*starts[1:].tolist(), len(leaf)]
+        for at in range(0, len(q), AT_A_TIME):
+            some = q.iloc[at : at + AT_A_TIME]
+            v, s = _matrix(some["v"]), np.full((len(some), len(x)), -np.inf)
+            to = np.repeat(np.arange(len(some)), some["leaves"].map(len))
+            at_leaf = np.searchsorted(own, np.concatenate(some["leaves"].to_list()))
+            for i, (low, high) in enumerate(zip(starts.tolist(), ends)):
+                rows = to[at_leaf == i]
+                s[rows, low:high] = v[rows] @ x[low:high].T
+            rows, found, score = best(v, x, ids, k, s)
+            out.append((some["qid"].to_numpy()[rows], found, score))
+    return pd.DataFrame(dict(zip(("qid", "cid", "score"), map(np.concatenate, zip(*out)))))
+
+
 def search(vectors: DataFrame, is_query, k: int = K, target: float = TARGET) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest vectors found for every row where ``is_query``."""
     spark = vectors.sparkSession
     rows = usable(vectors.select("vec_id", "embedding"))
     n = rows.count()
-    draw = F.pmod(F.xxhash64(F.lit("tree"), "vec_id"), F.lit(1_000_000)) < int(min(1.0, SAMPLE / max(n, 1)) * 1_000_000)
-    sample = rows.filter(draw).select("v").toArrow().to_pandas()
+    place = F.xxhash64(F.lit("tree"), "vec_id") / F.lit(2.0**64) + 0.5
+    sample = rows.filter(place < min(1.0, SAMPLE / max(n, 1))).select("v").toArrow().to_pandas()
     tree = Tree(_matrix(sample["v"]) if len(sample) else np.zeros((0, 1)))
     shared = spark.sparkContext.broadcast(tree)
 
@@ -179,31 +221,30 @@ def search(vectors: DataFrame, is_query, k: int = K, target: float = TARGET) ->
     sizes = np.zeros(tree.leaves, np.int64)
     for r in points.groupBy("leaf").count().collect():
         sizes[r.leaf] = r["count"]
+    first, parts, _ = deal_out(sizes)
     asked = cut_lineage(rows.filter(is_query).select("key", "v").distinct().join(points.select("key", "v", "cid"), ["key", "v"]).select(F.col("cid").alias("qid"), "v"))
     trial = [(r.qid, list(r.v)) for r in asked.orderBy(F.xxhash64("qid")).limit(CALIBRATION).collect()]
     leaves = calibrate(tree, points, sizes, trial, k, target)
 
     def route(batches):
         for pdf in batches:
+            out = []
             for qid, v in zip(pdf["qid"], pdf["v"]):
-                to = shared.value.visits(np.asarray(v), sizes, leaves, 4 * k)
-                yield pd.DataFrame({"qid": qid, "v": [v] * len(to), "leaf": np.array(to, np.int32)})
-
-    routed = asked.mapInPandas(route, "qid long, v array<double>, leaf int")
-    busy = spark.createDataFrame([(leaf, int(-(-s // BLOCK))) for leaf, s in enumerate(sizes.tolist()) if s], "leaf int, blocks int")
-    crowds = cut_lineage(asked.mapInPandas(lambda it: (pd.DataFrame({"leaf": np.array([leaf for v in pdf["v"] for leaf in shared.value.visits(np.asarray(v), sizes, leaves, 4 * k)], np.int32)}) for pdf in it), "leaf int").groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("crowds")))
-    plan = F.broadcast(busy.join(crowds, "leaf"))  # one row for each leaf, of which there are a bounded number
-    left = points.select("cid", "v", "leaf").join(plan, "leaf").select("cid", "v", "leaf", F.pmod(F.xxhash64("cid"), F.col("blocks")).alias("block"), F.explode(F.sequence(F.lit(0), F.col("crowds") - 1)).alias("crowd"))
-    right = routed.join(plan, "leaf").select("qid", "v", "leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("block"), F.pmod(F.xxhash64("qid"), F.col("crowds")).cast("int").alias("crowd"))
-
-    def compare(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if not len(p) or not len(q):
-            return pd.DataFrame({"qid": [], "cid": [], "score": []}).astype({"qid": "int64", "cid": "int64"})
-        at, ids, score = best(_matrix(q["v"]), _matrix(p["v"]), p["cid"].to_numpy(), k + 1)
-        return pd.DataFrame({"qid": q["qid"].to_numpy()[at], "cid": ids, "score": score})
-
-    keys = ("leaf", "block", "crowd")
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "qid long, cid long, score double")
+                to: dict[int, list[int]] = {}
+                for leaf in shared.value.visits(v, sizes, leaves, 4 * k):
+                    for shard in range(first[leaf], first[leaf] + parts[leaf]):
+                        to.setdefault(shard, []).append(leaf)
+                out += [(qid, v, shard, own) for shard, own in to.items()]
+            yield pd.DataFrame(out, columns=["qid", "v", "shard", "leaves"])
+
+    routed = cut_lineage(asked.mapInPandas(route, "qid long, v array<double>, shard long, leaves array<int>"))
+    crowds = F.broadcast(routed.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("crowds")))  # a row for each shard
+    dealt = F.broadcast(spark.createDataFrame([(leaf, int(first[leaf]), int(parts[leaf])) for leaf in range(tree.leaves)], "leaf int, first long, parts long"))
+    held = points.join(dealt, "leaf").select("cid", "v", "leaf", (F.col("first") + F.pmod(F.xxhash64("cid"), F.col("parts"))).alias("shard"))
+    left = held.join(crowds, "shard").select("cid", "v", "leaf", "shard", F.explode(F.sequence(F.lit(0), F.col("crowds") - 1)).alias("crowd"))
+    right = routed.join(crowds, "shard").select("qid", "v", "leaves", "shard", F.pmod(F.xxhash64("qid"), F.col("crowds")).cast("int").alias("crowd"))
+    keys = ("shard", "crowd")
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(lambda p, q: compare(p, q, k + 1), "qid long, cid long, score double")
     place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "cid"))
     top = found.withColumn("place", place).filter(F.col("place") <= k + 1).join(points.select("cid", "ids"), "cid")
     members = top.select("qid", "score", F.explode("ids").alias("vec_id"))
