@@ -335,23 +335,65 @@ def test_language_id(spark):
 # ---- language model
 
 
-@pytest.mark.parametrize("most", [10_000, 0])
-def test_language_model(spark, most):
+@pytest.mark.parametrize("top", [10_000, 150, 0])
+def test_language_model(spark, top):
     texts = [None, "", *(sentence(60) for _ in range(60)), "Unseen words only", "W1 w1"]
-    docs = docs_of(spark, texts)
+    docs = docs_of(spark, texts).withColumn("score", F.lit("clash"))
     train = docs.filter("doc_id % 3 <> 0")
-    model, counts = language_model.fit(train, 2_000, most, 2)
-    rows = {r.doc_id: r for r in language_model.scored(docs, model, counts).collect()}
+    model, outside = language_model.fit(train, top)
+    rows = {r.doc_id: r for r in language_model.scored(docs, model, outside).collect()}
     c = Counter(w for i, t in enumerate(texts, 1) if i % 3 for w in [*words_of(t), b"\n"])
     total = sum(c.values())
-    assert model.tokens == total
+    assert model.words.tokens == total and len(model.words.keys) <= top and (outside is None) == (top > len(c))
     for i, t in enumerate(texts, 1):
         own = [*words_of(t), b"\n"]
         base = sum(math.log10((c[w] + 0.5) / (total + 0.5 * (len(c) + 1))) for w in own)
         assert rows[i].n_tokens == len(own) and rows[i].n_known == sum(c[w] > 0 for w in own) and abs(rows[i].base_score - base) < 1e-9
         assert rows[i].score < 0 and math.isfinite(rows[i].score) and rows[i].bits_per_byte > 0
-    held = [rows[i] for i in range(3, 60, 3)]
-    assert sum(r.score for r in held) > 1.1 * sum(r.base_score for r in held)
+    again = {r.doc_id: r.score for r in language_model.scored(docs.filter("doc_id % 2 = 0"), model, outside).collect()}
+    assert all(abs(again[i] - rows[i].score) < 1e-6 for i in again)  # a score doesn't hang on the other texts
+    if top:
+        assert rows[1].score > rows[63].score  # new words cost their letters
+    assert language_model.scored(docs, *language_model.fit(docs.limit(0))).filter("score < 0 and n_known = 0").count() == len(texts)
+    assert language_model.scored(docs.limit(0), model, outside).count() == 0
+
+
+def test_language_model_against_a_plain_coder():
+    """The probability of a text, bit after bit, in plain Python."""
+    texts = ["W1 w2 w3 w2 " * 40 + "strange", "w9", None, "w5 " * 700 + "w5 other w5"]
+    keys, times = np.unique(np.concatenate(list(language_model.word_keys([sentence(4000)]))), return_counts=True)
+    words = language_model.Dictionary(keys, times, int(times.sum()), len(keys), 1, 5.0)
+    model = language_model.Model(words, RNG.integers(0, 40, (language_model.SLOTS, 2)).astype(np.float32))
+    text, _, *coded = language_model.tokens_of(words, texts, 1)
+    found = model.log10(text, len(texts), *coded)
+    tails = language_model.Tails(words, text, coded[0], language_model.classes_of(coded[0]))
+    bits = []
+    for group in language_model.bits_of(words, text, *coded, model.byte_p, tails):
+        inputs, gates = model.inputs(group)
+        for i, token in enumerate(group.token.tolist()):
+            at = group.at if isinstance(group.at, int) else int(group.at[i])
+            bits.append((token, at, int(group.bit[i]), [float(x[i]) for x in inputs], int(gates[i]), [int(n[i]) for n in group.names]))
+    bits.sort(key=lambda b: b[:2])
+    for t in range(len(texts)):
+        mine = [b for b in bits if text[b[0]] == t]
+        want = sum(float(x) for x, token in zip(tails.log10, tails.token) if text[token] == t)
+        for at in range(0, len(mine), language_model.SEGMENT):
+            weights = [list(map(float, language_model.START)) for _ in range(language_model.GATES)]
+            refined = [1 / (1 + math.exp(-(b - language_model.BUCKETS / 2 + 0.5) * 1.5)) for b in range(language_model.BUCKETS)]
+            seen = Counter()
+            for _, _, bit, x, gate, names in mine[at : at + language_model.SEGMENT]:
+                own = [(i, n & (size - 1)) for i, (n, size) in enumerate(zip(names, language_model.OWN))]
+                x = x + [float(language_model._STRETCH[seen[o]]) for o in own]
+                dot = sum(a * b for a, b in zip(weights[gate], x))
+                p = 1 / (1 + math.exp(-dot))
+                bucket = min(max(int(dot / 1.5 + language_model.BUCKETS / 2), 0), language_model.BUCKETS - 1)
+                final = p + (refined[bucket] - p) * 0.1
+                want += math.log10(final if bit else 1 - final)
+                weights[gate] = [w + (bit - p) * language_model.RATE * v for w, v in zip(weights[gate], x)]
+                refined[bucket] += (bit - refined[bucket]) * language_model.REFINE
+                for o in own:
+                    seen[o] = int(language_model._NEXT[seen[o], bit])
+        assert found[t] == pytest.approx(want, rel=1e-3)
 
 
 # ---- toxicity
