@@ -1,16 +1,19 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
-A document is its set of word shingles; equal sets are one class, and one member stands for it.  In each
-of several independent trees a document walks down by its minwise shingles: at each level the shingle
-with the least hash of that tree and level chooses the branch.  Nodes with few documents are compared
-exhaustively; larger ones branch again.  Documents that still share a node after the last level are dealt
-into blocks, and the documents with the highest average similarity to the node (estimated from the
-minwise values) join every block of it.
-
-All this only gives a first grouping, as it may part similar documents.  The documents are then joined
-exactly, by prefix, length and place filters on their full sets; only pairs that the first grouping has not
-yet put together are made, so no link is missed.  Every link is confirmed on the full sets.  Links within a
-group are only sought until the group hangs together, as components are what counts.
+A document is its set of word shingles; equal sets are one class, and one member stands for it.  A set
+is embedded as COORDINATES minwise tokens.  In each of several independent trees a node samples BRANCHES of
+the coordinates, and a document goes down one branch for each, named by its token there: at similarity s
+two documents share 3s branches of each node in the mean, over two at 0.8, so a common path hardly ever
+dies out ((1 - s) ** 3 for a level: 0.8 % at 0.8, and trees are repeated).  Nodes with few
+documents are compared exhaustively, larger ones branch again.  Documents that still share a node after the
+last level are dealt into blocks, and the documents with the highest average similarity to the node
+(estimated from the minwise tokens) join every block of it.
+
+A node that doesn't shrink (a template with many copies) may part similar documents there.  So that no link is
+missed, an exact check follows: the documents are joined by prefix, length and place filters on their full
+sets, but only pairs that the trees have not yet put together are made.  Every link is confirmed on the
+full sets.  Links within a group are only sought until the group hangs together, as components are what
+counts.
 
 Null, empty and wordless texts have an empty set and are linked with nothing.
 """
@@ -30,7 +33,9 @@ from lodestone.llm.common import ROWS, cut_lineage, map_batches, table
 from lodestone.llm.components import components
 from lodestone.llm.hashing import mixed, shingle_sets
 
-TREES, LEVELS, SMALL = 6, 4, 200
+TREES, LEVELS, SMALL = 2, 3, 200
+#: Minwise tokens of a set, and how many of them a node samples.
+COORDINATES, BRANCHES = 24, 3
 #: Documents per oversize node that join all of its blocks.
 PIVOTS = 8
 #: Group members that are broadcast to the texts.
@@ -47,9 +52,9 @@ def minwise(shingles: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     return least.astype(np.uint32).view(np.int32)
 
 
-def signatures(docs: DataFrame, k: int, trees: int = TREES, levels: int = LEVELS) -> DataFrame:
+def signatures(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n_shingles, set_key (equal for equal sets, null for empty ones), minwise array<int>."""
-    seeds = np.random.default_rng(7).integers(0, 2**63, trees * levels, dtype=np.uint64)
+    seeds = np.random.default_rng(7).integers(0, 2**63, COORDINATES, dtype=np.uint64)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sizes, keys, least = [], [], []
@@ -84,9 +89,12 @@ def small_groups(reps: DataFrame, trees: int = TREES, levels: int = LEVELS, smal
     """
     spark = reps.sparkSession
     at = reps.select("rep", "minwise", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), F.lit(0).cast("long").alias("node"))
+    share = COORDINATES // BRANCHES
+    sampled = [F.lit(j * share) + F.pmod(F.xxhash64("tree", "node", F.lit(j)), F.lit(share)).cast("int") for j in range(BRANCHES)]
+    branches = F.explode(F.array(*(F.xxhash64("node", i, F.get("minwise", i)) for i in sampled))).alias("node")
     leaves = spark.createDataFrame([], "tree int, node long, rep long")
     for level in range(levels):
-        at = at.withColumn("node", F.xxhash64("node", F.get("minwise", F.col("tree") * levels + level)))
+        at = at.select("rep", "minwise", "tree", branches)
         counts = cut_lineage(at.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
         leaves = leaves.unionByName(at.join(counts.filter(F.col("n") <= small), ["tree", "node"]).select("tree", "node", "rep"))
         large = counts.filter(F.col("n") > small)
@@ -243,7 +251,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, numerator: int = 80, denominato
     Documents whose sets have ``denominator * common >= numerator * all`` are linked; component_id is the
     smallest doc_id reachable.  Repeated rows of an id fall into one class if their texts agree.
     """
-    signed = cut_lineage(signatures(docs, k, trees, levels))
+    signed = cut_lineage(signatures(docs, k))
     classes = cut_lineage(signed.filter(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.any_value("minwise").alias("minwise")))
     reps = classes.select("rep", "minwise")
     groups = cut_lineage(likely_members(small_groups(reps, trees, levels, small), reps, numerator / denominator))

@@ -143,6 +143,23 @@ def test_pairs_within_a_template(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == want
 
 
+def test_recall_of_the_trees(spark):
+    """Before the exact check: the share of similar pairs that share a node, against brute force."""
+    texts = []
+    for _ in range(120):
+        base = sentence(120)
+        texts += [base, near(base, RNG.integers(1, 4))]
+    texts += [sentence(120) for _ in range(200)]
+    sets = [shingles(t, 5) for t in texts]
+    similar = {(a, b) for a, b in itertools.combinations(range(1, len(sets) + 1), 2) if 100 * len(sets[a - 1] & sets[b - 1]) >= 80 * len(sets[a - 1] | sets[b - 1])}
+    reps = near_duplicates.signatures(docs_of(spark, texts), 5).select(F.col("doc_id").alias("rep"), "minwise")
+    groups = {}
+    for r in near_duplicates.small_groups(reps).collect():
+        groups.setdefault(r.gid, set()).add(r.rep)
+    found = {p for g in groups.values() for p in itertools.combinations(sorted(g), 2)}
+    assert len(similar) > 80 and len(similar - found) <= 0.01 * len(similar) and len(found) < 5_000
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (3, 4), (9, 8), (8, 7), (5, 5), (2, 1), (20, 1)]
     found = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
