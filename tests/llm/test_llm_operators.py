@@ -74,7 +74,7 @@ def test_main_text(spark):
 def test_style_tree_cuts_what_repeats_on_a_host(spark):
     page = "<html><body><div class='x1'><p>same words everywhere</p></div><div class='x2'><p>{}</p></div></body></html>"
     pages = spark.createDataFrame([(i, f"http://h/{i}", page.format(sentence(20))) for i in range(12)], "page_id long, url string, html string")
-    assert {r.node for r in html_main_text.cut_nodes(pages).collect()} >= {"html>body>div.x1"}
+    assert {r.node for r in html_main_text.cut_nodes(html_main_text.node_counts(pages)).collect()} >= {"p>html>body>div.x1"}
     for most in (100, 0):  # broadcast, and joined by host
         assert not any("same words" in r.text or not r.text for r in html_main_text.main_text(pages, most).collect())
 
@@ -88,6 +88,40 @@ def test_hosts_are_the_same_joined_and_broadcast(spark):
     assert few == joined and not any("same words" in few[i] for i in range(36)) and "same words" in few[99]
 
 
+def test_deep_markup(spark):
+    deep = "<html><body>" + "<div>" * 300 + "<nav>menu</nav><p>text</p>" + "</div>" * 300 + "<div><p>after</p></div><footer>foot</footer></body></html>"
+    pages = spark.createDataFrame([(1, "http://a/1", deep), (2, "http://b/1", "<article>" + "<blockquote>" * 400 + "quote" + "</blockquote>" * 400 + "<p>end</p></article><p>outside</p>")], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_main_text.main_text(pages).collect()} == {1: "text\nafter", 2: "quote\nend"}
+
+
+def test_importance_by_hand(spark):
+    """Entropies of a host's tree in plain Python."""
+    page = "<html><body><div class='m'><p>menu</p></div><div class='t'>{}</div></body></html>"
+    sources = [page.format("".join(f"<p>{sentence(5)}</p>" for _ in range(1 + i % 2))) for i in range(8)]
+    counts = html_main_text.node_counts(spark.createDataFrame([(i, "http://h/", x) for i, x in enumerate(sources)], "page_id long, url string, html string"))
+    found = {r.node: r for r in html_main_text.node_importance(counts).collect()}
+    parsed = [html_main_text.Page(x) for x in sources]
+    content, presentation, styles = {}, {}, {}
+    for leaf in {leaf for p in parsed for leaf, _ in p.blocks}:
+        texts = {t for p in parsed for at, t in p.blocks if at == leaf}
+        spread = []
+        for t in texts:
+            share = [sum(x == (leaf, t) for x in p.blocks) for p in parsed]
+            spread.append(-sum(c / sum(share) * math.log(c / sum(share)) for c in share if c))
+        content[leaf] = 1 - sum(spread) / len(spread) / math.log(8)
+    for node in {n for p in parsed for n in p.nodes}:
+        seen = Counter(">".join(c) for p in parsed for c in p.nodes.get(node, ()))
+        total = sum(seen.values())
+        presentation[node], styles[node] = -sum(c / total * math.log(c / total) for c in seen.values()) / math.log(8), len(seen)
+    g = html_main_text.GAMMA
+    for node, r in found.items():
+        depth = node.count(">")
+        below = [(g ** (leaf.count(">") - depth), c) for leaf, c in content.items() if leaf == node or leaf.startswith(node + ">")]
+        inner, damp = sum(w * c for w, c in below) / sum(w for w, _ in below), g ** styles.get(node, 0)
+        assert r.entropy == pytest.approx((1 - damp) * min(1, presentation.get(node, 1)) + damp * inner)
+    assert set(found) == {*content, *presentation} and found["p>html>body>div.m"].importance < 0.5 < found["p>html>body>div.t"].importance
+
+
 # ---- near duplicates
 
 
