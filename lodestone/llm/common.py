@@ -54,6 +54,11 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(parts))
 
 
+def drawn(what: str, *columns: str) -> Column:
+    """A number from 0 to 1 that hangs on the columns alone; rows with one below a rate are a sample."""
+    return F.xxhash64(F.lit(what), *columns) / F.lit(2.0**64) + 0.5
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType) -> DataFrame:
     """``fn`` on the rows of ``df``, ``ROWS`` of an Arrow batch at a time; narrow, in bounded memory."""
 

@@ -8,7 +8,8 @@ Features are the hashed character n-grams (one to four) of a whole text in lower
 stands between letters counts as one gap, scaled to unit length.  They are counted for many texts at a
 time with array operations.
 
-Training: about ``per_language`` texts of each language, drawn by a hash of the id, whole texts.  Texts
+Training: about ``per_language`` texts of each language, drawn by a hash of the id, whole texts, and about TOTAL
+of all languages at most.  Texts
 that are null or have no letter are ``und`` with score 0; texts of repeated rows are predicted alike;
 without training rows all are ``und``.
 """
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 from itertools import combinations
 
 import numpy as np
@@ -25,10 +26,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import fold, table
+from lodestone.llm.common import drawn, fold, table
 
-#: Training texts of a language, width of the hashed features, code points that are counted at a time.
-PER_LANGUAGE, WIDTH, CHARS = 500, 1 << 12, 1 << 21
+#: Training texts of a language, of all languages, width of the hashed features, code points that are counted at a time.
+PER_LANGUAGE, TOTAL, WIDTH, CHARS = 500, 10_000, 1 << 12, 1 << 21
 GRAMS = 4
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is fy af lb yi",
@@ -152,16 +153,14 @@ class Hierarchy:
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, width: int = WIDTH) -> Hierarchy:
-    """Trained on about ``per_language`` documents of each language of doc_id, text, lang."""
+    """Trained on about ``per_language`` documents of each language of doc_id, text, lang, about TOTAL at most."""
     known = docs.select("doc_id", "text", "lang").filter("lang is not null and text is not null")
     counts = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
-    place = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1_000_000))
-    drawn = [(F.col("lang") == x) & (place < int(min(1.0, per_language / n) * 1_000_000)) for x, n in sorted(counts.items())]
-    if not drawn:
+    each = min(per_language, TOTAL / max(1, len(counts)))
+    parts = [(F.col("lang") == x) & (drawn("language", "doc_id") <= min(1.0, each / n)) for x, n in sorted(counts.items())]
+    if not parts:
         return Hierarchy(np.zeros((0, width)), [], width)
-    wanted = drawn[0]
-    for d in drawn[1:]:
-        wanted = wanted | d
+    wanted = reduce(Column.__or__, parts)
 
     @F.pandas_udf("array<float>")
     def vector(texts: pd.Series) -> pd.Series:

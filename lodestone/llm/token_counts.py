@@ -23,8 +23,8 @@ from lodestone.llm.common import map_batches, table
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN = -1
-#: Counts of this many distinct chunks are kept by a Python worker, then it starts afresh.
-CACHE = 400_000
+#: Counts of this many distinct chunks are kept by a Python worker, then it starts afresh; longer ones aren't kept.
+CACHE, KEPT = 400_000, 64
 _WORDS = re.compile(r"[^\W_]+|[^\w\s]|_")
 
 
@@ -121,7 +121,8 @@ def count_tokens(docs: DataFrame, pieces: tuple[list[str], list[str]], id_col: s
             for c in set(chunks).difference(known):
                 if len(known) >= CACHE:
                     known.clear()
-                known[c] = matcher.chunk(c)
+                if len(c) <= KEPT:
+                    known[c] = matcher.chunk(c)
             got = [known.get(c) or matcher.chunk(c) for c in chunks]
             rows.append(tuple(map(sum, zip(*got))) if got else (0, 0, 0))
         columns = [pa.array([r[i] for r in rows], pa.int64()) for i in range(3)]

@@ -6,7 +6,7 @@ one machine that reads a clause:
 * report: after a verb of speech, insults and threats are quoted, not meant;
 * negation: within three tokens after a negation an insult or threat is denied;
 * target: an insult in a clause with a target, on either side, is aimed at someone;
-* threat: a threat counts as meant once a target follows or precedes it;
+* threat: a threat counts as meant if the clause has a target, on either side;
 * insult: what is left of an insult counts with the weight of its term.
 
 A clause yields (plain, aimed, denied, quoted) insult weight and (meant, denied or quoted) threats, and
@@ -27,9 +27,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import fold, table
+from lodestone.llm.common import drawn, fold, table
 
-MAX_LABELS, MAX_TERMS = 200_000, 50_000
+#: Labelled rows that are learned from at most.
+MAX_LABELS = 200_000
 #: Labelled rows for the logistic regression, and the least toxic texts and log odds of a learned term.
 MAX_FIT, MIN_TEXTS, MIN_ODDS = 40_000, 5, 2.0
 INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = "ITGNRO"
@@ -74,7 +75,8 @@ class Transducer:
 
 
 def grammar() -> Transducer:
-    """The composed machine; it writes p plain, a aimed, d denied, q quoted insult, m meant, u unmeant threat."""
+    """The composed machine; it writes p plain, a aimed, d denied, q quoted insult, m meant, u unmeant threat, and
+    t for a threat that no target stands before."""
     report = Transducer("own", {("own", REPORT): ("told", OTHER), ("told", INSULT): ("told", "q"), ("told", THREAT): ("told", "u"), ("told", REPORT): ("told", OTHER)})
     negation_arcs = {}
     for left in range(4):
@@ -85,7 +87,7 @@ def grammar() -> Transducer:
             negation_arcs[(left, INSULT)] = (left - 1, "d")
             negation_arcs[(left, THREAT)] = (left - 1, "u")
     target = Transducer("none", {("none", TARGET): ("seen", OTHER), ("seen", TARGET): ("seen", OTHER), ("seen", INSULT): ("seen", "a"), ("seen", THREAT): ("seen", "m")})
-    insult = Transducer("", {("", INSULT): ("", "p"), ("", THREAT): ("", "u")})
+    insult = Transducer("", {("", INSULT): ("", "p"), ("", THREAT): ("", "t")})
     machine = report
     for after in (Transducer(0, negation_arcs), target, insult):
         machine = machine.compose(after, "ITGNRO")
@@ -100,14 +102,17 @@ class Grammar:
         self.marked = {w for w, (c, _) in lexicon.items() if c in (INSULT, THREAT)}
 
     def clause(self, words: list[str]) -> np.ndarray:
-        """The yields of a clause.  An insult or threat before its target is aimed too."""
-        out, state, aimed = np.zeros(len(YIELDS)), self.machine.start, False
+        """The yields of a clause.  An insult before its target is aimed too, a threat meant."""
+        out, state, aimed, open_threats = np.zeros(len(YIELDS)), self.machine.start, False, 0.0
         for word in words:
             kind, weight = self.lexicon.get(word, (OTHER, 0.0))
             aimed = aimed or kind == TARGET
             state, y = self.machine.step(state, kind)
-            if y in "padqmu":
+            if y == "t":
+                open_threats += weight
+            elif y in "padqmu":
                 out["padqmu".index(y)] += weight
+        out[4 if aimed else 5] += open_threats
         if aimed:
             out[1] += out[0]
             out[0] = 0.0
@@ -134,12 +139,13 @@ def _sampled(labels: DataFrame, most: int) -> DataFrame:
     known = labels.select("doc_id", "toxic").filter("toxic is not null and doc_id is not null")
     n = known.count()
     if n > most:
-        known = known.filter(F.pmod(F.xxhash64(F.lit("labels"), "doc_id"), F.lit(1_000_000)) < int(most / n * 1_000_000))
+        known = known.filter(drawn("labels", "doc_id") < most / n)
     return known.groupBy("doc_id").agg((F.max("toxic") >= 1).cast("int").alias("toxic"))
 
 
-def learned_terms(docs: DataFrame, labels: DataFrame, max_terms: int = MAX_TERMS) -> dict[str, float]:
-    """Words of toxic texts with their log odds; docs: doc_id, text; labels: a bounded sample."""
+def learned_terms(docs: DataFrame, labels: DataFrame) -> dict[str, float]:
+    """Words of toxic texts with their log odds; docs: doc_id, text; labels: a bounded sample, which bounds the
+    words, too, as each is in MIN_TEXTS toxic texts at least."""
     rows = docs.join(F.broadcast(labels), "doc_id").select("toxic", F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+")).alias("words"))
     counts = rows.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
     totals = labels.agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).first()
@@ -147,7 +153,7 @@ def learned_terms(docs: DataFrame, labels: DataFrame, max_terms: int = MAX_TERMS
         return {}
     odds = F.log((F.col("t") + 0.5) / (totals.t + 1.0)) - F.log((F.col("c") + 0.5) / (totals.c + 1.0))
     terms = counts.filter((F.col("t") >= MIN_TEXTS) & (F.length("word") > 1)).withColumn("odds", odds).filter(F.col("odds") >= MIN_ODDS)
-    return {r.word: float(r.odds) for r in terms.orderBy(F.desc("odds"), "word").limit(max_terms).collect()}
+    return {r.word: float(r.odds) for r in terms.collect()}
 
 
 def lexicon_of(terms: dict[str, float]) -> dict[str, tuple[str, float]]:
@@ -194,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, max_fi
     docs = docs.select("doc_id", "text")
     first = lexicon_of(learned_terms(docs, known.filter(half == 0)))
     n = known.count()
-    rest = known.filter(half == 1).filter(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1_000_000)) < int(min(1.0, 2 * max_fit / max(n, 1)) * 1_000_000))
+    rest = known.filter(half == 1).filter(drawn("fit", "doc_id") < min(1.0, 2 * max_fit / max(n, 1)))
     rows = docs.join(F.broadcast(rest), "doc_id").select(features_of(docs.sparkSession, first, F.col("text")).alias("features"), "toxic").collect()
     y = np.array([r.toxic for r in rows], float)
     weights = DEFAULT

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.llm.common import cut_lineage, table
+from lodestone.llm.common import cut_lineage, drawn, table
 
 K = 20
 #: Vectors that the tree is fitted on, branches of a node, sampled vectors of a leaf at most.
@@ -208,8 +208,7 @@ def search(vectors: DataFrame, is_query, k: int = K, target: float = TARGET) ->
     spark = vectors.sparkSession
     rows = usable(vectors.select("vec_id", "embedding"))
     n = rows.count()
-    place = F.xxhash64(F.lit("tree"), "vec_id") / F.lit(2.0**64) + 0.5
-    sample = rows.filter(place < min(1.0, SAMPLE / max(n, 1))).select("v").toArrow().to_pandas()
+    sample = rows.filter(drawn("tree", "vec_id") <= min(1.0, SAMPLE / max(n, 1))).select("v").toArrow().to_pandas()
     tree = Tree(_matrix(sample["v"]) if len(sample) else np.zeros((0, 1)))
     shared = spark.sparkContext.broadcast(tree)
 

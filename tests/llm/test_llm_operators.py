@@ -254,6 +254,28 @@ def test_decontamination(spark):
     assert decontamination.contamination(docs.limit(0), table).count() == decontamination.contamination(docs, table.limit(0)).count() == 0
 
 
+def test_decontamination_against_brute_force(spark):
+    """Every window of every item's length, by its bag of shingles."""
+    items = [sentence(n) for n in (8, 20, 60, 80)]
+    texts = [sentence(60), *(f"{sentence(15)} {near(items[i % 4], e)} {sentence(10)}" for i in range(4) for e in range(4)), f"{items[1]} {items[1]}", items[3], items[3]]
+
+    def bag(words, k):
+        return Counter(tuple(words[i : i + k]) for i in range(len(words) - k + 1))
+
+    want = set()
+    for d, text in enumerate(texts, 1):
+        for i, item in enumerate(items):
+            w, x = words_of(text), words_of(item)
+            k = min(5, len(x))
+            for window in (w[a : a + len(x)] for a in range(max(1, len(w) - len(x) + 1))):
+                a, b = bag(window, k), bag(x, k)
+                if sum((a & b).values()) >= 0.8 * sum((a | b).values()):
+                    want.add((d, i))
+    table = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontamination.contamination(docs_of(spark, texts).withColumn("m", F.lit("clash")), table).collect()}
+    assert len(want) > 8 and found == want
+
+
 def test_texts_shorter_than_an_item(spark):
     item = sentence(100)
     words = item.split()
@@ -457,7 +479,8 @@ def test_grammar_reads_clauses():
     assert read("an idiot")["plain"] == toxicity.SEED_WEIGHT
     assert read("you are not an idiot")["denied"] == toxicity.SEED_WEIGHT
     assert read("he said you are an idiot")["quoted"] == toxicity.SEED_WEIGHT
-    assert read("i will kill you")["unmeant"] + read("you i will kill")["meant"] == 2
+    assert read("i will kill you")["meant"] == read("you i will kill")["meant"] == 1
+    assert read("i will kill time")["unmeant"] == read("i will not kill you")["unmeant"] == read("he said he will kill you")["unmeant"] == 1
     assert not any(read("nothing here").values())
 
 
