@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import html as html_lib
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,7 +50,7 @@ def expand_variables(text: Column, variables: list[tuple[str, str]], prefix: str
     """Variables by their texts; ``variables``: (name pattern, text).  Longer names go first, case is ignored."""
     plain = F.regexp_replace(text, rf"(?<={prefix}[A-Za-z0-9\\_]{{0,120}})\\_", "_")
     steps = [(rf'(?i)(?:<code\s+class="expression">\s*{prefix}{name}\s*</code>|{prefix}{name}(?![A-Za-z0-9_]))', value) for name, value in sorted(variables, key=lambda v: (-len(v[0]), v[0]))]
-    return _replace_all(plain, steps)
+    return F.when(text.rlike(prefix), _replace_all(plain, steps)).otherwise(text)
 
 
 def unwrap_inline_html(text: Column) -> Column:
@@ -68,10 +70,20 @@ def clean_markdown(text: Column, variables: list[tuple[str, str]] | None = None)
     return normalize_whitespace(unwrap_inline_html(expand_variables(out, variables or [])))
 
 
-def html_visible_text(html: Column) -> Column:
-    """Tags to blanks, common entities decoded, white space as one blank."""
+def unescape(text: Column) -> Column:
+    """All character references decoded, named and numeric ones; texts without any don't leave the JVM's column."""
+
+    @F.pandas_udf("string")
+    def decoded(column: pd.Series) -> pd.Series:
+        return column.map(html_lib.unescape, na_action="ignore")
+
+    return F.when(text.contains("&"), decoded(text)).otherwise(text)
+
+
+def html_visible_text(html: Column, every_entity: bool = False) -> Column:
+    """Tags to blanks, common entities (or all) decoded, white space as one blank."""
     bare = F.regexp_replace(html, r"<[^>]*>", " ")
-    decoded = reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), ENTITIES, bare)
+    decoded = unescape(bare) if every_entity else reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), ENTITIES, bare)
     return F.trim(F.regexp_replace(decoded, r"[ \t\r\n\f]+", " "))
 
 

@@ -510,3 +510,6 @@ _TYPES = ", ".join(f"('{t}')" for t in golden.TYPES)
 )
 def golden_counts(spark, sf_dir):
     return golden.golden_counts(A.golden_set(spark, sf_dir)[0])
+
+
+from lodestone.jobs import planted  # noqa: E402,F401  registers its queries, too

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from lodestone.sources.tables import checksum
 
 MARKER = r"\[(\d+)\]"
 #: A change of a mean below this is noise, overall and for one type.
@@ -38,6 +41,12 @@ def run_totals(answers: DataFrame, by: str = "run_name") -> DataFrame:
     )
 
 
+def corpus_matches(rows: DataFrame, recorded: DataFrame, columns: list[str]) -> DataFrame:
+    """matches: whether the rows are those of which ``checksum`` recorded this, as one row."""
+    now = checksum(rows, columns).select(F.col("n_rows").alias("n"), F.col("checksum").alias("c"))
+    return now.join(F.broadcast(recorded)).select(((F.col("n") == F.col("n_rows")) & (F.col("c") == F.col("checksum"))).alias("matches"))
+
+
 def changed_questions(answers: DataFrame, golden: DataFrame) -> DataFrame:
     """Answers whose question isn't in the golden set as it is now."""
     now = golden.select("id", F.col("question").alias("now"))
@@ -86,7 +95,13 @@ def invalid_citations(answer: Column, n_retrieved: Column) -> Column:
 
 
 def claim_recall(verdicts: DataFrame) -> DataFrame:
-    """question_id, recall (two places), missing claims in order; verdicts: question_id, claim_no, claim, found."""
+    """question_id, recall (two places), missing claims in order; verdicts: question_id, claim_no, claim, found.
+
+    A claim without a verdict is an error, and so is a number of claims other than ``n_claims``, if that is a column.
+    """
+    count = F.col("n_claims") if "n_claims" in verdicts.columns else F.count(F.lit(1)).over(Window.partitionBy("question_id"))
+    given = F.count("found").over(Window.partitionBy("question_id"))
+    verdicts = verdicts.withColumn("found", F.when(given == count, F.col("found")).otherwise(F.raise_error(F.concat(F.lit("verdicts don't match the claims of question "), F.col("question_id").cast("string")))))
     missing = F.array_sort(F.collect_list(F.when(~F.col("found"), F.struct("claim_no", "claim"))))
     return verdicts.groupBy("question_id").agg(F.bround(F.avg(F.col("found").cast("double")), 2).alias("recall"), F.transform(missing, lambda m: m["claim"]).alias("missing"))
 

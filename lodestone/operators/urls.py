@@ -48,7 +48,7 @@ def count_by_category(urls: DataFrame, rules: list[Rule], patterns: list[str], o
 
 def _first(urls: DataFrame, n: Column) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("category").orderBy("url"))
-    return urls.withColumn("place", place).filter(n.isNull() | (F.col("place") <= n))
+    return urls.withColumn("place", place).filter(F.col("place") <= n)
 
 
 def sample_per_category(urls: DataFrame, rules: list[Rule], n: int = 5) -> DataFrame:
@@ -61,7 +61,8 @@ def select_urls(urls: DataFrame, rules: list[Rule], patterns: list[str], seeds:
     fits = F.array_compact(F.array(*(F.when(F.col("url").contains(r.fragment), F.struct(F.lit(r.category).alias("category"), F.lit(r.cap).cast("int").alias("cap"))) for r in rules)))
     matched = exclude_urls(urls, patterns).select("url", F.inline(fits))
     seeded = urls.sparkSession.createDataFrame([(s,) for s in seeds], "url string")
-    return _first(matched, F.col("cap")).select("url").unionByName(seeded).distinct()
+    capped = _first(matched.filter("cap is not null"), F.col("cap")).select("url")
+    return capped.unionByName(matched.filter("cap is null").select("url")).unionByName(seeded).distinct()
 
 
 def selection_breakdown(selected: DataFrame, rules: list[Rule], other: str = "seed/other") -> DataFrame:
