@@ -134,14 +134,20 @@ class Lattice:
         into: list[list] = [[] for _ in best]
         for e in edges:
             into[e[1]].append(e)
-        heap = [(-best[-1], (), len(unit), 0.0)]
+        # what lies behind a place is a chain of links, so that a step costs the same in long units
+        heap, made = [(-best[-1], 0, len(unit), 0.0, None)], 0
         while heap:
-            cost, ids, j, tail = heapq.heappop(heap)
+            cost, _, j, tail, link = heapq.heappop(heap)
             if j == 0:
-                yield -cost, ids
+                ids: list[int] = []
+                while link:
+                    ids += link[0]
+                    link = link[1]
+                yield -cost, tuple(ids)
                 continue
             for i, _, s, piece in into[j]:
-                heapq.heappush(heap, (-(best[i] + s + tail), piece + ids, i, s + tail))
+                made += 1
+                heapq.heappush(heap, (-(best[i] + s + tail), made, i, s + tail, (piece, link)))
 
     def chain_of(self, text: str | None) -> list[str]:
         """The units of a text, long ones cut wherever two characters stand side by side in no piece, as no
