@@ -34,7 +34,11 @@ BUCKETS = 1 << 17
 MAX_BROADCAST = 2_000_000
 #: Words of a run at the start or the end of a line by which near copies meet their earliest line.
 RUN = 4
-SPOT = ("doc_id", "line_no", "key")
+SPOT = ("doc_id", "line_no", "key", "key2")
+PLACE = ("doc_id", "line_no")
+TEXT = ("key", "key2")
+#: Lines of more words have a second sketch, of those words that have a certain bit set.
+WIDE = 96
 
 
 def rarity_levels(docs: DataFrame, buckets: int = BUCKETS) -> Column:
@@ -48,41 +52,55 @@ def rarity_levels(docs: DataFrame, buckets: int = BUCKETS) -> Column:
     return F.split(F.lit(",".join(levels)), ",").cast("array<bigint>")
 
 
+def text_keys() -> tuple[Column, Column]:
+    """key, key2: two hashes of a line, by which lines are equal."""
+    return F.xxhash64("line").alias("key"), F.xxhash64(F.lit(7), "line", F.length("line")).alias("key2")
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
     """doc_id, line_no, line, key, key2 (hashes of the text) of every line with a word."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     worded = lines.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-    return worded.select("doc_id", "line_no", "line", F.xxhash64("line").alias("key"), F.xxhash64(F.lit(7), "line", F.length("line")).alias("key2"))
+    return worded.select("doc_id", "line_no", "line", *text_keys())
 
 
-def line_classes(lines: DataFrame) -> DataFrame:
-    """key, key2, doc_id, line_no of the first line, n_lines of each class.
+def _place() -> Column:
+    """doc_id and line_no as one number, so that Spark can aggregate by hashing."""
+    return (F.col("doc_id").cast("decimal(19,0)") * F.lit(10**10).cast("decimal(11,0)") + F.col("line_no")).cast("decimal(38,0)")
 
-    A place is one number here, so that Spark can aggregate by hashing.
-    """
-    place = F.col("doc_id").cast("decimal(19,0)") * F.lit(10**10).cast("decimal(11,0)") + F.col("line_no")
-    classes = lines.groupBy("key", "key2").agg(F.min(place.cast("decimal(38,0)")).alias("place"), F.count(F.lit(1)).alias("n_lines"))
+
+def repeated_texts(lines: DataFrame) -> DataFrame:
+    """key, key2, first_doc, first_line (its first line) of each text that more lines than one have."""
+    classes = lines.groupBy(*TEXT).agg(F.min(_place()).alias("place"), F.count(F.lit(1)).alias("n_lines")).filter("n_lines > 1")
     line_no = F.pmod("place", F.lit(10**10).cast("decimal(11,0)"))
     doc_id = ((F.col("place") - line_no) / F.lit(10**10).cast("decimal(11,0)")).cast("bigint")
-    return classes.select("key", "key2", doc_id.alias("doc_id"), line_no.cast("int").alias("line_no"), "n_lines")
+    return classes.select(*TEXT, doc_id.alias("first_doc"), line_no.cast("int").alias("first_line"))
+
 
+def word_sets(lines: DataFrame, repeated: DataFrame, levels: Column, buckets: int = BUCKETS) -> DataFrame:
+    """doc_id, line_no, key, key2, n, low, high (sketch), runs, prefix, many (the text repeats) of the first line of
+    each text.
 
-def word_sets(lines: DataFrame, classes: DataFrame, levels: Column, buckets: int = BUCKETS) -> DataFrame:
-    """doc_id, line_no, key, n, low, high (sketch), runs, prefix of the first line of each class."""
-    words = lines.select(*SPOT, word_array(F.col("line"), F.lower).alias("words"))
-    hashed = words.select(*SPOT, F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+    Words of a prefix are 31 bits of their hashes; words that share them by chance only cost a look.
+    """
+    firsts = lines.join(_sized(repeated), list(TEXT), "left").withColumn("many", F.col("first_doc").isNotNull())
+    firsts = firsts.filter(~F.col("many") | ((F.col("doc_id") == F.col("first_doc")) & (F.col("line_no") == F.col("first_line"))))
+    words = firsts.select(*SPOT, "many", word_array(F.col("line"), F.lower).alias("words"))
+    hashed = words.select(*SPOT, "many", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
     level = lambda h: F.get(levels, h.bitwiseAND(buckets - 1).cast("int"))
     order = F.sort_array(F.transform(F.array_distinct("hashes"), lambda h: level(h).bitwiseOR(F.shiftrightunsigned(h, 8))))
     size = F.size("hashes")
     starts = (F.lit(1), F.lit(RUN + 1), F.greatest(F.lit(1), size - RUN + 1))
     runs = [F.xxhash64(F.lit(i), F.slice("hashes", s, F.lit(RUN))) for i, s in enumerate(starts) if i != 1]
     runs.append(F.when(size > 2 * RUN, F.xxhash64(F.lit(1), F.slice("hashes", starts[1], F.lit(RUN)))))
-    made = hashed.select(*SPOT, F.filter(F.array(*runs), lambda r: r.isNotNull()).alias("runs"), order.alias("ordered"))
-    half = "aggregate(ordered, 0L, (a, h) -> a ^ if((h & 64) = {}, shiftleft(1L, cast(h & 63 as int)), 0L))"
-    prefix = F.slice("ordered", 1, F.size("ordered") - F.expr("(4 * size(ordered) + 4) div 5").cast("int") + 1)
-    sets = made.select(*SPOT, F.size("ordered").alias("n"), F.expr(half.format(0)).alias("low"), F.expr(half.format(64)).alias("high"), "runs", prefix.alias("prefix"))
-    sets = cut_lineage(sets.join(classes.select(*SPOT).hint("shuffle_hash"), list(SPOT)))
-    if sets.count() > classes.count():  # whole rows are repeated
+    made = hashed.select(*SPOT, "many", F.filter(F.array(*runs), lambda r: r.isNotNull()).alias("runs"), order.alias("ordered"))
+    parity = "aggregate({}, 0L, (a, h) -> a ^ shiftleft(1L, cast(h & 63 as int)))"
+    low = F.expr(parity.format("ordered"))
+    high = F.expr(f"if(size(ordered) > {WIDE}, {parity.format('filter(ordered, h -> (h & 64) = 64)')}, null)")
+    first = F.slice("ordered", 1, F.size("ordered") - F.expr("(4 * size(ordered) + 4) div 5").cast("int") + 1)
+    prefix = F.transform(first, lambda w: F.pmod(w, F.lit(2**31 - 1)).cast("int"))
+    sets = cut_lineage(made.select(*SPOT, "many", F.size("ordered").alias("n"), low.alias("low"), high.alias("high"), "runs", prefix.alias("prefix")))
+    if sets.filter("many").count() > repeated.count():  # whole rows are repeated
         sets = cut_lineage(sets.dropDuplicates(list(SPOT)))
     return sets
 
@@ -95,8 +113,9 @@ def _earlier(x: str, y: str) -> Column:
 def _alike(x: str, y: str) -> Column:
     """The length filter and the sketch; x and y are prefixes of column names."""
     both = F.col(f"{x}n") + F.col(f"{y}n")
-    apart = [F.bit_count(F.col(f"{x}{half}").bitwiseXOR(F.col(f"{y}{half}"))) for half in ("low", "high")]
-    return (5 * F.least(f"{x}n", f"{y}n") >= 4 * F.greatest(f"{x}n", f"{y}n")) & (9 * (apart[0] + apart[1]) <= both)
+    of_all, of_some = (F.col(f"{x}{c}").bitwiseXOR(F.col(f"{y}{c}")) for c in ("low", "high"))
+    apart = F.coalesce(F.bit_count(of_some) + F.bit_count(of_all.bitwiseXOR(of_some)), F.bit_count(of_all))
+    return (5 * F.least(f"{x}n", f"{y}n") >= 4 * F.greatest(f"{x}n", f"{y}n")) & (9 * apart <= both)
 
 
 def _sized(rows: DataFrame, most: int = MAX_BROADCAST) -> DataFrame:
@@ -104,8 +123,8 @@ def _sized(rows: DataFrame, most: int = MAX_BROADCAST) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= most else rows
 
 
-def _named(side: str, of: str = "") -> list[Column]:
-    return [F.col(f"{of}{c}").alias(f"{side}_{c}") for c in SPOT]
+def _named(side: str, columns: tuple[str, ...] = SPOT, of: str = "") -> list[Column]:
+    return [F.col(f"{of}{c}").alias(f"{side}_{c}") for c in columns]
 
 
 def leader_pairs(sets: DataFrame, hops: int = 2) -> DataFrame:
@@ -115,10 +134,10 @@ def leader_pairs(sets: DataFrame, hops: int = 2) -> DataFrame:
     """
     own = ("n", "low", "high")
     runs = sets.select(*SPOT, *own, F.explode("runs").alias("run"))
-    place = F.col("doc_id").cast("decimal(19,0)") * F.lit(10**10).cast("decimal(11,0)") + F.col("line_no")
-    runs = runs.withColumn("place", place.cast("decimal(38,0)"))
-    least = runs.groupBy("run").agg(F.min("place").alias("least"), F.count(F.lit(1)).alias("members")).filter("members > 1").drop("members")
-    grouped = cut_lineage(runs.join(least, "run"))
+    shared = cut_lineage(runs.groupBy("run").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("run"))
+    grouped = cut_lineage(runs.join(_sized(shared), "run").withColumn("place", _place()))
+    least = grouped.groupBy("run").agg(F.min("place").alias("least"))
+    grouped = grouped.join(F.broadcast(least) if shared.count() <= MAX_BROADCAST else least, "run")
     leaders = grouped.filter(F.col("place") == F.col("least")).select("run", *(F.col(c).alias(f"a_{c}") for c in (*SPOT, *own)))
     met = grouped.join(leaders, "run").filter(_earlier("a_", "") & _alike("a_", "")).withColumnsRenamed({c: f"b_{c}" for c in (*SPOT, *own)})
     of = lambda s: [f"{s}_{c}" for c in (*SPOT, *own)]
@@ -127,39 +146,41 @@ def leader_pairs(sets: DataFrame, hops: int = 2) -> DataFrame:
         above = now.select(*(F.col(f"b_{c}").alias(f"a_{c}") for c in SPOT), F.struct(*(F.col(c).alias(f"up_{c[2:]}") for c in of("a"))).alias("up"))
         hop = now.join(above, [f"a_{c}" for c in SPOT], "left").select(*of("a"), *of("b"), "up.*")
         now = hop.select(*(F.when(_alike("up_", "b_"), F.col(f"up_{c}")).otherwise(F.col(f"a_{c}")).alias(f"a_{c}") for c in (*SPOT, *own)), *of("b"))
-    return now.select(*(f"a_{c}" for c in SPOT), *(f"b_{c}" for c in SPOT))
+    return now.select(*(f"{s}_{c}" for s in "ab" for c in PLACE)).distinct()
 
 
 def candidate_pairs(sets: DataFrame, settled: DataFrame) -> DataFrame:
-    """(a, b): pairs of classes that pass all filters, a earlier than what b is settled by, else than b.
+    """(a, b): places of sets that pass all filters, a earlier than what b is settled by, else than b.
 
-    settled: a, b.
+    settled: a, b.  Both sides of the join use the same columns, so that the entries are shuffled once.
     """
-    bound = settled.select(F.col("b_doc_id").alias("doc_id"), F.col("b_line_no").alias("line_no"), F.col("b_key").alias("key"), F.col("a_doc_id").alias("until_doc_id"), F.col("a_line_no").alias("until_line_no"))
-    bounded = sets.join(_sized(bound), list(SPOT), "left").withColumns({"until_doc_id": F.coalesce("until_doc_id", "doc_id"), "until_line_no": F.coalesce("until_line_no", "line_no")})
-    entries = bounded.select(*SPOT, "n", "low", "high", "until_doc_id", "until_line_no", F.posexplode("prefix").alias("place", "word"))
-    entries = entries.withColumn("word", F.pmod("word", F.lit(2**31 - 1)).cast("int"))  # words that share it by chance only cost a look
+    bound = settled.select(*(F.col(f"b_{c}").alias(c) for c in SPOT), *_named("until", PLACE, "a_"))
+    entries = sets.join(_sized(bound), list(SPOT), "left").select(*PLACE, "n", "low", "high", "until_doc_id", "until_line_no", F.posexplode("prefix").alias("place", "word"))
     x, y = entries.alias("x"), entries.alias("y")
+    until_doc, until_line = F.coalesce("y.until_doc_id", "y.doc_id"), F.coalesce("y.until_line_no", "y.line_no")
+    before = (F.col("x.doc_id") < until_doc) | ((F.col("x.doc_id") == until_doc) & (F.col("x.line_no") < until_line))
     most = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
-    on = (F.col("x.word") == F.col("y.word")) & _earlier("x.", "y.until_") & (9 * most >= 4 * (F.col("x.n") + F.col("y.n"))) & _alike("x.", "y.")
-    return x.join(y, on).select(*_named("a", "x."), *_named("b", "y.")).distinct()
+    on = (F.col("x.word") == F.col("y.word")) & (F.col("x.doc_id") <= F.col("y.doc_id")) & before & (9 * most >= 4 * (F.col("x.n") + F.col("y.n"))) & _alike("x.", "y.")
+    met = x.join(y, on).select(*_named("a", (*PLACE, "until_doc_id", "until_line_no"), "x."), *_named("b", PLACE, "y.")).distinct()
+    return met.select(*(f"{s}_{c}" for s in "ab" for c in PLACE)).distinct()
 
 
 def verified_pairs(docs: DataFrame, pairs: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """The pairs whose word sets are similar, with similarity."""
-    ends = pairs.select(F.col("a_doc_id").alias("doc_id"), F.col("a_line_no").alias("line_no"), F.col("a_key").alias("key")).union(pairs.select("b_doc_id", "b_line_no", "b_key")).distinct()
-    wanted = cut_lineage(ends.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "key")).alias("wanted")))
+    """The pairs whose word sets are similar, with the hashes of both texts and similarity."""
+    ends = pairs.select(F.col("a_doc_id").alias("doc_id"), F.col("a_line_no").alias("line_no")).union(pairs.select("b_doc_id", "b_line_no")).distinct()
+    wanted = cut_lineage(ends.groupBy("doc_id").agg(F.collect_list("line_no").alias("wanted")))
     n = wanted.agg(F.sum(F.size("wanted")).alias("n")).first().n or 0
     rows = docs.select("doc_id", "text").join(F.broadcast(wanted) if n <= max_broadcast else wanted, "doc_id")
-    rows = rows.select("doc_id", F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
-    rows = rows.select("doc_id", "w.line_no", "w.key", F.get("lines", F.col("w.line_no")).alias("line")).filter(F.xxhash64("line") == F.col("key"))
-    words = rows.select(*SPOT, F.array_distinct(F.transform(word_array(F.col("line"), F.lower), lambda w: F.xxhash64(w))).alias("words")).dropDuplicates(list(SPOT))
-    side = lambda s: words.select(*_named(s), F.col("words").alias(f"{s}_words"))
-    on = lambda s: [f"{s}_{c}" for c in SPOT]
+    rows = rows.select("doc_id", F.split("text", "\n").alias("lines"), F.explode("wanted").alias("line_no"))
+    rows = rows.select(*PLACE, F.get("lines", "line_no").alias("line")).filter("line is not null")
+    words = F.array_distinct(F.transform(word_array(F.col("line"), F.lower), lambda w: F.xxhash64(w)))
+    words = rows.select(*PLACE, *text_keys(), words.alias("words")).filter(F.size("words") > 0).dropDuplicates(list(SPOT))
+    side = lambda s: words.select(*_named(s, (*SPOT, "words")))
+    on = lambda s: [f"{s}_{c}" for c in PLACE]
     made = pairs.join(side("a"), on("a")).join(side("b"), on("b"))
     made = made.withColumn("common", F.size(F.array_intersect("a_words", "b_words"))).withColumn("both", F.size("a_words") + F.size("b_words"))
     similar = made.filter(9 * F.col("common") >= 4 * F.col("both"))
-    return similar.select(*on("a"), *on("b"), (F.col("common") / (F.col("both") - F.col("common"))).alias("similarity"))
+    return similar.select(*(f"{s}_{c}" for s in "ab" for c in SPOT), (F.col("common") / (F.col("both") - F.col("common"))).alias("similarity"))
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
@@ -170,19 +191,16 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull())
     lines = lines_of(docs)
-    classes = cut_lineage(line_classes(lines))
-    sets = word_sets(lines, classes, rarity_levels(docs))
+    repeated = cut_lineage(repeated_texts(lines))
+    sets = word_sets(lines, repeated, rarity_levels(docs))
     settled = cut_lineage(verified_pairs(docs, cut_lineage(leader_pairs(sets))))
     pairs = cut_lineage(candidate_pairs(sets, settled))
     similar = settled.unionByName(verified_pairs(docs, pairs))
-    of_b = [F.col(f"b_{c}").alias(c) for c in SPOT]
-    earliest = similar.groupBy(*of_b).agg(F.min(F.struct("a_doc_id", "a_line_no", "similarity")).alias("e"))
-    named = classes.join(earliest, list(SPOT), "left").filter(F.col("e").isNotNull() | (F.col("n_lines") > 1))
-    named = cut_lineage(
-        named.select("key", "key2", F.coalesce("e.a_doc_id", "doc_id").alias("first_doc"), F.coalesce("e.a_line_no", "line_no").alias("first_line"), F.coalesce("e.similarity", F.lit(1.0)).alias("similarity"))
-    )
+    found = similar.select(*(F.col(f"b_{c}").alias(c) for c in TEXT), F.struct(F.col("a_doc_id").alias("first_doc"), F.col("a_line_no").alias("first_line"), "similarity").alias("e"))
+    own = repeated.select(*TEXT, F.struct("first_doc", "first_line", F.lit(1.0).alias("similarity")).alias("e"))
+    named = cut_lineage(found.unionByName(own).groupBy(*TEXT).agg(F.min("e").alias("e")).select(*TEXT, "e.*"))
     at_first = (F.col("doc_id") == F.col("first_doc")) & (F.col("line_no") == F.col("first_line"))
-    return lines.drop("line").join(_sized(named), ["key", "key2"]).filter(~at_first).select("doc_id", "line_no", "key", "first_doc", "first_line", "similarity")
+    return lines.drop("line").join(_sized(named), list(TEXT)).filter(~at_first).select("doc_id", "line_no", "key", "first_doc", "first_line", "similarity")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
