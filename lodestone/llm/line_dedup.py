@@ -162,7 +162,7 @@ def candidate_pairs(sets: DataFrame, settled: DataFrame) -> DataFrame:
     most = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
     on = (F.col("x.word") == F.col("y.word")) & (F.col("x.doc_id") <= F.col("y.doc_id")) & before & (9 * most >= 4 * (F.col("x.n") + F.col("y.n"))) & _alike("x.", "y.")
     met = x.join(y, on).select(*_named("a", (*PLACE, "until_doc_id", "until_line_no"), "x."), *_named("b", PLACE, "y.")).distinct()
-    return met.select(*(f"{s}_{c}" for s in "ab" for c in PLACE)).distinct()
+    return met.select(*(f"{s}_{c}" for s in "ab" for c in PLACE))
 
 
 def verified_pairs(docs: DataFrame, pairs: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
