@@ -80,7 +80,7 @@ def unescape(text: Column) -> Column:
     return F.when(text.contains("&"), decoded(text)).otherwise(text)
 
 
-def html_visible_text(html: Column, every_entity: bool = False) -> Column:
+def html_visible_text(html: Column, *, every_entity: bool = False) -> Column:
     """Tags to blanks, common entities (or all) decoded, white space as one blank."""
     bare = F.regexp_replace(html, r"<[^>]*>", " ")
     decoded = unescape(bare) if every_entity else reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), ENTITIES, bare)

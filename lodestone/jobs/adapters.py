@@ -33,7 +33,7 @@ def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def markdown_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """url, document_id, text, breadcrumb: the heading and paragraphs of each page as Markdown."""
-    paragraphs = F.transform(F.regexp_extract_all("html", F.lit(r"<p>([^<]+)</p>"), F.lit(1)), html_visible_text)
+    paragraphs = F.transform(F.regexp_extract_all("html", F.lit(r"<p>([^<]+)</p>"), F.lit(1)), lambda x: html_visible_text(x))
     heading = html_visible_text(F.regexp_extract("html", r"<h1>([^<]*)</h1>", 1))
     text = F.concat(F.lit("# "), heading, F.lit("\n\n"), F.array_join(paragraphs, "\n\n"))
     return table(spark, sf_dir, "pages").select("url", document_id(url_to_path(F.col("url"))).alias("document_id"), text.alias("text"), F.array().cast("array<string>").alias("breadcrumb"))
