@@ -11,6 +11,7 @@ from lodestone.llm.html_main_text import op1_main_text
 from lodestone.llm.language_id import op7_language_id
 from lodestone.llm.language_model import op8_language_model
 from lodestone.llm.line_dedup import op5_line_dedup
+from lodestone.llm.merkle_manifest import FIELDS, op13_merkle_manifest
 from lodestone.llm.near_duplicates import op6_near_duplicates
 from lodestone.llm.sentence_pieces import op9_sentence_pieces
 from lodestone.llm.token_counts import op3_token_counts
@@ -28,11 +29,39 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_model": op8_language_model,
     "op9_sentence_pieces": op9_sentence_pieces,
     "op10_toxicity": op10_toxicity,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "list_filter(regexp_split_to_array(" + _LOWER + r", '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
+
+def _digest(text: str) -> str:
+    """The leaf of a row of ``documents`` in DuckDB, with ``text`` for its text."""
+    columns = [text if f == "text" else f"{f}::VARCHAR" for f in FIELDS]
+    return "sha256(" + " || ".join(f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in columns) + ")"
+
+
+#: 5 divides the crc32 of the id as text; the table of the checksum is made from its polynomial.
+_CRC = "xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({}, ''), lambda x: ascii(x)::BIGINT)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295::BIGINT)"
+_CRC_TABLE = "(SELECT list(list_reduce(list_concat([i::BIGINT], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i))"
+
+
+def _levels(name: str, leaves: str) -> str:
+    """A recursive table of all nodes of the trees over ``leaves`` (g, i, n, h), sixteen to a parent."""
+    return f"""{name}(k, g, i, n, h) AS (
+  SELECT 0::BIGINT, g, i, n, h FROM {leaves}
+  UNION ALL SELECT k + 1, g, i // 16, (any_value(n) + 15) // 16, sha256(string_agg(h, '' ORDER BY i)) FROM {name} WHERE n > 1 GROUP BY k, g, i // 16
+)"""
+
+
+def _steps(leaves: str, nodes: str) -> str:
+    """The digests left and right of each node on the way from a leaf to the top of its tree."""
+    own = "(x.i >> (4 * y.k))"
+    side = lambda op: f"coalesce(string_agg(y.h, '' ORDER BY y.i) FILTER (y.i {op} {own}), '')"
+    return f"SELECT x.g, x.i, y.k, {side('<')} AS l, {side('>')} AS r FROM {leaves} x JOIN {nodes} y ON x.g = y.g AND y.n > 1 AND y.i // 16 = {own} // 16 GROUP BY 1, 2, 3"
+
+
 #: The others learn, search approximately, or decode: the tests hold them against brute force, an exact
 #: round trip or held-out texts.
 ORACLE_SQL: dict[str, str] = {
@@ -71,4 +100,24 @@ WITH RECURSIVE sets AS (
   UNION SELECT ends.b, reach.least FROM reach JOIN ends ON ends.a = reach.node WHERE reach.least < ends.b
 )
 SELECT doc_id, len(any_value(sh)) AS n_shingles, min(least) AS component_id, doc_id = min(least) AS kept FROM sets JOIN reach ON doc_id = node GROUP BY doc_id""",
+    "op13_merkle_manifest": f"""
+WITH RECURSIVE hashed AS (
+  SELECT doc_id, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS g, {_digest("text")} AS h,
+    CASE WHEN {_CRC.format("doc_id::VARCHAR")} % 5 = 0 THEN {_digest("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} ELSE {_digest("text")} END AS later
+  FROM documents, {_CRC_TABLE}
+), leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM hashed
+), {_levels("nodes", "leaves")}, tops AS (
+  SELECT g AS name, h, '' AS g, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1
+), {_levels("upper", "tops")}, steps AS (
+  {_steps("leaves", "nodes")}
+  UNION ALL SELECT leaves.g, leaves.i, 1000 + k, l, r FROM leaves JOIN tops ON tops.name = leaves.g JOIN ({_steps("tops", "upper")}) s ON s.i = tops.i
+), paths AS (
+  SELECT g, i, string_agg(l || r, '' ORDER BY k) AS proof, list({{'l': l, 'r': r}} ORDER BY k) AS path FROM steps GROUP BY 1, 2
+), folded AS (
+  SELECT doc_id, leaves.h AS leaf, tops.h AS subroot, (SELECT h FROM upper WHERE n = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256,
+    list_reduce(list_concat([{{'l': later, 'r': ''}}], coalesce(path, [])), lambda a, s: {{'l': sha256(s.l || a.l || s.r), 'r': ''}}).l AS folded_root
+  FROM leaves JOIN tops ON tops.name = leaves.g LEFT JOIN paths ON paths.g = leaves.g AND paths.i = leaves.i
+)
+SELECT *, folded_root = root AS verified FROM folded""",
 }
