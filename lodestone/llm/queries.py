@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.decontamination import op4_decontamination
+from lodestone.llm.hard_negatives import op12_hard_negatives
 from lodestone.llm.html_main_text import op1_main_text
 from lodestone.llm.language_id import op7_language_id
 from lodestone.llm.language_model import op8_language_model
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_model": op8_language_model,
     "op9_sentence_pieces": op9_sentence_pieces,
     "op10_toxicity": op10_toxicity,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
@@ -100,6 +102,18 @@ WITH RECURSIVE sets AS (
   UNION SELECT ends.b, reach.least FROM reach JOIN ends ON ends.a = reach.node WHERE reach.least < ends.b
 )
 SELECT doc_id, len(any_value(sh)) AS n_shingles, min(least) AS component_id, doc_id = min(least) AS kept FROM sets JOIN reach ON doc_id = node GROUP BY doc_id""",
+    "op12_hard_negatives": """
+WITH rows AS (
+  SELECT DISTINCT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.id AS a, a.label AS own, x.id, x.label, list_inner_product(a.v, x.v)::BIGINT AS s FROM rows a JOIN rows x ON a.id % 100 = 0 AND len(a.v) = len(x.v)
+), positives AS (
+  SELECT a, own, id, s FROM scored WHERE own = label AND id <> a QUALIFY row_number() OVER (PARTITION BY a, own ORDER BY s DESC, id) <= 5
+)
+SELECT p.a AS anchor_id, p.id AS positive_id, (row_number() OVER (PARTITION BY p.a, p.own, p.id ORDER BY n.s DESC, n.id))::INT AS rank, n.id AS negative_id, p.s AS positive_score, n.s AS negative_score
+FROM positives p JOIN scored n ON n.a = p.a AND n.own = p.own AND n.label <> p.own AND 80 * p.s <= 100 * n.s AND n.s <= p.s
+QUALIFY row_number() OVER (PARTITION BY p.a, p.own, p.id ORDER BY n.s DESC, n.id) <= 5""",
     "op13_merkle_manifest": f"""
 WITH RECURSIVE hashed AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS g, {_digest("text")} AS h,
