@@ -14,6 +14,7 @@ from lodestone.llm.language_model import op8_language_model
 from lodestone.llm.line_dedup import op5_line_dedup
 from lodestone.llm.merkle_manifest import FIELDS, op13_merkle_manifest
 from lodestone.llm.near_duplicates import op6_near_duplicates
+from lodestone.llm.ngram_join import op11_ngram_join
 from lodestone.llm.sentence_pieces import op9_sentence_pieces
 from lodestone.llm.token_counts import op3_token_counts
 from lodestone.llm.toxicity import op10_toxicity
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_model": op8_language_model,
     "op9_sentence_pieces": op9_sentence_pieces,
     "op10_toxicity": op10_toxicity,
+    "op11_ngram_join": op11_ngram_join,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
@@ -38,6 +40,28 @@ _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijk
 _WORDS = "list_filter(regexp_split_to_array(" + _LOWER + r", '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 
+def _components(k: int, more: str) -> str:
+    """The components of documents linked by k-word shingles at 0.85."""
+    shingle = " || ' ' || ".join(f"ws[i + {j}]" for j in range(k))
+    return f"""
+WITH RECURSIVE sets AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {k} THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - {k - 2}), lambda i: {shingle})) END AS sh
+  FROM (SELECT doc_id, {_WORDS.format("text")} AS ws FROM documents)
+), shingles AS (
+  SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM sets
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.x = b.x AND a.doc_id < b.doc_id
+  GROUP BY 1, 2 HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))
+), ends AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT doc_id AS node, doc_id AS least FROM documents
+  UNION SELECT ends.b, reach.least FROM reach JOIN ends ON ends.a = reach.node WHERE reach.least < ends.b
+)
+SELECT doc_id, len(any_value(sh)) AS n_shingles, min(least) AS component_id{more} FROM sets JOIN reach ON doc_id = node GROUP BY doc_id"""
+
+
 def _digest(text: str) -> str:
     """The leaf of a row of ``documents`` in DuckDB, with ``text`` for its text."""
     columns = [text if f == "text" else f"{f}::VARCHAR" for f in FIELDS]
@@ -85,23 +109,8 @@ WITH lines AS (
   FROM firsts f LEFT JOIN (SELECT b, min({{'a': a, 'similarity': similarity}}) AS e FROM pairs GROUP BY 1) ON b = f.spot
 )
 SELECT doc_id, line_no, a.d AS first_doc, a.l AS first_line, similarity FROM sets JOIN earliest USING (ws) WHERE NOT (doc_id = a.d AND line_no = a.l)""",
-    "op6_near_duplicates": f"""
-WITH RECURSIVE sets AS (
-  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) END AS sh
-  FROM (SELECT doc_id, {_WORDS.format("text")} AS ws FROM documents)
-), shingles AS (
-  SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM sets
-), links AS (
-  SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.x = b.x AND a.doc_id < b.doc_id
-  GROUP BY 1, 2 HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))
-), ends AS (
-  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
-), reach AS (
-  SELECT doc_id AS node, doc_id AS least FROM documents
-  UNION SELECT ends.b, reach.least FROM reach JOIN ends ON ends.a = reach.node WHERE reach.least < ends.b
-)
-SELECT doc_id, len(any_value(sh)) AS n_shingles, min(least) AS component_id, doc_id = min(least) AS kept FROM sets JOIN reach ON doc_id = node GROUP BY doc_id""",
+    "op6_near_duplicates": _components(3, ", doc_id = min(least) AS kept"),
+    "op11_ngram_join": _components(4, ""),
     "op12_hard_negatives": """
 WITH rows AS (
   SELECT DISTINCT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
