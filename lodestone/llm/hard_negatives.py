@@ -108,6 +108,8 @@ def bounds(q: np.ndarray, centres: np.ndarray, radii: np.ndarray) -> tuple[np.nd
     length = np.sqrt((q**2).sum(axis=1))[:, None]
     middle, spread = q @ centres.T, length * radii
     spread = spread + 1e-9 * (length * (np.sqrt((centres**2).sum(axis=1)) + radii) + 1)
+    if (middle - spread > HIGHEST).any() or (middle + spread < LOWEST).any():
+        raise OverflowError("an inner product does not fit 64 bits")
     return middle - spread, middle + spread
 
 
