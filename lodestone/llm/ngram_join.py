@@ -7,8 +7,9 @@ long ones by binary search, and what reaches T is verified with both sizes.
 
 The index is dealt into blocks of bounded size, in three steps:
 
-1. Each set names its rarest shingles, so many that sets at the similarity have one in common.  Those that no other
-   set names are forgotten; a set that keeps none has no partner.
+1. Each set names its rarest shingles, so many that sets at the similarity share several of them (the share is
+   that of ``Similarity.shared``).  What no other set names is forgotten, and so is a set that keeps too few to have a
+   partner, until nothing changes or PRUNES rounds are over; sets that have but a passage in common go here.
 2. A set's home is the block of the most frequent shingle it keeps, so copies of a template meet.  A block searches
    each set against the rest of it; sets that are linked leave the index, as components are what counts.  A template
    too large for a block has several, and a few sets of each component then meet in blocks of their own.
@@ -34,7 +35,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -45,10 +46,24 @@ from lodestone.llm.hashing import shingle_sets
 #: Shingles of a block's sets, sets of a component that meet again, slots of the table that orders shingles by how
 #: common they are (it decides speed, not results).
 BLOCK, PIVOTS, COMMON = 1 << 20, 8, 1 << 20
+#: Rounds in which sets without partners are left out at most (it decides speed, not results).
+PRUNES = 4
 #: Rows that are broadcast to the texts.
 MAX_BROADCAST = 1_000_000
 #: How much the length of the longest list holds back from setting lists aside.
 MU = 0.01
+#: Entries of short lists that are merged by a heap at most.
+HEAP = 1 << 10
+#: Entries that are merged in the time of one probe.
+PROBE = 16
+
+
+def merged(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, in how many of the ascending lists each is): by a heap, or by a merge sort where they are long."""
+    if sum(map(len, lists)) > HEAP:
+        return np.unique(np.concatenate(lists), return_counts=True)
+    runs = [(number, sum(1 for _ in same)) for number, same in groupby(heapq.merge(*(x.tolist() for x in lists)))]
+    return np.array([x for x, _ in runs], np.int64), np.array([n for _, n in runs], np.int64)
 
 
 class Lists:
@@ -76,9 +91,11 @@ class Lists:
         lists = sorted((self.owners[self.edges[i] : self.edges[i + 1]] for i in at.tolist()), key=len)
         aside = min(need - 1, int(need / (MU * np.log2(len(lists[-1]) + 1) + 1)))
         short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
-        merged = groupby(heapq.merge(*(x.tolist() for x in short)))
-        often = [(number, n) for number, same in merged if (n := sum(1 for _ in same)) >= need - aside]
-        found, counts = np.array([x for x, _ in often], np.int64), np.array([n for _, n in often], np.int64)
+        found, counts = merged(short)
+        found, counts = found[counts >= need - aside], counts[counts >= need - aside]
+        if len(found) * PROBE >= sum(map(len, long)) > 0:  # so many candidates that merging is cheaper than probing
+            counts = counts + np.bincount(np.concatenate(long), minlength=int(found.max()) + 1)[found]
+            long = []
         for left, x in zip(range(len(long), 0, -1), long):
             going = counts + left >= need
             found, counts = found[going], counts[going]
@@ -99,9 +116,21 @@ class Similarity:
         """What a set of n shingles shares at least with any partner."""
         return -(-n * self.p // self.q)
 
+    def shared(self, n):
+        """How many named shingles two sets have in common at least, if the smaller has n."""
+        return 1 + n * 6 // 100
+
     def named(self, n: int) -> int:
-        """How many of its rarest shingles a set of n must name."""
-        return n - self.overlap(n) + 1
+        """How many of its rarest shingles a set of n must name.
+
+        Of the shingles common to two sets, the first c in the order of rarity stand in either set before all but
+        ``overlap - c`` of the others.
+        """
+        return min(n, n - self.overlap(n) + self.shared(n))
+
+    def needed(self, n: Column) -> Column:
+        """How many of its named shingles a set of n must share with a partner, which may be smaller."""
+        return F.lit(1) + F.floor(F.ceil(n * self.p / self.q) * 6 / 100)
 
     def linked(self, common, n, m):
         return common * (self.p + self.q) >= (n + m) * self.p
@@ -220,6 +249,21 @@ def named_shingles(docs: DataFrame, k: int, like: Similarity) -> DataFrame:
     return map_batches(docs.filter("doc_id is not null").select("text"), run, "rep long, n long, token long")
 
 
+def pruned(named: DataFrame, like: Similarity) -> DataFrame:
+    """rep, n, token, need: the named shingles that another set names, of sets that keep enough of them."""
+    rows, before = named, None
+    for _ in range(PRUNES):
+        several = rows.groupBy("token").agg(F.min("rep").alias("one"), F.max("rep").alias("other")).filter("one <> other").select("token")
+        rows = cut_lineage(rows.join(several, "token").select("rep", "n", "token").distinct())
+        enough = rows.groupBy("rep", "n").agg(F.count(F.lit(1)).alias("c")).withColumn("need", like.needed(F.col("n"))).filter("c >= need").select("rep", "need")
+        rows = cut_lineage(rows.join(enough, "rep"))
+        left = rows.count()
+        if left == before:
+            break
+        before = left
+    return rows
+
+
 def homes_of(kept: DataFrame) -> DataFrame:
     """rep, block, split (whether the block's shingle has several): where each set is at home.  kept: rep, n, token.
 
@@ -283,10 +327,13 @@ def visits_of(kept: DataFrame, placed: DataFrame, like: Similarity) -> DataFrame
     labels = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count(F.lit(1)).alias("labels"))
     rows = cut_lineage(rows.join(labels.filter("labels > 1").drop("labels"), "token"))
     there = rows.groupBy("token", F.col("block").alias("to")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("label").alias("one"), F.max("label").alias("other"))
-    asks = rows.filter("label <> main").select("token", "rep", "n", "label", "block")
+    asks = rows.filter("label <> main").select("token", "rep", "n", "label", "block", "need")
     near = (F.col("n") * like.q >= F.col("low") * like.p) & (F.col("n") * like.p <= F.col("high") * like.q)
     else_ = (F.col("one") != F.col("other")) | (F.col("one") != F.col("label"))
-    return asks.join(there, "token").filter((F.col("block") != F.col("to")) & near & else_).select("rep", "label", F.col("to").alias("block")).distinct()
+    met = asks.join(there, "token").filter((F.col("block") != F.col("to")) & near & else_)
+    # of the shingles that two sets share, at least one of them asks for half
+    enough = met.groupBy("rep", "label", F.col("to").alias("block")).agg(F.count(F.lit(1)).alias("c"), F.first("need").alias("need")).filter("2 * c >= need")
+    return enough.select("rep", "label", "block")
 
 
 def visitors_links(texts: Texts, placed: DataFrame, visits: DataFrame, like: Similarity) -> DataFrame:
@@ -327,8 +374,7 @@ def ngram_join(docs: DataFrame, k: int = 5, numerator: int = 80, denominator: in
     classes = cut_lineage(signed.filter("rep is not null and doc_id is not null").groupBy("rep").agg(first).select("rep", "first.doc_id", "first.mark"))
     texts = Texts(docs, classes, k)
     named = cut_lineage(named_shingles(docs, k, like))
-    several = named.groupBy("token").agg(F.min("rep").alias("one"), F.max("rep").alias("other")).filter("one <> other").select("token")
-    kept = cut_lineage(named.join(several, "token").distinct())
+    kept = pruned(named, like)
 
     def labelled(links: DataFrame) -> DataFrame:
         return homes.join(components(links), F.col("rep") == F.col("node"), "left").select("rep", "block", "split", F.coalesce("component", "rep").alias("label"))
