@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.jobs import adapters as A
-from lodestone.jobs.registry import _TOKENS, _TOPK, _topk, _visible, query
+from lodestone.jobs.base import TOKENS_SQL, TOPK_SQL, top_k, visible_sql
+from lodestone.jobs.catalog import query
 from lodestone.operators import answers, audit, golden, index, retrieval, scoring
 from lodestone.sources.tables import checksum
 
@@ -31,7 +32,7 @@ def audit_duplicate_ids(spark, sf_dir):
 
 
 @query(
-    rf"""WITH c AS (SELECT doc_id::VARCHAR AS chunk_id, doc_id % 4 AS k, {_TOKENS} AS n FROM documents)
+    rf"""WITH c AS (SELECT doc_id::VARCHAR AS chunk_id, doc_id % 4 AS k, {TOKENS_SQL} AS n FROM documents)
     SELECT chunk_id, 'over the maximum' AS "check" FROM c WHERE n > 800 UNION ALL SELECT chunk_id, 'invalid source_url' FROM c WHERE k = 0
     UNION ALL SELECT chunk_id, 'token_count mismatch' FROM c WHERE k = 1 UNION ALL SELECT chunk_id, 'unbalanced code fence' FROM c WHERE k = 2
     UNION ALL SELECT chunk_id, 'ends with a heading' FROM c WHERE k = 3"""
@@ -107,10 +108,10 @@ def embed_with_cache(spark, sf_dir):
     return hit.select("doc_id", F.col("embedding")[0].cast("long").alias("e0"), (F.col("embedding")[1].cast("long") - own).alias("e1"), F.coalesce("hit", F.lit(False)).alias("cached"))
 
 
-@query(f"SELECT query_id, rank, round_even(score, 4) AS score, chunk_id, 'http://' || source AS source_url, string_split(text, chr(10))[1] AS header FROM {_TOPK} JOIN documents ON doc_id = chunk_id")
+@query(f"SELECT query_id, rank, round_even(score, 4) AS score, chunk_id, 'http://' || source AS source_url, string_split(text, chr(10))[1] AS header FROM {TOPK_SQL} JOIN documents ON doc_id = chunk_id")
 def retrieval_listing(spark, sf_dir):
     about = A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.concat(F.lit("http://"), "source").alias("source_url"), "text")
-    return retrieval.retrieval_summary(_topk(spark, sf_dir), about)
+    return retrieval.retrieval_summary(top_k(spark, sf_dir), about)
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 OR coalesce(text, '') = '' THEN source ELSE text END AS body FROM documents")
@@ -119,7 +120,7 @@ def chunk_bodies(spark, sf_dir):
     return A.table(spark, sf_dir, "documents").select("doc_id", answers.chunk_body(full).alias("body"))
 
 
-@query(f"SELECT conv_id, turn, {_TOKENS} AS input_tokens, 0::BIGINT AS output_tokens, CASE WHEN turn % 2 = 0 THEN turn ELSE 0 END::BIGINT AS cached_input_tokens, 0::BIGINT AS reasoning_tokens FROM conversations")
+@query(f"SELECT conv_id, turn, {TOKENS_SQL} AS input_tokens, 0::BIGINT AS output_tokens, CASE WHEN turn % 2 = 0 THEN turn ELSE 0 END::BIGINT AS cached_input_tokens, 0::BIGINT AS reasoning_tokens FROM conversations")
 def token_usage(spark, sf_dir):
     none = F.lit(None).cast("bigint")
     usage = F.struct(T.count_tokens(F.col("text")).alias("input_tokens"), none.alias("output_tokens"), F.when(F.col("turn") % 2 == 0, F.col("turn")).alias("cached_input_tokens"), none.alias("reasoning_tokens"))
@@ -135,7 +136,7 @@ def inline_markdown(spark, sf_dir):
     return A.table(spark, sf_dir, "documents").filter("lang is not null").select("doc_id", T.inline_text(F.concat(*parts)).alias("plain"))
 
 
-@query(f"SELECT page_id, 'é é A € ' || {_visible('html')} AS visible FROM pages WHERE html IS NOT NULL")
+@query(f"SELECT page_id, 'é é A € ' || {visible_sql('html')} AS visible FROM pages WHERE html IS NOT NULL")
 def html_entities(spark, sf_dir):
     """Visible text with all character references decoded."""
     return A.table(spark, sf_dir, "pages").filter("html is not null").select("page_id", T.html_visible_text(F.concat(F.lit("&eacute; &#233; &#x41; &euro; "), "html"), every_entity=True).alias("visible"))

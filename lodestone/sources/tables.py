@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,18 @@ GOLDEN = (
 )
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder and read back, for steps that build on themselves.
+
+    The folder is the cluster's ``spark.checkpoint.dir``; one next to the warehouse is made only where none is set.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_checkpoints"))
+    return df.checkpoint()
+
+
 def read_page_tree(spark: SparkSession, root: str) -> DataFrame:
     """path, text of all Markdown files below a folder."""
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root, wholetext=True)

@@ -77,33 +77,100 @@ def test_breadcrumbs(spark):
 
 # ---- api specifications
 
-SPEC = {
-    "openapi": "3.0.0",
-    "info": {"title": "Store", "version": "1"},
-    "servers": [{"url": "http://s"}],
+def specs_of(spark, **known):
+    rows = [(k, heading, json.dumps(spec) if isinstance(spec, dict) else spec) for k, (heading, spec) in known.items()]
+    return spark.createDataFrame(rows, "spec_id string, heading string, code string")
+
+
+def ref(name, kind="schemas"):
+    return {"$ref": f"#/components/{kind}/{name}"}
+
+
+#: References of all kinds: chains, cycles, parts of parts, bodies, parameters and responses behind references.
+DEEP = {
+    "openapi": "3.1.0",
+    "info": {"title": "Deep"},
+    "servers": [{"url": "http://s", "description": "The **only** one"}],
+    "security": [{"key": [], "basic": []}, {"odd": []}],
+    "paths": {
+        "/x/{id}": {
+            "parameters": [ref("Id", "parameters")],
+            "put": {
+                "description": "Change",
+                "parameters": [{"name": "v", "in": "query", "schema": ref("Mode"), "description": ""}],
+                "requestBody": ref("Body", "requestBodies"),
+                "responses": {"200": ref("Ok", "responses"), "404": {}},
+            },
+            "trace": {"responses": {}},
+        }
+    },
     "components": {
-        "securitySchemes": {"t": {"type": "http", "scheme": "bearer"}},
+        "securitySchemes": {"key": {"type": "apiKey", "name": "X-Key", "in": "header", "description": "Ask [us](http://u)."}, "basic": {"type": "http", "scheme": "basic"}},
+        "parameters": {"Id": {"name": "id", "in": "path", "required": True, "schema": {"type": ["integer", "null"], "minimum": 1}}},
+        "requestBodies": {"Body": {"required": True, "content": {"text/x": {"schema": ref("Alias")}}}},
+        "responses": {"Ok": {"description": "Done", "content": {"application/json": {"schema": {"type": "array", "items": {"oneOf": [ref("Thing"), {"type": "string", "format": "uri"}]}}}}}},
         "schemas": {
-            "Node": {"type": "object", "required": ["id"], "properties": {"id": {"type": "string", "format": "uuid"}, "next": {"$ref": "#/components/schemas/Node"}, "kind": {"$ref": "#/components/schemas/Kind"}}},
-            "Big": {"allOf": [{"$ref": "#/components/schemas/Node"}, {"properties": {"tags": {"type": "array", "items": {"type": "string"}, "maxItems": 3}}}]},
-            "Kind": {"type": "string", "enum": ["a", "b"], "description": "Pick\n| v | m |\n|---|---|\n| a | first |"},
+            "Alias": ref("Thing"),
+            "Mode": {"type": "string", "enum": ["a", 1, None], "default": "a", "description": "How\n\n| v | m |\n|---|---|\n| a | the  first |\n| b | second |\n| | no |"},
+            "Base": {"allOf": [{"properties": {"id": {"type": "string"}, "old": {"type": "string"}}, "required": ["old"]}], "properties": {"id": {"type": "integer", "format": "int64"}}, "required": ["id"]},
+            "Thing": {
+                "description": "A thing",
+                "allOf": [ref("Base"), {"properties": {"self": ref("Alias"), "mode": {**ref("Mode"), "readOnly": True}}}],
+                "properties": {"parts": {"type": "array", "items": {"type": "object", "properties": {"n": {"type": "number"}, "up": ref("Thing")}}}, "made": {"type": "object", "readOnly": True, "properties": {"by": {"type": "string"}}}, "gone": ref("None")},
+            },
         },
     },
-    "security": [{"t": []}],
-    "paths": {"/n": {"post": {"summary": "Make", "parameters": [{"name": "q", "in": "query", "schema": {"type": "integer", "minimum": 1}}], "requestBody": {"content": {"application/json": {"schema": {"$ref": "#/components/schemas/Big"}}}}, "responses": {"200": {"description": "ok"}}}}},
 }
 
 
-def test_openapi(spark):
-    rows = [("s", "The Big object", json.dumps(SPEC)), ("n", "x", "{}"), ("b", "x", '{"openapi": '), ("z", None, None)]
-    specs = spark.createDataFrame(rows, "spec_id string, heading string, code string")
-    end = openapi.openapi_endpoints(specs).collect()
-    assert [(r.method, r.path, r.api, r.servers, r.has_body, r.summary) for r in end] == [("POST", "/n", "Store (version 1)", ["http://s"], True, "Make")]
-    assert end[0].parameters[0].facts == "min: 1" and end[0].parameters[0].type == "integer" and [tuple(r) for r in end[0].responses] == [("200", "ok")]
-    fields = {(r.schema, r.field): r for r in openapi.openapi_fields(specs).collect()}
-    assert fields["Node", "id"].required and fields["Node", "id"].type == "string, uuid" and fields["Node", "next"].type == "Node object"
-    assert fields["Big", "tags"].facts == ["max items: 3"] and fields["Big", "tags"].type == "array of string"
-    assert {r.field for r in openapi.openapi_models(specs).collect()} == {"tags"}
+def chain(n):
+    return {"type": "object", "properties": {f"d{n}": chain(n - 1)}} if n else {"type": "string"}
+
+
+def test_openapi_follows_references(spark):
+    specs = specs_of(spark, s=("x", DEEP), n=("x", "{}"), b=("x", '{"openapi": '), z=(None, None))
+    (end,) = openapi.openapi_endpoints(specs).collect()
+    assert (end.endpoint, end.method, end.api, end.servers, end.summary) == ("/x/{id}", "PUT", "Deep", ["http://s (The only one)"], "Change")
+    assert end.authentication == "API key in the X-Key header. Ask us. HTTP basic authentication. odd."
+    assert [tuple(p)[1:] for p in end.parameters] == [("id", "path", "integer or null", True, ["min: 1"], ""), ("v", "query", "string", False, ["possible values: a, 1, null", "default: a"], "How")]
+    assert tuple(end.body) == ("Thing object", True, "A thing")
+    assert [tuple(r)[1:] for r in end.responses] == [("200", "Done.", "array of Thing object or string, uri"), ("404", "No description.", None)]
+
+    rows = openapi.openapi_body_fields(specs).orderBy("places").collect()
+    thing = ["id", "old", "self", "mode", "parts", "parts.n", "parts.up", "made", "gone"]
+    below = [f"{p}.{x}" for p in ("self", "parts.up") for x in thing]  # opened once on each way, as Thing is open below
+    got = [".".join(r.path) for r in rows]
+    assert [p for p in got if p.count(".") == 0] == ["id", "old", "self", "mode", "parts", "made", "gone"] and set(got) == {*thing, *below}
+    assert got.index("self.id") == got.index("self") + 1 and got.index("parts.up.id") == got.index("parts.up") + 1
+    by = {".".join(r.path): r for r in rows}
+    assert (by["id"].type, by["id"].required, by["old"].required, by["gone"].type, by["self"].type) == ("integer, int64", True, True, "any", "Thing object")
+    assert by["mode"].facts[-1] == "read-only" and by["mode"].description == "How"
+    assert [(r.path, r.value, r.meaning) for r in openapi.value_meanings(openapi.openapi_body_fields(specs)).filter("path = 'mode'").orderBy("value_no").collect()] == [("mode", "a", "the first"), ("mode", "b", "second")]
+
+
+def test_openapi_models(spark):
+    models = {k: v for k, v in DEEP.items() if k != "paths"}
+    text = {"openapi": "3", "components": {"schemas": {"Mode": DEEP["components"]["schemas"]["Mode"]}}}
+    deep = {"openapi": "3", "components": {"schemas": {"Deep": chain(12)}}}
+    specs = specs_of(spark, m=("The Thing object", models), first=("The Nothing object", models), v=("y", text), d=("", deep))
+    found = {r.spec_id: r for r in openapi.openapi_models(specs).collect()}
+    assert (found["m"].schema, found["first"].schema, found["v"].type, found["v"].is_value) == ("Thing", "Alias", "string (enum)", True)
+    assert found["v"].description == "How\n\n| v | m |\n|---|---|\n| a | the first |\n| b | second |\n| | no |"
+    fields = openapi.openapi_fields(specs)
+    got = {".".join(r.path) for r in fields.filter("spec_id = 'm' and schema = 'Thing'").collect()}
+    assert got == {"id", "old", "self", "mode", "parts", "parts.n", "parts.up", "made", "made.by", "gone"}  # named objects have rows of their own
+    assert fields.filter("spec_id = 'd'").count() == 10
+
+
+def test_openapi_as_text(spark):
+    text = {r.spec_id: r.text for r in openapi.openapi_markdown(specs_of(spark, s=("x", DEEP), v=("y", {"openapi": "3", "info": {"title": "V", "version": "2"}, "components": {"schemas": {"Mode": {"type": "integer", "minimum": 2}}}}))).collect()}
+    assert text["v"] == "API: V (version 2)\n\nType: integer\nMin: 2"
+    parts = text["s"].split("\n\n")
+    assert parts[:7] == ["API: Deep", "PUT /x/{id}", "Servers:", "- http://s (The only one)", "Authentication: API key in the X-Key header. Ask us. HTTP basic authentication. odd.", "Path parameters:", "- id (integer or null; required; min: 1)"]
+    lines = parts[parts.index("Request body fields:") + 1].split("\n")
+    assert lines[:3] == ["- id (integer, int64; required)", "- old (string; required)", "- self (Thing object; optional): A thing"]
+    assert lines[3] == "  - id (integer, int64; required)" and "  - a: the first" in lines
+    assert parts[-2:] == ["Responses:", "- 200: Done. Returns: array of Thing object or string, uri.\n- 404: No description."]
 
 
 # ---- chunking
