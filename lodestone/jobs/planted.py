@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from lodestone.jobs import adapters as A
 from lodestone.jobs.base import TOKENS_SQL, TOPK_SQL, top_k, visible_sql
 from lodestone.jobs.catalog import query
 from lodestone.operators import answers, audit, golden, index, retrieval, scoring
-from lodestone.sources.tables import checksum
+from lodestone.sources.tables import checksum, read_page_tree, read_rebuilt, rebuild_table, shared_folder, write_page_tree
 
 # ---- audit
 
@@ -238,3 +240,60 @@ def golden_faults(spark, sf_dir):
     own = golden.golden_problems(rows, chunks)
     twice = golden.duplicate_questions(items.filter(i % 9 == 0).select(F.lit("twice").alias("id")))
     return own.unionByName(twice)
+
+
+@query(
+    """WITH g AS (SELECT item_id AS i, 'q' || item_id AS id FROM benchmark)
+    SELECT '<no id>' AS id, 'not a record' AS "check", '[' || i || ']' AS detail FROM g WHERE i % 13 = 0
+    UNION ALL SELECT id, 'missing or wrong type', 'required_terms: not a list' FROM g WHERE i % 5 = 0 AND i % 13 <> 0
+    UNION ALL SELECT id, 'missing or wrong type', 'answerable: not a boolean' FROM g WHERE i % 7 = 0 AND i % 13 <> 0
+    UNION ALL SELECT id, 'missing or wrong type', 'question: not a text' FROM g WHERE i % 11 = 0 AND i % 13 <> 0
+    UNION ALL SELECT '<no id>', 'missing or wrong type', 'id: not a text' FROM g WHERE i % 17 = 0 AND i % 13 <> 0
+    UNION ALL SELECT id, 'unknown chunk', 'gone' FROM g WHERE i % 3 = 0 AND NOT (i % 5 = 0 OR i % 7 = 0 OR i % 11 = 0 OR i % 13 = 0 OR i % 17 = 0)
+    UNION ALL SELECT id, 'source urls differ from the evidence', '' FROM g WHERE i % 3 = 0 AND NOT (i % 5 = 0 OR i % 7 = 0 OR i % 11 = 0 OR i % 13 = 0 OR i % 17 = 0)"""
+)
+def golden_wrong_types(spark, sf_dir):
+    """A stored golden set in which lists are texts, flags are numbers, ids are numbers, fields and records are missing."""
+    items, i = A.table(spark, sf_dir, "benchmark"), F.col("item_id")
+    name = i.cast("string")
+    chunk = F.when(i % 3 == 0, "gone").otherwise(name)
+    parts = {
+        "id": F.when(i % 17 == 0, name).otherwise(F.concat(F.lit('"q'), name, F.lit('"'))),
+        "type": F.lit('"faq"'),
+        "question": F.when(i % 11 == 0, "null").otherwise('"what"'),
+        "expected_answer": F.lit('"that"'),
+        "evidence": F.to_json(F.array(F.struct(F.substring("text", 1, 30).alias("quote"), F.array(chunk).alias("chunk_ids")))),
+        "source_urls": F.lit('["http://b"]'),
+        "required_terms": F.when(i % 5 == 0, '"that"').otherwise("[]"),
+        "answerable": F.when(i % 7 == 0, "1").otherwise("true"),
+        "notes": F.lit('""'),
+    }
+    record = F.concat(F.lit("{"), F.concat_ws(", ", *(F.concat(F.lit(f'"{k}": '), v) for k, v in parts.items())), F.lit("}"))
+    lines = items.select(F.when(i % 13 == 0, F.concat(F.lit("["), name, F.lit("]"))).otherwise(record).alias("value"))
+    chunks = items.select(name.alias("chunk_id"), "text", F.lit("http://b").alias("source_url"))
+    return golden.golden_problems_of_lines(lines, chunks)
+
+
+# ---- stored tables
+
+
+@query(r"SELECT regexp_extract(url, '^[a-z]+://([^/]+)/', 1) AS host, (page_id % 3)::VARCHAR AS part, url AS text FROM pages WHERE regexp_extract(url, '^[a-z]+://([^/]+)/', 1) <> ''")
+def page_tree(spark, sf_dir):
+    """Pages as a tree of files, a file for each, and read back with what their paths say."""
+    root = f"{shared_folder(spark)}/page-tree-{uuid.uuid4().hex}"
+    host = F.regexp_extract("url", r"^[a-z]+://([^/]+)/", 1)
+    pages = A.table(spark, sf_dir, "pages").select(host.alias("host"), (F.col("page_id") % 3).cast("string").alias("part"), F.col("url").alias("text")).filter("host <> ''")
+    write_page_tree(pages, root, "host", "part")
+    of = lambda c: F.url_decode(F.regexp_extract("path", f"/{c}=([^/]+)/", 1)).alias(c)
+    return read_page_tree(spark, root, "*.txt").select(of("host"), of("part"), F.replace("text", F.lit("\x00"), F.lit("")).alias("text"))
+
+
+@query("SELECT doc_id, 'second' AS made FROM documents WHERE doc_id % 2 = 0")
+def index_rebuild(spark, sf_dir):
+    """A table that is built, rebuilt with fewer rows, and rebuilt once more but broken off before its commit."""
+    path = f"{shared_folder(spark)}/rebuilt-{uuid.uuid4().hex}"
+    docs = A.table(spark, sf_dir, "documents").select("doc_id")
+    rebuild_table(docs.withColumn("made", F.lit("first")), path)
+    last = rebuild_table(docs.filter("doc_id % 2 = 0").withColumn("made", F.lit("second")), path)
+    docs.withColumn("made", F.lit("broken off")).write.parquet(f"{path}/versions/{last + 1}")
+    return read_rebuilt(spark, path)

@@ -7,9 +7,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.sources.tables import GOLDEN
+
 #: The question types.
 TYPES = ("api_fact", "exact_identifier", "how_to", "faq", "paraphrased", "multi_chunk", "definition", "unanswerable")
 FIELDS = ("id", "type", "question", "expected_answer", "evidence", "source_urls", "required_terms", "answerable", "notes")
+#: The fields that aren't texts.
+LISTS, FLAGS = ("evidence", "source_urls", "required_terms"), ("answerable",)
 
 
 def _blank(text: Column) -> Column:
@@ -24,6 +28,33 @@ def missing_required_terms(answer: Column, terms: Column) -> Column:
     return F.filter(terms, lambda t: ~F.contains(F.lower(answer), F.lower(t)))
 
 
+def type_problems(lines: DataFrame, *own: str) -> DataFrame:
+    """id, check, detail for each field of a JSON record that is missing, null or of another type than it should be, and
+    for lines that are no JSON object.  lines: value string; blank lines are skipped.
+
+    The types are read from the record itself: a declared schema would turn a wrong one into a null.
+    """
+    rows = lines.filter(F.trim("value") != "").select(*own, F.try_parse_json("value").alias("v"), "value")
+    kind = lambda c: F.schema_of_variant(F.try_variant_get("v", f"$.{c}", "variant"))
+    wanted = lambda c: F.lit("list" if c in LISTS else "boolean" if c in FLAGS else "text")
+    right = lambda c: kind(c).startswith("ARRAY") if c in LISTS else kind(c) == ("BOOLEAN" if c in FLAGS else "STRING")
+    wrong = F.array_compact(F.array(*(F.when(~F.coalesce(right(c), F.lit(False)), F.concat(F.lit(f"{c}: not a "), wanted(c))) for c in FIELDS)))
+    whole = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
+    name = F.coalesce(F.when(right("id"), F.try_variant_get("v", "$.id", "string")), F.lit("<no id>"))
+    found = F.when(whole, F.transform(wrong, lambda w: F.struct(F.lit("missing or wrong type").alias("check"), w.alias("detail")))).otherwise(
+        F.array(F.struct(F.lit("not a record").alias("check"), F.substring("value", 1, 80).alias("detail")))
+    )
+    return rows.select(*own, name.alias("id"), F.inline(found))
+
+
+def golden_problems_of_lines(lines: DataFrame, chunks: DataFrame) -> DataFrame:
+    """All problems of a golden set as it is stored; a record with wrong types is not looked at further."""
+    own = lines.filter(F.trim("value") != "").withColumn("line", F.sha2("value", 256)).select("line", "value")
+    wrong = type_problems(own, "line")
+    rows = own.join(wrong.select("line").distinct(), "line", "left_anti").select(F.inline(F.array(F.from_json("value", GOLDEN))))
+    return wrong.drop("line").unionByName(golden_problems(rows, chunks))
+
+
 def record_checks(golden: DataFrame) -> DataFrame:
     """Checks within a record; a missing field stops the others."""
     missing = F.array_compact(F.array(*(F.when(F.col(c).isNull(), F.lit(c)) for c in FIELDS)))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.sources.tables import checksum
+from lodestone.sources.tables import checksum, numbered
 
 MARKER = r"\[(\d+)\]"
 #: A change of a mean below this is noise, overall and for one type.
@@ -20,6 +22,20 @@ def select_questions(questions: DataFrame, ids: list[str]) -> tuple[DataFrame, D
     return questions.join(F.broadcast(wanted), "id", "left_semi"), wanted.join(questions.select("id"), "id", "left_anti")
 
 
+def quantiles(rows: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """by, n and a column for each share: exact quantiles, interpolated between neighbours; nulls are skipped.
+
+    A value's place comes from ranges of all values, so no task holds those of a whole group.
+    """
+    placed = numbered(rows.select(by, F.col(value).alias("v")).filter("v is not null"), by, "v")
+    at = {name: (F.col("n") - 1) * share for name, share in shares.items()}
+    wanted = [F.col("place") == f(x) for x in at.values() for f in (F.floor, F.ceil)]
+    few = placed.filter(reduce(Column.__or__, wanted))
+    held = lambda x: F.max(F.when(F.col("place") == x, F.col("v")))
+    between = lambda x: held(F.floor(x)) + (held(F.ceil(x)) - held(F.floor(x))) * (F.max(x) - F.floor(F.max(x)))
+    return few.groupBy(by).agg(F.max("n").alias("n"), *(between(x).alias(name) for name, x in at.items()))
+
+
 def run_totals(answers: DataFrame, by: str = "run_name") -> DataFrame:
     """One row a run: questions, answered, errors, tokens, cost in total and per answer, latency.
 
@@ -28,7 +44,7 @@ def run_totals(answers: DataFrame, by: str = "run_name") -> DataFrame:
     ok = F.col("error").isNull()
     of = lambda c: F.when(ok, F.col(c))
     tokens = [F.coalesce(F.sum(of(f"llm_token_usage.{c}")), F.lit(0)).alias(c) for c in ("input_tokens", "output_tokens", "cached_input_tokens")]
-    return answers.groupBy(by).agg(
+    sums = answers.groupBy(by).agg(
         F.count(F.lit(1)).alias("questions"),
         F.sum(ok.cast("long")).alias("answered"),
         F.sum((~ok).cast("long")).alias("errors"),
@@ -36,9 +52,12 @@ def run_totals(answers: DataFrame, by: str = "run_name") -> DataFrame:
         F.bround(F.sum(of("llm_cost_usd")), 6).alias("cost_usd"),
         F.bround(F.avg(of("llm_cost_usd")), 6).alias("cost_per_answer_usd"),
         F.bround(F.avg(of("latency_seconds")), 3).alias("latency_mean"),
-        F.bround(F.median(of("latency_seconds")), 3).alias("latency_p50"),
-        F.when(F.count(of("latency_seconds")) >= 2, F.bround(F.percentile(of("latency_seconds"), F.lit(0.95)), 3)).alias("latency_p95"),
     )
+    run = F.coalesce(F.col(by).cast("string"), F.lit(""))
+    places = quantiles(answers.filter(ok).withColumn("_run", F.struct(F.col(by).isNull().alias("none"), run.alias("name"))), "_run", "latency_seconds", {"p50": 0.5, "p95": 0.95})
+    rows = sums.withColumn("_run", F.struct(F.col(by).isNull().alias("none"), run.alias("name"))).join(places, "_run", "left").drop("_run")
+    last = F.when(F.col("n") >= 2, F.bround("p95", 3))
+    return rows.withColumns({"latency_p50": F.bround("p50", 3), "latency_p95": last}).drop("n", "p50", "p95")
 
 
 def corpus_matches(rows: DataFrame, recorded: DataFrame, columns: list[str]) -> DataFrame:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 SECTIONS = (
     "section_id string, document_title string, source_file string, source_url string, breadcrumb array<string>, heading string, "
@@ -27,16 +29,40 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
     The folder is the cluster's ``spark.checkpoint.dir``; one next to the warehouse is made only where none is set.
     """
-    spark = df.sparkSession
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors and the driver share."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_checkpoints"))
-    return df.checkpoint()
+    return context.getCheckpointDir()
+
+
+def numbered(rows: DataFrame, group: str, *order: str) -> DataFrame:
+    """rows with place (in the group, from 0) and n (size of the group), without a task for a whole group.
+
+    Rows are dealt by ranges of (group, order); a range starts where the group's rows of the ranges before it end.
+    """
+    ranged = cut_lineage(rows.withColumn("_any", F.rand(3)).repartitionByRange(group, *order, "_any").drop("_any").withColumn("_part", F.spark_partition_id()))
+    counts = ranged.groupBy(group, "_part").agg(F.count(F.lit(1)).alias("_own"))
+    before = F.sum("_own").over(Window.partitionBy(group).orderBy("_part")) - F.col("_own")
+    starts = counts.select(group, "_part", before.alias("_start"), F.sum("_own").over(Window.partitionBy(group)).alias("n"))
+    own = F.row_number().over(Window.partitionBy(group, "_part").orderBy(*order))
+    out = ranged.withColumn("_own", own).join(starts, [group, "_part"])
+    return out.withColumn("place", F.col("_start") + F.col("_own") - 1).drop("_own", "_start", "_part")
+
 
+def write_page_tree(pages: DataFrame, root: str, *folders: str) -> None:
+    """A file for each page (text) in folders below folders, named by columns."""
+    pages.select(*folders, "text").write.mode("overwrite").option("maxRecordsPerFile", 1).option("lineSep", "\x00").partitionBy(*folders).text(root)
 
-def read_page_tree(spark: SparkSession, root: str) -> DataFrame:
-    """path, text of all Markdown files below a folder."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root, wholetext=True)
+
+def read_page_tree(spark: SparkSession, root: str, glob: str = "*.md") -> DataFrame:
+    """path, text of all files of a kind below a folder."""
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
@@ -55,6 +81,38 @@ def write_table(df: DataFrame, path: str, form: str = "parquet", by: list[str] |
     (writer.partitionBy(*by) if by else writer).save(path)
 
 
+def rebuild_table(df: DataFrame, path: str) -> int:
+    """Writes all rows as a new version and returns its number.
+
+    The version counts only once its row in ``commits`` is written, after all of its data: a reader sees the old rows
+    or the new ones, never both or a half.  A rebuild that was broken off leaves a folder that nobody reads and the next
+    one overwrites.  One rebuild of a table runs at a time.
+    """
+    version = current_version(df.sparkSession, path) + 1
+    df.write.mode("overwrite").parquet(f"{path}/versions/{version}")
+    df.sparkSession.range(1).select(F.lit(version).alias("version")).coalesce(1).write.mode("append").parquet(f"{path}/commits")
+    return version
+
+
+def current_version(spark: SparkSession, path: str) -> int:
+    """The last version of a rebuilt table that is whole; 0 if there is none."""
+    try:
+        commits = spark.read.schema("version int").parquet(f"{path}/commits")
+    except AnalysisException as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        return 0
+    return commits.agg(F.max("version")).first()[0] or 0
+
+
+def read_rebuilt(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of the last whole version."""
+    version = current_version(spark, path)
+    if not version:
+        raise ValueError(f"{path} holds no whole version")
+    return spark.read.parquet(f"{path}/versions/{version}")
+
+
 def checksum(df: DataFrame, columns: list[str]) -> DataFrame:
     """n_rows and a checksum that doesn't hang on the order of rows or partitions."""
     row = F.sha2(F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns)), 256)
