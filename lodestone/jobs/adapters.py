@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import count_tokens, html_visible_text
@@ -62,6 +62,38 @@ def sectioned_documents(spark: SparkSession, sf_dir: str, lines: int = 4) -> Dat
     return docs.withColumn("blocks", blocks).select(name.alias("document"), F.lit(None).cast("string").alias("inherited_api"), section.alias("sections"))
 
 
+def mixed_documents(spark: SparkSession, sf_dir: str, lines: int = 24) -> DataFrame:
+    """document, inherited_api, sections: the lines of each document as tables, code, lists and prose by turns, each
+    block behind a line that leads in to it and before a closing one."""
+    docs = table(spark, sf_dir, "documents")
+    clean = lambda x: F.trim(F.translate(x, "|`#:\t\r", "      "))
+    rows = docs.withColumn("lines", F.filter(F.transform(F.split("text", "\n"), clean), lambda x: x != ""))
+    runs = F.when(F.size("lines") > 0, F.sequence(F.lit(0), F.floor((F.size("lines") - 1) / lines).cast("int"))).otherwise(F.array().cast("array<int>"))
+    name = F.col("doc_id").cast("string")
+
+    def content(n: Column) -> Column:
+        own = F.slice("lines", n * lines + 1, lines)
+        each = lambda before, after: F.array_join(F.transform(own, lambda x: F.concat(F.lit(before), x, F.lit(after))), "\n")
+        block = (
+            F.when(n % 4 == 0, F.concat(F.lit("| line |\n| --- |\n"), each("| ", " |")))
+            .when(n % 4 == 1, F.concat(F.lit("```txt\n"), each("", ""), F.lit("\n```")))
+            .when(n % 4 == 2, each("- ", ""))
+            .otherwise(F.array_join(own, ". "))
+        )
+        return F.concat(F.lit("What follows is a block.\n\nThe block:\n\n"), block, F.lit("\n\nThat was it."))
+
+    kinds = F.array(F.lit("paragraph"), F.lit("table"))
+    section = F.transform(
+        runs,
+        lambda n: F.struct(
+            (n + 1).alias("section_no"), F.concat(name, F.lit(":section:"), n + 1).alias("section_id"), F.concat(F.lit("document "), name).alias("document_title"),
+            F.concat(F.lit("http://"), "source", F.lit("/"), name).alias("source_url"), F.array("source").alias("breadcrumb"), F.concat(F.lit("part "), n + 1).alias("heading"),
+            F.array(F.concat(F.lit("document "), name), F.concat(F.lit("part "), n + 1)).alias("heading_path"), kinds.alias("block_types"), content(n).alias("content"),
+        ),
+    )
+    return rows.select(name.alias("document"), F.lit(None).cast("string").alias("inherited_api"), section.alias("sections"))
+
+
 def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document as one chunk, for the statistics."""
     docs = table(spark, sf_dir, "documents")
@@ -99,11 +131,26 @@ def sources_of(answered: DataFrame, k: int = 5) -> DataFrame:
     return answered.select(F.col("id").alias("query_id"), rank).select("query_id", "rank", F.concat("query_id", F.lit("/"), "rank").alias("chunk_id"), F.concat(F.lit("http://s/"), "rank").alias("source_url"), F.concat(F.lit("text "), "rank").alias("text"))
 
 
+def holders(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """docs and items where the text holds the quote: joined by the quote's rarest word, then compared.
+
+    Quotes without a whole inner word (between blanks) are compared with all texts; there are few, and short.
+    """
+    words = lambda text: F.array_distinct(F.split(text, r"[ \t\r\n\f\x0B]+"))
+    inner = F.slice(F.split("quote", r"[ \t\r\n\f\x0B]+"), F.lit(2), F.greatest(F.size(F.split("quote", r"[ \t\r\n\f\x0B]+")) - 2, F.lit(0)))
+    in_texts = docs.select(F.explode(words(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("c"))
+    asked = items.select("item_id", "quote", F.explode(F.array_distinct(inner)).alias("word")).join(in_texts, "word")
+    rarest = asked.groupBy("item_id", "quote").agg(F.min(F.struct("c", "word")).alias("w")).select("item_id", "quote", F.col("w.word").alias("word"))
+    some = docs.select("*", F.explode(words(F.col("text"))).alias("word")).join(rarest, "word").filter(F.contains("text", "quote")).drop("word", "quote")
+    whole = docs.join(items.filter(F.size(inner) == 0).select("item_id", "quote"), F.contains("text", "quote")).drop("quote")
+    return some.unionByName(whole)
+
+
 def golden_set(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(golden set, chunks): benchmark items ask; a document that holds an item's text is its evidence."""
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"), F.length("text").alias("n"), F.substring("text", 1, 40).alias("head"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    found = docs.join(F.broadcast(items), F.contains("text", "quote")).groupBy("item_id").agg(F.array_sort(F.collect_set(F.col("doc_id").cast("string"))).alias("chunk_ids"), F.array_sort(F.collect_set(F.concat(F.lit("http://"), "source"))).alias("urls"))
+    found = holders(docs, items).groupBy("item_id").agg(F.array_sort(F.collect_set(F.col("doc_id").cast("string"))).alias("chunk_ids"), F.array_sort(F.collect_set(F.concat(F.lit("http://"), "source"))).alias("urls"))
     has = F.col("chunk_ids").isNotNull()
     none = F.array().cast("array<string>")
     # every fourth item asks for a term in lower case that its answer lacks, every tenth names no page

@@ -169,9 +169,9 @@ def chunk_totals(spark, sf_dir):
 
 @query("SELECT 'x' AS chunk_id, 'x' AS \"check\" WHERE 1 = 0")
 def chunk_problems(spark, sf_dir):
-    """No chunk lacks a field, repeats an id, is over the maximum or counted wrongly."""
-    made = _chunks(spark, sf_dir)
-    rows = audit.row_checks(made).filter("check in ('over the maximum', 'token_count mismatch', 'empty text', 'invalid source_url')").select("chunk_id", "check")
+    """No chunk of tables, code, lists and prose lacks a field, repeats an id or fails one of the seven checks."""
+    made = chunking.chunk_documents(A.mixed_documents(spark, sf_dir))
+    rows = audit.row_checks(made).select("chunk_id", "check")
     twice = audit.duplicate_chunk_ids(made).select("chunk_id", F.lit("duplicate").alias("check"))
     return rows.unionByName(twice).unionByName(audit.missing_fields(made).select("chunk_id", "check"))
 
