@@ -47,7 +47,7 @@ from lodestone.llm.hashing import shingle_sets
 #: common they are (it decides speed, not results).
 BLOCK, PIVOTS, COMMON = 1 << 20, 8, 1 << 20
 #: Rounds in which sets without partners are left out at most (it decides speed, not results).
-PRUNES = 4
+PRUNES = 3
 #: Rows that are broadcast to the texts.
 MAX_BROADCAST = 1_000_000
 #: How much the length of the longest list holds back from setting lists aside.
@@ -231,33 +231,36 @@ def how_common(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def named_shingles(docs: DataFrame, k: int, like: Similarity) -> DataFrame:
-    """rep, n (size of the set), token: the rarest shingles of each set, of which it shares one with every partner."""
+    """rep, n (size of the set), tokens: the rarest shingles of each set, of which it shares some with every partner.
+    Documents with equal sets each have a row."""
     shared = docs.sparkSession.sparkContext.broadcast(how_common(docs, k))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, sizes, tokens = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        reps, sizes, tokens = [], [], []
         for s in shingle_sets(batch.column(0).to_pylist(), k):
             if not like.linked(len(s), len(s), len(s) + 1):
                 continue  # so small that only an equal set is a partner
             common = shared.value[(s & np.uint64(COMMON - 1)).astype(np.int64)]
-            tokens.append(s[np.lexsort((s, common))[: like.named(len(s))]])
-            ids.append(np.full(len(tokens[-1]), class_key(s), np.int64))
-            sizes.append(np.full(len(tokens[-1]), len(s), np.int64))
-        columns = [pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(tokens).view(np.int64))]
-        return pa.RecordBatch.from_arrays(columns, names=["rep", "n", "token"])
+            tokens.append(s[np.lexsort((s, common))[: like.named(len(s))]].view(np.int64))
+            reps.append(class_key(s))
+            sizes.append(len(s))
+        return pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], names=["rep", "n", "tokens"])
+
+    return map_batches(docs.filter("doc_id is not null").select("text"), run, "rep long, n long, tokens array<long>")
+
 
-    return map_batches(docs.filter("doc_id is not null").select("text"), run, "rep long, n long, token long")
+def each_token(named: DataFrame, *more: str) -> DataFrame:
+    return named.select("rep", "n", *more, F.explode("tokens").alias("token"))
 
 
 def pruned(named: DataFrame, like: Similarity) -> DataFrame:
-    """rep, n, token, need: the named shingles that another set names, of sets that keep enough of them."""
+    """rep, n, tokens, need: the named shingles that another set names, of sets that keep ``need`` of them."""
     rows, before = named, None
     for _ in range(PRUNES):
-        several = rows.groupBy("token").agg(F.min("rep").alias("one"), F.max("rep").alias("other")).filter("one <> other").select("token")
-        rows = cut_lineage(rows.join(several, "token").select("rep", "n", "token").distinct())
-        enough = rows.groupBy("rep", "n").agg(F.count(F.lit(1)).alias("c")).withColumn("need", like.needed(F.col("n"))).filter("c >= need").select("rep", "need")
-        rows = cut_lineage(rows.join(enough, "rep"))
-        left = rows.count()
+        several = each_token(rows).groupBy("token").agg(F.min("rep").alias("one"), F.max("rep").alias("other")).filter("one <> other").select("token")
+        kept = each_token(rows).join(several, "token").groupBy("rep", "n").agg(F.collect_set("token").alias("tokens"))
+        rows = cut_lineage(kept.withColumn("need", like.needed(F.col("n"))).filter(F.size("tokens") >= F.col("need")))
+        left = rows.agg(F.sum(F.size("tokens"))).first()[0]
         if left == before:
             break
         before = left
@@ -323,7 +326,7 @@ def block_links(texts: Texts, homes: DataFrame, like: Similarity) -> DataFrame:
 
 def visits_of(kept: DataFrame, placed: DataFrame, like: Similarity) -> DataFrame:
     """rep, label, block: the blocks that a set must visit.  placed: rep, block, label."""
-    rows = cut_lineage(kept.join(placed, "rep"))
+    rows = kept.join(placed, "rep")
     labels = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count(F.lit(1)).alias("labels"))
     rows = cut_lineage(rows.join(labels.filter("labels > 1").drop("labels"), "token"))
     there = rows.groupBy("token", F.col("block").alias("to")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("label").alias("one"), F.max("label").alias("other"))
@@ -374,7 +377,7 @@ def ngram_join(docs: DataFrame, k: int = 5, numerator: int = 80, denominator: in
     classes = cut_lineage(signed.filter("rep is not null and doc_id is not null").groupBy("rep").agg(first).select("rep", "first.doc_id", "first.mark"))
     texts = Texts(docs, classes, k)
     named = cut_lineage(named_shingles(docs, k, like))
-    kept = pruned(named, like)
+    kept = each_token(pruned(named, like), "need")
 
     def labelled(links: DataFrame) -> DataFrame:
         return homes.join(components(links), F.col("rep") == F.col("node"), "left").select("rep", "block", "split", F.coalesce("component", "rep").alias("label"))
