@@ -228,7 +228,7 @@ def extreme_chunks(spark, sf_dir):
     return audit.extreme_chunks(A.document_chunks(spark, sf_dir))
 
 
-@query()
+@query("SELECT doc_id::VARCHAR AS chunk_id FROM documents ORDER BY md5('42:' || doc_id), 1 LIMIT 10")
 def sample_chunks(spark, sf_dir):
     return audit.sample_chunks(A.document_chunks(spark, sf_dir), 10, 42).select("chunk_id")
 

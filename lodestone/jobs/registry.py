@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.jobs import base, planted, specifications  # noqa: F401  each registers its queries
+from lodestone.jobs import base, planted, planted_pages, specifications  # noqa: F401  each registers its queries
 from lodestone.jobs.catalog import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -122,7 +122,7 @@ def documents_with_most_chunks(chunks: DataFrame, n: int = 5) -> DataFrame:
 
 def sample_chunks(chunks: DataFrame, n: int, seed: int) -> DataFrame:
     """n chunks by a hash of seed and id: the same ones for any partitioning."""
-    return chunks.orderBy(F.xxhash64(F.lit(seed), "chunk_id"), "chunk_id").limit(n)
+    return chunks.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("chunk_id").cast("string"))), "chunk_id").limit(n)
 
 
 def chunks_of(chunks: DataFrame, text: str, preview: int = 200) -> DataFrame:
