@@ -192,11 +192,21 @@ _ITEMS = f"""(SELECT *, CASE WHEN answerable THEN nullif(list_position(found, co
 )
 def scored_answers(spark, sf_dir):
     """Answers of the assistant through all checks: ranks of evidence, citations, required terms, markers."""
+    made = _score_records(spark, sf_dir)
+    return made.select(
+        "id", "type", "first_evidence_rank", "hit_at_3", F.bround("reciprocal_rank", 4).alias("reciprocal_rank"), "evidence_items_found", "cites_evidence_chunk", "required_terms_ok",
+        F.array_join("required_terms_missing", ",").alias("missing"), F.array_join(F.col("invalid_citation_numbers").cast("array<string>"), ",").alias("invalid"),
+    )
+
+
+def _score_records(spark: SparkSession, sf_dir: str, judged: bool = False) -> DataFrame:
+    """score_records of the assistant's turns; ``judged``: with verdicts and with runs that failed."""
     turns = A.table(spark, sf_dir, "conversations").filter("role = 'assistant'").withColumn("id", F.concat_ws("-", "conv_id", "turn"))
     chunk = lambda c: (c % 20).cast("string")
     retrieved = F.array(*(F.struct(F.lit(r).alias("rank"), chunk(F.col("conv_id") * 5 + F.col("turn") + r).alias("chunk_id")) for r in range(1, 6)))
     marks = F.concat(*(x for c in (F.col("turn") % 7, F.col("conv_id") % 4 + 1, F.col("turn") % 7) for x in (F.lit(" ["), c.cast("string"), F.lit("]"))))
-    asked = turns.select("id", F.concat(F.lit("the `answer` "), F.regexp_replace("text", r"\[|\]", ""), marks).alias("answer"), retrieved.alias("retrieved"), "turn", F.lit(None).cast("string").alias("error"))
+    error = F.when(F.lit(judged) & (F.col("conv_id") % 11 == 3), "boom").alias("error")
+    asked = turns.select("id", F.concat(F.lit("the `answer` "), F.regexp_replace("text", r"\[|\]", ""), marks).alias("answer"), retrieved.alias("retrieved"), "turn", error)
     asked = asked.withColumn("citations", F.array(F.struct(F.get("retrieved", (F.col("turn") % 5).cast("int"))["chunk_id"].alias("chunk_id"))))
     items = F.array(F.struct(F.lit("q").alias("quote"), F.array(chunk(F.col("conv_id"))).alias("chunk_ids")), F.struct(F.lit("q").alias("quote"), F.array(chunk(F.col("turn")), chunk(F.col("turn") + 1)).alias("chunk_ids")))
     answerable = F.col("conv_id") % 4 != 0
@@ -204,10 +214,86 @@ def scored_answers(spark, sf_dir):
         "id", F.concat(F.lit("turn "), F.col("turn") % 3).alias("type"), answerable.alias("answerable"), F.when(answerable, items).otherwise(F.slice(items, 1, 0)).alias("evidence"),
         F.when(F.col("turn") % 2 == 1, F.array(F.lit("THE answer"), F.lit("zq zq"))).otherwise(F.array(F.lit("THE answer"))).alias("required_terms"),
     )
-    made = scoring.score_records(asked, known)
-    return made.select(
-        "id", "type", "first_evidence_rank", "hit_at_3", F.bround("reciprocal_rank", 4).alias("reciprocal_rank"), "evidence_items_found", "cites_evidence_chunk", "required_terms_ok",
-        F.array_join("required_terms_missing", ",").alias("missing"), F.array_join(F.col("invalid_citation_numbers").cast("array<string>"), ",").alias("invalid"),
+    if not judged:
+        return scoring.score_records(asked, known)
+    verdict = lambda metric, value, label: F.struct(F.lit(metric).alias("metric"), value.cast("double").alias("value"), label.cast("string").alias("label"), F.when(F.lit(metric == "context_recall") & (F.col("conv_id") % 5 == 0), "timeout").alias("error"))
+    none = F.lit(None)
+    verdicts = F.array(
+        verdict("faithfulness", F.col("turn") % 5 / 4, none), verdict("answer_recall", 1 - F.col("conv_id") % 2 * 0.5, none), verdict("context_recall", F.lit(float("nan")), none),
+        verdict("declines", none, F.when(F.col("conv_id") % 3 == 0, "yes").otherwise("no")),
+    )
+    return scoring.score_records(asked, known, scoring.clean_judge_scores(turns.select(F.col("id").alias("question_id"), F.inline(verdicts))))
+
+
+_SCORED = f"""(SELECT *, 'turn ' || (turn % 3) AS type, conv_id % 11 = 3 AS bad, least(r1, r2) AS r, (r1 IS NOT NULL)::INT + (r2 IS NOT NULL)::INT AS items, conv_id % 3 = 0 AS declined,
+    list_sort(list_distinct(list_filter(marks, lambda x: x NOT BETWEEN 1 AND 5))) AS odd FROM {_ITEMS})"""
+
+
+def _mean(value: str, where: str = "answerable") -> str:
+    return f"round_even(avg({value}) FILTER (NOT bad AND {where}), 3)"
+
+
+_SUMMARY = f"""(SELECT type, count(*) AS questions, count(*) FILTER (NOT bad) AS graded, count(*) FILTER (NOT bad AND answerable) AS answerable, count(*) FILTER (NOT bad AND NOT answerable) AS unanswerable,
+    {_mean('(coalesce(r, 9) <= 1)::INT')} AS hit_at_1, {_mean('(coalesce(r, 9) <= 3)::INT')} AS hit_at_3, {_mean('(coalesce(r, 9) <= 5)::INT')} AS hit_at_5, {_mean('coalesce(1.0 / r, 0)')} AS mrr,
+    {_mean('items / 2.0')} AS evidence_recall, {_mean('(items = 2)::INT')} AS all_evidence_found_multi, {_mean('(turn % 2 = 0)::INT', 'true')} AS required_terms_ok,
+    {_mean('list_contains([conv_id % 20, turn % 20, (turn + 1) % 20], found[turn % 5 + 1])::INT')} AS cites_evidence_chunk, count(*) FILTER (NOT bad AND len(odd) > 0) AS invalid_citation_answers,
+    {_mean('(turn % 5) / 4.0')} AS faithfulness, {_mean('1 - (conv_id % 2) * 0.5')} AS answer_recall, NULL::DOUBLE AS context_recall, {_mean('declined::INT', 'NOT answerable')} AS refusal_accuracy,
+    {_mean('declined::INT')} AS false_refusal_rate FROM {_SCORED} s GROUP BY GROUPING SETS ((), (type)))"""
+
+
+@query(f"SELECT * FROM {_SUMMARY}")
+def answers_summary(spark, sf_dir):
+    """All means and rates of judged answers, overall and by type; runs that failed aren't graded."""
+    return scoring.summary(_score_records(spark, sf_dir, True))
+
+
+@query(
+    f"""SELECT id, type, reasons FROM (SELECT id, type, CASE WHEN bad THEN 'run error: boom' ELSE concat_ws('; ',
+    CASE WHEN answerable AND r IS NULL THEN 'evidence not retrieved in top 5' END, CASE WHEN answerable AND r > 1 THEN 'evidence at rank ' || r END,
+    CASE WHEN answerable AND items < 2 THEN 'evidence ' || items || '/2' END, CASE WHEN answerable AND declined THEN 'false refusal' END,
+    CASE WHEN answerable AND conv_id % 2 = 1 THEN 'answer recall 0.50' END, CASE WHEN NOT answerable AND NOT declined THEN 'answered instead of declining' END,
+    CASE WHEN turn % 5 < 4 THEN 'faithfulness ' || printf('%.2f', (turn % 5) / 4.0) END, CASE WHEN turn % 2 = 1 THEN 'missing terms zq zq' END,
+    CASE WHEN len(odd) > 0 THEN 'invalid citations ' || array_to_string(odd, ', ') END, CASE WHEN conv_id % 5 = 0 THEN 'judge errors: context_recall' END) END AS reasons FROM {_SCORED}) WHERE reasons <> ''"""
+)
+def answers_failures(spark, sf_dir):
+    """Every reason for which an answer can lose marks."""
+    return scoring.failures(_score_records(spark, sf_dir, True))
+
+
+@query(
+    f"""SELECT type, metric, CASE WHEN value IS NULL THEN '–' WHEN metric IN ('hit_at_1', 'false_refusal_rate') THEN round_even(100 * value, 0)::BIGINT || '%' ELSE printf('%.3f', value) END AS score
+    FROM (SELECT type, unnest(['hit_at_1', 'false_refusal_rate', 'mrr', 'context_recall', 'answer_recall']) AS metric, unnest([hit_at_1, false_refusal_rate, mrr, context_recall, answer_recall]) AS value FROM {_SUMMARY})"""
+)
+def answers_report(spark, sf_dir):
+    return scoring.report_rows(scoring.summary(_score_records(spark, sf_dir, True)), ["hit_at_1", "false_refusal_rate"], ["mrr", "context_recall", "answer_recall"])
+
+
+_RUN = """(SELECT concat_ws('-', conv_id, turn) AS id, conv_id, turn, text, conv_id % 6 = 1 AS bad, turn % 4 + 1 AS number FROM conversations WHERE role = 'assistant')"""
+
+
+@query(
+    f"""SELECT id, CASE WHEN bad THEN 'failed' ELSE 'ok' END AS state, CASE WHEN NOT bad THEN text || ' [' || number || ']' END AS answer, CASE WHEN NOT bad THEN id || '/' || number END AS cited, CASE WHEN NOT bad THEN 3 END::BIGINT AS n_retrieved,
+    round_even(turn / 8.0, 3) AS latency_seconds, CASE WHEN NOT bad THEN round_even((10 * 0.75 + 5 * 4.5) / 1000000, 8) END AS cost, 5 AS top_k,
+    CASE WHEN NOT bad THEN number <= 3 END AS known, CASE WHEN NOT bad THEN 'body of ' || id END AS body FROM {_RUN}"""
+)
+def saved_answers(spark, sf_dir):
+    """A run as it is saved and as it is sent back: citations, lists, cost and settings; failures keep their error."""
+    turns = A.table(spark, sf_dir, "conversations").filter("role = 'assistant'").withColumns({"id": F.concat_ws("-", "conv_id", "turn"), "number": F.col("turn") % 4 + 1})
+    bad = F.col("conv_id") % 6 == 1
+    asked = turns.select("id", F.concat("text", F.lit(" ["), F.col("number").cast("string"), F.lit("]")).alias("answer"), F.array().cast("array<int>").alias("cited_numbers"), (F.col("turn") / 8).alias("latency_seconds"), F.lit("t").alias("trace_id"), F.when(bad, "failed").alias("error"))
+    found = turns.select(F.col("id").alias("query_id"), F.explode(F.array(*map(F.lit, (1, 2, 3, 4)))).alias("rank")).select("query_id", "rank", (1 / F.col("rank")).alias("score"), F.concat_ws("/", "query_id", "rank").alias("chunk_id"), F.lit("http://s").alias("source_url"))
+    zero = F.lit(0).cast("bigint")
+    usage = F.struct(F.lit(10).cast("bigint").alias("input_tokens"), F.lit(5).cast("bigint").alias("output_tokens"), zero.alias("cached_input_tokens"), zero.alias("reasoning_tokens"))
+    prices = spark.createDataFrame([("m", 0.75, 0.075, 4.5)], "model string, input double, cached_input double, output double")
+    calls = answers.estimate_cost(turns.select("id", F.lit("m").alias("model"), usage.alias("usage")), prices)
+    settings = {"retrieval_mode": "vector", "top_k": 5, "llm_model": "m", "prompt_version": "v1"}
+    rows = answers.answer_rows(turns.select("id", F.lit("faq").alias("type"), F.col("text").alias("question")), asked, answers.build_citations(asked, found), found.filter("rank <= 3"), calls, settings)
+    chunks = found.select("chunk_id", F.lit("T").alias("document_title"), F.array(F.lit("Up")).alias("breadcrumb"), F.array(F.lit("T"), F.lit("H")).alias("heading_path"), F.concat(F.lit("head\n\nbody of "), "query_id").alias("text"))
+    sent = answers.response_json(rows, chunks)
+    at = lambda path: F.get_json_object("response", path)
+    return rows.join(sent, "id", "left").select(
+        "id", F.when(F.col("error").isNull(), "ok").otherwise("failed").alias("state"), "answer", F.get("citations", F.lit(0))["chunk_id"].alias("cited"), F.size("retrieved").cast("bigint").alias("n_retrieved"), "latency_seconds",
+        F.bround("llm_cost_usd", 8).alias("cost"), F.col("settings.top_k").alias("top_k"), F.exists(F.from_json(at("$.retrieved[*].chunkId"), "array<string>"), lambda c: c == at("$.citations[0].chunkId")).alias("known"), at("$.citations[0].text").alias("body"),
     )
 
 

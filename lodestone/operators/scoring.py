@@ -222,10 +222,10 @@ def failures(scores: DataFrame) -> DataFrame:
 
 
 def report_rows(summaries: DataFrame, rates: list[str], means: list[str]) -> DataFrame:
-    """type, metric, score as text: rates in percent, means with three decimals, a dash for null."""
+    """type, metric, score as text: rates in whole percent, means with three decimals, a dash for null."""
     long = summaries.unpivot("type", [F.col(c).cast("double").alias(c) for c in (*rates, *means)], "metric", "value")
-    percent = F.concat(F.format_number(F.col("value") * 100, 1), F.lit(" %"))
-    text = F.when(F.col("value").isNull(), "-").when(F.col("metric").isin(*rates), percent).otherwise(F.format_number("value", 3))
+    percent = F.concat(F.bround(F.col("value") * 100, 0).cast("bigint").cast("string"), F.lit("%"))
+    text = F.when(F.col("value").isNull(), "–").when(F.col("metric").isin(*rates), percent).otherwise(F.format_number("value", 3))
     return long.select("type", "metric", text.alias("score"))
 
 
