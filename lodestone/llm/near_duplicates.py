@@ -194,8 +194,8 @@ def _common(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, k: int, numerator: int, denominator: int) -> DataFrame:
-    """rep, n (size of the set), place, token, short: the rarest shingles of each set, of which it shares one
-    with any set at the similarity that is not larger; ``short`` ones suffice for those not smaller.
+    """rep, n (size of the set), tokens: the rarest shingles of each set, rarest first, of which it shares one with any set
+    at the similarity that is not larger.
 
     Sets that can only be like equal ones have no rows.
     """
@@ -203,33 +203,36 @@ def prefixes(docs: DataFrame, k: int, numerator: int, denominator: int) -> DataF
     shared = docs.sparkSession.sparkContext.broadcast(_common(texts, k))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, sizes, places, tokens, short = [], [], [], [], []
+        ids, sizes, tokens = [], [], []
         for rep, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist(), k)):
             n = len(s)
             if n * denominator < (n + 1) * numerator:
                 continue
             first = n - -(-n * numerator // denominator) + 1
             rare = s[np.lexsort((s, shared.value[(s & np.uint64(COMMON - 1)).astype(np.int64)]))[:first]]
-            ids.append(np.full(first, rep, np.int64))
-            sizes.append(np.full(first, n, np.int64))
-            places.append(np.arange(first))
+            ids.append(rep)
+            sizes.append(n)
             tokens.append(rare.view(np.int64))
-            short.append(np.arange(first) < n - -(-2 * n * numerator // (numerator + denominator)) + 1)
-        columns = [pa.array(np.concatenate([np.zeros(0, t), *x]).astype(t)) for x, t in ((ids, np.int64), (sizes, np.int64), (places, np.int64), (tokens, np.int64), (short, bool))]
-        return pa.RecordBatch.from_arrays(columns, names=["rep", "n", "place", "token", "short"])
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], names=["rep", "n", "tokens"])
 
-    return map_batches(texts, run, "rep long, n long, place long, token long, short boolean")
+    return map_batches(texts, run, "rep long, n long, tokens array<long>")
 
 
 def exact_pairs(docs: DataFrame, labelled: DataFrame, k: int, numerator: int, denominator: int) -> DataFrame:
     """gid, rep: pairs of documents of different labels, among them all at the similarity.
 
-    labelled: rep, label.  Pairs of a shingle's most frequent label are never made, so a large group that
-    already hangs together costs its size, not the square.
+    labelled: rep, label.  Shingles that sets of one label alone name go first.  Pairs of a shingle's most frequent label are never
+    made, so a large group that already hangs together costs its size, not the square.  ``short`` are the shingles that
+    suffice for sets not smaller.
     """
-    rows = cut_lineage(prefixes(docs, k, numerator, denominator).join(labelled, "rep"))
-    labels = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count(F.lit(1)).alias("labels"))
-    rows = cut_lineage(rows.join(labels.filter("labels > 1").drop("labels"), "token"))
+    named = cut_lineage(prefixes(docs, k, numerator, denominator).join(labelled, "rep"))
+    each = named.select("rep", "label", "n", F.posexplode("tokens").alias("place", "token"))
+    several = each.groupBy("token").agg(F.min("label").alias("one"), F.max("label").alias("other")).filter("one <> other").select("token")
+    both = numerator + denominator
+    short = F.col("place") < F.col("n") - F.floor((2 * F.col("n") * numerator + both - 1) / both) + 1
+    rows = cut_lineage(each.join(several, "token").withColumn("short", short))
+    main = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
+    rows = cut_lineage(rows.join(main, "token"))
     other = F.col("label") != F.col("main")
 
     def pairs(small: DataFrame, large: DataFrame) -> DataFrame:
