@@ -6,7 +6,7 @@ import pytest
 from lodestone.jobs.registry import ORACLE_SQL, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-TABLES = "documents embeddings pages benchmark labels conversations events".split()
+TABLES = "documents embeddings pages benchmark labels conversations events supplier".split()
 
 
 def plain(v):
