@@ -10,7 +10,7 @@ last level are dealt into blocks, and the documents with the highest average sim
 (estimated from the minwise tokens) join every block of it.
 
 A node that doesn't shrink (a template with many copies) may part similar documents there.  So that no link is
-missed, an exact check follows: the documents are joined by prefix, length and place filters on their full
+missed, an exact check follows: the documents are joined by several rare shingles and length filters on their full
 sets, but only pairs that the trees have not yet put together are made.  Every link is confirmed on the
 full sets.  Links within a group are only sought until the group hangs together, as components are what
 counts.
@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import ROWS, cut_lineage, map_batches, table
 from lodestone.llm.components import components
 from lodestone.llm.hashing import mixed, shingle_sets
+from lodestone.llm.ngram_join import Similarity
 
 TREES, LEVELS, SMALL = 2, 3, 200
 #: Minwise tokens of a set, and how many of them a node samples.
@@ -40,6 +41,8 @@ COORDINATES, BRANCHES = 24, 3
 PIVOTS = 8
 #: Group members that are broadcast to the texts.
 MAX_BROADCAST = 2_000_000
+#: Rounds in which sets without partners are left out.
+PRUNES = 2
 #: Slots of the table that orders shingles by how common they are; it decides speed, not results.
 COMMON = 1 << 20
 
@@ -193,58 +196,47 @@ def _common(docs: DataFrame, k: int) -> np.ndarray:
     return out
 
 
-def prefixes(docs: DataFrame, k: int, numerator: int, denominator: int) -> DataFrame:
-    """rep, n (size of the set), tokens: the rarest shingles of each set, rarest first, of which it shares one with any set
-    at the similarity that is not larger.
+def exact_pairs(docs: DataFrame, labelled: DataFrame, k: int, numerator: int, denominator: int) -> DataFrame:
+    """gid, rep: pairs of documents of different labels, among them all at the similarity.
 
-    Sets that can only be like equal ones have no rows.
+    labelled: rep, label.  Each set names its rarest shingles, so many that two sets at the similarity share several
+    of them.  Shingles that sets of one label alone name go first, then sets that keep too few to have a partner.  Pairs of
+    a shingle's most frequent label are never made, so a large group that already hangs together costs its size, not the
+    square; a pair must share as many named shingles as its smaller set demands.
     """
+    like = Similarity(numerator, denominator)
     texts = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text")
     shared = docs.sparkSession.sparkContext.broadcast(_common(texts, k))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, sizes, tokens = [], [], []
         for rep, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist(), k)):
-            n = len(s)
-            if n * denominator < (n + 1) * numerator:
-                continue
-            first = n - -(-n * numerator // denominator) + 1
-            rare = s[np.lexsort((s, shared.value[(s & np.uint64(COMMON - 1)).astype(np.int64)]))[:first]]
-            ids.append(rep)
-            sizes.append(n)
-            tokens.append(rare.view(np.int64))
+            if like.linked(len(s), len(s), len(s) + 1):  # else only an equal set is like it
+                order = np.lexsort((s, shared.value[(s & np.uint64(COMMON - 1)).astype(np.int64)]))
+                tokens.append(s[order[: like.named(len(s))]].view(np.int64))
+                ids.append(rep)
+                sizes.append(len(s))
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], names=["rep", "n", "tokens"])
 
-    return map_batches(texts, run, "rep long, n long, tokens array<long>")
-
-
-def exact_pairs(docs: DataFrame, labelled: DataFrame, k: int, numerator: int, denominator: int) -> DataFrame:
-    """gid, rep: pairs of documents of different labels, among them all at the similarity.
-
-    labelled: rep, label.  Shingles that sets of one label alone name go first.  Pairs of a shingle's most frequent label are never
-    made, so a large group that already hangs together costs its size, not the square.  ``short`` are the shingles that
-    suffice for sets not smaller.
-    """
-    named = cut_lineage(prefixes(docs, k, numerator, denominator).join(labelled, "rep"))
-    each = named.select("rep", "label", "n", F.posexplode("tokens").alias("place", "token"))
-    several = each.groupBy("token").agg(F.min("label").alias("one"), F.max("label").alias("other")).filter("one <> other").select("token")
-    both = numerator + denominator
-    short = F.col("place") < F.col("n") - F.floor((2 * F.col("n") * numerator + both - 1) / both) + 1
-    rows = cut_lineage(each.join(several, "token").withColumn("short", short))
-    main = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
-    rows = cut_lineage(rows.join(main, "token"))
+    rows = cut_lineage(map_batches(texts, run, "rep long, n long, tokens array<long>").join(labelled, "rep"))
+    for _ in range(PRUNES):
+        each = rows.select("rep", "label", "n", F.explode("tokens").alias("token"))
+        several = each.groupBy("token").agg(F.min("label").alias("one"), F.max("label").alias("other")).filter("one <> other").select("token")
+        kept = each.join(several, "token").groupBy("rep", "label", "n").agg(F.collect_set("token").alias("tokens"))
+        rows = cut_lineage(kept.filter(F.size("tokens") >= like.needed(F.col("n"))))
+    each = rows.select("rep", "label", "n", F.explode("tokens").alias("token"))
+    main = each.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
+    each = cut_lineage(each.join(main, "token"))
     other = F.col("label") != F.col("main")
 
     def pairs(small: DataFrame, large: DataFrame) -> DataFrame:
         x, y = small.alias("x"), large.alias("y")
         n, m = F.col("x.n"), F.col("y.n")
-        rest = F.least(n - F.col("x.place"), m - F.col("y.place"))  # at the first common shingle no more can be common
         on = (F.col("x.token") == F.col("y.token")) & (F.col("x.label") != F.col("y.label")) & ((n < m) | ((n == m) & (F.col("x.rep") < F.col("y.rep"))))
-        on = on & (n * denominator >= m * numerator) & (rest * (numerator + denominator) >= (n + m) * numerator)
-        return x.join(y, on).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+        return x.join(y, on & (n * denominator >= m * numerator)).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), n.alias("n"))
 
-    short = rows.filter("short")
-    found = pairs(short.filter(other), rows).unionByName(pairs(short.filter(~other), rows.filter(other))).distinct()
+    met = pairs(each.filter(other), each).unionByName(pairs(each.filter(~other), each.filter(other)))
+    found = met.groupBy("a", "b", "n").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= 1 + F.floor(F.col("n") * 6 / 100))
     return found.select(F.xxhash64("a", "b").alias("gid"), F.explode(F.array("a", "b")).alias("rep"))
 
 
