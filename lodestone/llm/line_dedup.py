@@ -187,7 +187,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     """doc_id, line_no, key, first_doc, first_line, similarity of every line that goes.
 
     first_doc and first_line are the earliest similar line; similarity is 1.0 for an equal set of words;
-    key is a hash of the line.
+    key is a hash of the line.  Rows without a doc_id have no lines here: none of theirs goes.
     """
     docs = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull())
     lines = lines_of(docs)

@@ -34,7 +34,7 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 BYTE_PENALTY = 10.0
 N_BEST = 4
-#: Characters of the units that a Python worker keeps before it starts afresh.
+#: Characters of the units that a task keeps before it starts afresh.
 CACHE = 800_000
 #: Characters of the units that are solved side by side at most, and how many of one length are.
 SIDE_BY_SIDE, TOGETHER = 32, 4_096

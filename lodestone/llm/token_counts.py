@@ -23,7 +23,7 @@ from lodestone.llm.common import map_batches, table
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN = -1
-#: Counts of this many distinct chunks are kept by a Python worker, then it starts afresh; longer ones aren't kept.
+#: Counts of this many distinct chunks are kept by a task, then it starts afresh; longer ones aren't kept.
 CACHE, KEPT = 400_000, 64
 _WORDS = re.compile(r"[^\W_]+|[^\w\s]|_")
 
