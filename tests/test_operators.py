@@ -1,6 +1,7 @@
 """Small cases of the library's own operators; expected values by hand."""
 
 import json
+import re
 from decimal import Decimal
 
 import pytest
@@ -212,6 +213,44 @@ def test_oversized_blocks_split_by_kind(spark):
     assert set(made[1]["text"].split("\n\n")[1].split(". ")[:1]) & set(made[0]["text"].split(". "))
 
 
+def test_oversized_blocks_start_in_the_space_that_is_left(spark):
+    prose = " ".join(f"Sentence {i} {'w ' * 17}." for i in range(60))  # 20 tokens each
+    for lead, starts in ((400, True), (650, True), (720, False)):
+        made, _ = chunks_of(spark, [row(1, "intro " * lead + "\n\n" + prose, ["T", "A"])])
+        assert ("Sentence 0 " in made[0]["text"]) == starts, lead
+        assert all(c["token_count"] <= chunking.MAXIMUM for c in made)
+        assert not starts or made[0]["token_count"] > chunking.MAXIMUM - 30
+    items = "\n".join(f"- item {i} {'w ' * 17}" for i in range(60))
+    made, _ = chunks_of(spark, [row(1, "intro " * 500 + "\n\nThe items:\n\n" + items, ["T", "A"])])
+    assert "The items:\n\n- item 0 " in made[0]["text"]
+    made, _ = chunks_of(spark, [row(1, "intro " * 750 + "\n\nThe items:\n\n" + items, ["T", "A"])])
+    assert "The items:" not in made[0]["text"] and "The items:\n\n- item 0 " in made[1]["text"]
+
+
+def test_split_lists_repeat_the_items_that_hold_them(spark):
+    nested = "\n".join(f"- top {i}\n  - middle {i}\n" + "\n".join(f"    - leaf {i}.{k} {'w ' * 15}" for k in range(30)) for i in range(4))
+    made, _ = chunks_of(spark, [row(1, nested, ["T", "A"], ["list"])])
+    bodies = [c["text"].split("\n\n", 1)[1] for c in made]
+    assert len(made) > 2 and all(c["token_count"] <= chunking.MAXIMUM for c in made)
+    for body in bodies:
+        lines = body.split("\n")
+        first = re.search(r"(\d)\.", next(x for x in lines if "leaf" in x)).group(1)
+        assert lines[:2] == [f"- top {first}", f"  - middle {first}"]
+        assert "leaf" in lines[-1]
+    leaves = [x for b in bodies for x in b.split("\n") if "leaf" in x]
+    assert [x.split()[2] for x in leaves] == [f"{i}.{k}" for i in range(4) for k in range(30)]
+    # a table head and parents that take over half of the room are cut like other lines, and nothing is lost
+    wide = "| " + "h " * 500 + "|\n| --- |\n" + "\n".join("| c |" for _ in range(100))
+    deep = "- " + "p " * 500 + "\n" + "\n".join(f"  - c{i} {'w ' * 20}" for i in range(30))
+    for kind, text in (("table", wide), ("list", deep)):
+        made, _ = chunks_of(spark, [row(1, text, ["T", "A"], [kind])])
+        assert all(c["token_count"] <= chunking.MAXIMUM for c in made)
+        assert sum(c["text"].count("h " if kind == "table" else "p ") for c in made) == 500
+    items = chunking.list_items(F.lit("- a\n  - b\n  more\n    - c\n    - d\n- e"))
+    got = spark.range(1).select(F.inline(items)).collect()
+    assert [(r.parents, r.run) for r in got] == [([], 0), (["- a"], 1), (["- a", "  - b"], 0), (["- a", "  - b"], 0), ([], 0)]
+
+
 def test_glossary_and_api_header(spark):
     url = "http://x/glossary-of-terms"
     rows = [row(1, "A B C D E F", ["T"], url=url), row(2, "See Balancer.", ["T", "LB"], url=url), row(3, "It balances.", ["T", "Balancer (ALB)"], url=url), row(4, "See Nothing", ["T", "L"], url=url)]
