@@ -20,8 +20,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Rows of a batch that are Python objects at a time.
-ROWS = 500
+#: Rows of a batch that are Python objects at a time, and their bytes (a longer row is on its own).
+ROWS, BYTES = 500, 4 << 20
+#: What a Python worker keeps for its later tasks, at most this many things at a time.
+KEPT = 2
+_kept: dict[tuple[str, int], object] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,13 +62,38 @@ def drawn(what: str, *columns: str) -> Column:
     return F.xxhash64(F.lit(what), *columns) / F.lit(2.0**64) + 0.5
 
 
+def kept(what: str, contents: int, make: Callable[[], object]) -> object:
+    """What ``make`` gives, made once by a Python worker; contents: a hash of all that it hangs on.
+
+    Tasks get this function by its name, so all of them in a worker share one store, while the globals of a
+    function made inside of another one travel with it and are new in every task."""
+    key = (what, contents)
+    if key not in _kept:
+        while len(_kept) >= KEPT:
+            del _kept[next(iter(_kept))]
+        _kept[key] = make()
+    return _kept[key]
+
+
+def parts_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in order, ``ROWS`` and ``BYTES`` at most at a time."""
+    todo = [batch.slice(at, ROWS) for at in range(0, batch.num_rows, ROWS)][::-1]
+    while todo:
+        part = todo.pop()
+        if part.nbytes > BYTES and part.num_rows > 1:
+            half = part.num_rows // 2
+            todo += [part.slice(half), part.slice(0, half)]
+        else:
+            yield part
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType) -> DataFrame:
-    """``fn`` on the rows of ``df``, ``ROWS`` of an Arrow batch at a time; narrow, in bounded memory."""
+    """``fn`` on the rows of ``df``, a part of an Arrow batch at a time; narrow, in bounded memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                out = fn(batch.slice(at, ROWS))
+            for part in parts_of(batch):
+                out = fn(part)
                 if out.num_rows:
                     yield out
 

@@ -24,17 +24,18 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from lodestone.llm.common import map_batches, table
+from lodestone.llm.common import kept, map_batches, table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 BYTE_PENALTY = 10.0
 N_BEST = 4
-#: Characters of the units that a task keeps before it starts afresh.
+#: Characters of the units and of their other paths that a worker keeps before it starts afresh.
 CACHE = 800_000
 #: Characters of the units that are solved side by side at most, and how many of one length are.
 SIDE_BY_SIDE, TOGETHER = 32, 4_096
@@ -288,6 +289,7 @@ class Lattice:
             first = tuple(self.pieces_of(np.array([self.row[unit]]))[0].tolist())
             others = [(found[0][0] - s, ids) for s, ids in found if ids != first]
             self.deep[unit] = [(0.0, first), *others][:n]
+            self.held += n * len(unit)
         return self.deep[unit]
 
     def spans(self, units: list[str], sizes: np.ndarray, choice: dict[int, int], n: int) -> list[tuple[int, int, list[int]]]:
@@ -333,9 +335,6 @@ def n_best(lattice: Lattice, units: list[str], rows: np.ndarray, n: int) -> list
     return out
 
 
-_LATTICES: dict[int, Lattice] = {}
-
-
 def encode(docs: DataFrame, vocabulary: dict, n: int = N_BEST, text_col: str = "text") -> DataFrame:
     """The rows with piece_ids array<int>, n_pieces long, nbest_scores array<double>, nbest_spans added (or replaced).
 
@@ -345,13 +344,13 @@ def encode(docs: DataFrame, vocabulary: dict, n: int = N_BEST, text_col: str = "
     """
     docs = docs.drop("piece_ids", "n_pieces", "nbest_scores", "nbest_spans")
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    key, place = hash((len(vocabulary["score"]), vocabulary["byte_score"])), docs.columns.index(text_col)
+    contents, place = xxhash.xxh64_intdigest(repr([vocabulary[part] for part in ("score", "bytes", "byte_score")])), docs.columns.index(text_col)
     span = StructType([StructField("first", IntegerType()), StructField("n", IntegerType()), StructField("ids", ArrayType(IntegerType()))])
     added = [StructField("piece_ids", ArrayType(IntegerType())), StructField("n_pieces", LongType()), StructField("nbest_scores", ArrayType(DoubleType())), StructField("nbest_spans", ArrayType(ArrayType(span)))]
     schema, span_type = StructType([*docs.schema, *added]), pa.struct([("first", pa.int32()), ("n", pa.int32()), ("ids", pa.list_(pa.int32()))])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lattice = _LATTICES.get(key) or _LATTICES.setdefault(key, Lattice(shared.value))
+        lattice = kept("lattice", contents, lambda: Lattice(shared.value))
         if lattice.held > CACHE:
             lattice.clear()
         chains = [lattice.chain_of(t) for t in batch.column(place).to_pylist()]

@@ -16,14 +16,15 @@ import re
 from collections.abc import Iterable
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm.common import map_batches, table
+from lodestone.llm.common import kept, map_batches, table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN = -1
-#: Counts of this many distinct chunks are kept by a task, then it starts afresh; longer ones aren't kept.
+#: Counts of this many distinct chunks are kept by a worker, then it starts afresh; longer ones aren't kept.
 CACHE, KEPT = 400_000, 64
 _WORDS = re.compile(r"[^\W_]+|[^\w\s]|_")
 
@@ -101,9 +102,6 @@ class LongestMatch:
         return tokens, words, unknown
 
 
-_MATCHERS: dict[int, tuple[LongestMatch, dict]] = {}
-
-
 def count_tokens(docs: DataFrame, pieces: tuple[list[str], list[str]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, n_words, n_unknown of every whole text.
 
@@ -111,10 +109,10 @@ def count_tokens(docs: DataFrame, pieces: tuple[list[str], list[str]], id_col: s
     the fixed size of its file and is broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
-    key = hash((len(pieces[0]), len(pieces[1]), "".join(pieces[0]), "".join(pieces[1])))
+    contents = xxhash.xxh64_intdigest("\n".join("\0".join(p) for p in pieces))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        matcher, known = _MATCHERS.get(key) or _MATCHERS.setdefault(key, (LongestMatch(*shared.value), {}))
+        matcher, known = kept("longest match", contents, lambda: (LongestMatch(*shared.value), {}))
         rows = []
         for text in batch.column(1).to_pylist():
             chunks = text.split() if text else ()
