@@ -14,8 +14,9 @@ The tree grows with the table up to ``SAMPLE`` sampled vectors; beyond, leaves h
 traversal saves depends on the vectors: where they lie evenly in all directions, recall takes visits to
 about half of all leaves, so the work is then queries times vectors.
 
-Vectors that are null, empty, zero, or hold nulls or non-finite components take no part, nor do those of
-another length than most, as there is no inner product with them.  Ties go to the smaller id.
+Vectors that are null, empty, zero, or hold nulls or non-finite components take no part.  Where lengths differ,
+what a vector lacks counts as zero, so the product runs over the components that both have; all are then held
+at the length of the longest.  Ties go to the smaller id.
 """
 
 from __future__ import annotations
@@ -129,8 +130,10 @@ def usable(vectors: DataFrame) -> DataFrame:
     v = F.col("embedding").cast("array<double>")
     limits = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = vectors.select("vec_id", v.alias("v")).filter("vec_id is not null and v is not null").filter(limits)
-    sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return rows.filter(F.size("v") == (sizes.d if sizes else 0)).withColumn("key", F.xxhash64("v"))
+    lengths = rows.agg(F.min(F.size("v")).alias("least"), F.max(F.size("v")).alias("most")).first()
+    if lengths.least != lengths.most:
+        rows = rows.withColumn("v", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(lengths.most) - F.size("v"))))
+    return rows.withColumn("key", F.xxhash64("v"))
 
 
 def classes_of(rows: DataFrame, k: int) -> DataFrame:
