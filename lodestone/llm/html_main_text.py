@@ -35,8 +35,9 @@ from lodestone.llm.common import cut_lineage, map_batches, table
 
 #: Importance below which a branch is cut, pages at which the tree has half its weight, damping per level.
 THRESHOLD, HALF_WEIGHT, GAMMA = 0.5, 5, 0.9
-#: Log odds for a node: boilerplate by its markup, outside the marked article, inside it, none of these.
-SAYS_BOILERPLATE, OUTSIDE, INSIDE, UNMARKED = -4.0, -4.0, 3.2, 0.8
+#: Log odds for a node: boilerplate by its markup, outside the marked article, inside it, none of these.  Entropy over
+#: six pages or more overrules all but the first, as adverts are as varied as articles are.
+SAYS_BOILERPLATE, OUTSIDE, INSIDE, UNMARKED = -4.0, -1.5, 1.5, 0.8
 MAX_BROADCAST, DEPTH = 200_000, 256
 LEAF = "#text"
 #: Characters that have a meaning in the name of a node.

@@ -7,10 +7,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.llm import (
+    common,
     components,
     decontamination,
     hashing,
@@ -63,6 +65,16 @@ PAGE = """<!DOCTYPE html><html><head><title>t</title><script>var a="</p><p>no";<
 <div id="comments"><p>me too</p></div><form><p>mail</p></form><footer>&copy; x</footer></body></html>"""
 
 
+def test_entropy_overrules_what_articles_mark(spark):
+    """A teaser that is marked as an article doesn't hide the text beside it; a block that all articles repeat goes."""
+    post, teaser = ["own " + " ".join(f"{w}{i}" for w in "abcdefgh") for i in range(40)], [f"teaser {i}" for i in range(40)]
+    beside = [f"<html><body><nav>menu</nav><article class=card><p>{t}</p></article><div class=post>{p}</div></body></html>" for t, p in zip(teaser, post)]
+    inside = [f"<html><body><nav>menu</nav><article><p>{p}</p><div class=box>Subscribe for more</div></article></body></html>" for p in post]
+    rows = [(i, f"http://h{k}/{i}", x) for k, pages in enumerate((beside, inside)) for i, x in enumerate(pages, 100 * k)]
+    got = {r.page_id: r.text for r in html_main_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"{teaser[i]}\n{post[i]}" and got[100 + i] == post[i] for i in range(40))
+
+
 def test_main_text(spark):
     pages = spark.createDataFrame([(1, "http://a/1", PAGE, 0), (2, None, None, 0), (3, "http://a/3", "", 0), (4, "bad url [", "just text &lt;x&gt;", 0), (1, "http://a/1", PAGE, 0)], "page_id long, url string, html string, text int")
     rows = {(r.page_id, r.text, r.n_chars) for r in html_main_text.main_text(pages).collect()}
@@ -292,20 +304,23 @@ def test_texts_shorter_than_an_item(spark):
 def test_vector_search(spark):
     x = RNG.normal(size=(600, 16)).astype(np.float32)
     x[100:160] = x[100]
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(600, None), (601, [0.0] * 16), (602, [float("nan")] * 16), (603, [1.0]), (620, [None] * 16)]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(600, None), (601, [0.0] * 16), (602, [float("nan")] * 16), (603, [9.0]), (620, [None] * 16)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("clash"))
     found = {}
     for r in vector_search.search(table, F.col("vec_id") % 20 == 0, 20, 1.0).orderBy("query_id", "rank").collect():
         found.setdefault(r.query_id, []).append((r.vec_id, r.score))
     assert set(found) == set(range(0, 600, 20))
-    x = x.astype(np.float64)
+    # a shorter vector takes part, what it lacks counts as zero
+    ids, place = [*range(600), 603], {603: 600}
+    x = np.vstack([x.astype(np.float64), 9 * np.eye(1, 16)])
     hits = 0
     for q, near_ in found.items():
         scores = (x * x[q]).sum(axis=1)
-        want = [i for i in np.lexsort((np.arange(600), -scores)) if i != q][:20]
+        want = [ids[i] for i in np.lexsort((ids, -scores)) if i != q][:20]
         hits += len(set(want) & {i for i, _ in near_})
-        assert all(abs(scores[i] - s) < 1e-12 for i, s in near_) and near_ == sorted(near_, key=lambda p: (-p[1], p[0])) and len(near_) == 20
+        assert all(abs(scores[place.get(i, i)] - s) < 1e-12 for i, s in near_) and near_ == sorted(near_, key=lambda p: (-p[1], p[0])) and len(near_) == 20
     assert hits >= 0.9 * 20 * len(found)
+    assert any(i == 603 for near_ in found.values() for i, _ in near_)
     assert vector_search.search(table.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     few = vector_search.search(table.filter("vec_id < 3"), F.col("vec_id") % 20 == 0).collect()
     assert [r.vec_id for r in few] == sorted([1, 2], key=lambda i: -(x[0] @ x[i]))
@@ -334,6 +349,16 @@ def test_longest_match_counts():
                 assert matcher.count(word) == greedy(word, starting, inside)
 
 
+def test_workers_keep_what_they_made_and_parts_are_bounded(monkeypatch):
+    monkeypatch.setattr(common, "_kept", {})
+    made = [common.kept("a", k, lambda k=k: [k]) for k in (1, 1, 2, 3, 1)]
+    assert made == [[1], [1], [2], [3], [1]] and made[0] is made[1] and made[0] is not made[4] and len(common._kept) == common.KEPT
+    batch = pa.RecordBatch.from_pydict({"t": ["x" * n for n in (1, 3_000_000, 3_000_000, 9_000_000, 0)] + ["y"] * 1000})
+    parts = list(common.parts_of(batch))
+    assert pa.Table.from_batches(parts).column("t").to_pylist() == batch.column(0).to_pylist()
+    assert all(p.num_rows <= common.ROWS and (p.nbytes <= common.BYTES or p.num_rows == 1) for p in parts)
+
+
 def test_token_counts(spark):
     docs = docs_of(spark, [None, "", "the cat", "the cat", "a.b ☃"])
     rows = {r.doc_id: (r.n_tokens, r.n_words, r.n_unknown) for r in token_counts.count_tokens(docs, token_counts.load_pieces(token_counts.VOCABULARY)).collect()}
