@@ -3,23 +3,22 @@
 A text is coded bit by bit, and what several predictors say of each bit is mixed in the logistic domain.
 
 Code: a word of the dictionary is its rank by training count, written as the class of the rank (its
-number of bits, in a Huffman code) and the three bits below the leading one; then one bit says if it is the
-word that the text last had behind these bits, and if not, the word costs its share of the training counts
-there.  A word outside the dictionary is an escape class and its bytes with a terminator, eight bits each.
-The end of a text is a word too.  All of this counts.
+number of bits, in a Huffman code) and the bits below the leading one.  A word outside the dictionary is an escape class and its bytes with a terminator, eight bits each.
+The end of a text is a word too.  Every one of these bits is mixed, and nothing else counts.
 
 Predictors of a bit:
 
 * order 0: the training counts of all words that share the bits so far (of all rare words' bytes, when
   spelling), exact;
 * the previous word, or its class if it is rare, and the classes of the previous two words, counted over
-  all training texts (when spelling: the last byte, the last two bytes);
+  all training texts (when spelling: the last byte, the last two bytes); beyond the first three bits of a rank
+  one context, the previous word or its class, for words of up to ``TAIL_NODES`` ranks;
 * hashed contexts of the text itself: the bits so far alone, with the word before, with two words before
   (bytes when spelling); they start from order 0 and learn as the text goes.
 
 Weights are chosen by a gate (the kind of bit and how sure the counted contexts are) and follow the
-gradient bit by bit; a table of refined probabilities by mixed probability adapts, too.  What a text
-learns of itself starts anew after every ``SEGMENT`` bits, so that segments are coded side by side.
+gradient bit by bit; a table of refined probabilities by mixed probability adapts, too.  A text learns from
+its first bit to its last; texts of about one length are coded side by side.
 
 Counts cover all training texts and grow with them: word counts by Spark, and from them the dictionary
 of at most ``TOP`` words (all that are frequent enough), which is broadcast; counts of rarer words are joined
@@ -45,17 +44,23 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import ROWS, cut_lineage, fold, table, words_of
 from lodestone.llm.hashing import RUN, hashed_words, mixed
 
+#: Bits of a text that are coded side by side with those of others; the rest of a longer one goes on alone, bit by bit.
+ABREAST = 65_536
 #: Words of the dictionary at most.
 TOP = 2_000_000
-#: Tokens that are coded at a time, bits after which a text's own learning starts anew.
-TOKENS, SEGMENT = 300_000, 2_048
+#: Tokens that are coded at a time (a text counts as ``TEXT`` of them more), bits after which a text's own learning starts
+#: anew: more than any text has.
+TOKENS, TEXT, SEGMENT = 150_000, 150, 1 << 62
 ESCAPE, CLASSES, LEADING = 31, 32, 3
 #: Previous words with contexts of their own, nodes of a code that are counted in context.
 FREQUENT, NODES = 4_096, 256
-#: Where each table of counted contexts starts: previous word, two classes, byte orders 0, 1 and 2.
-WORD, PAIR, BYTE, BYTE_1, BYTE_2, SLOTS = np.cumsum([0, (FREQUENT + CLASSES) * NODES, CLASSES * CLASSES * NODES, 256, 65_536, 65_536]).tolist()
-#: Slots of a segment's own contexts, inputs, gates, buckets of refined probabilities.
-OWN, INPUTS, GATES, BUCKETS = (128, 256, 256), 6, 9, 12
+#: The same for the bits of a rank beyond the leading ones, which are named by the whole rank so far.
+TAIL_FREQUENT, TAIL_NODES = 32, 8_192
+#: Where each table of counted contexts starts: previous word, two classes, byte orders 0, 1 and 2, previous word of later
+#: bits, and the slot that counts nothing.
+WORD, PAIR, BYTE, BYTE_1, BYTE_2, TAIL, EMPTY, SLOTS = np.cumsum([0, (FREQUENT + CLASSES) * NODES, CLASSES * CLASSES * NODES, 256, 65_536, 65_536, (TAIL_FREQUENT + CLASSES) * TAIL_NODES, 1]).tolist()
+#: Slots of a text's own contexts, inputs, gates, buckets of refined probabilities.
+OWN, INPUTS, GATES, BUCKETS = (4_096, 8_192, 8_192), 6, 12, 12
 START = np.array([0.3, 0.45, 0.25, 0.3, 0.3, 0.3], np.float32)
 RATE, REFINE = 0.004, 0.02
 END_KEY = np.int64(xxhash.xxh64_intdigest(b"\n") - 2**63)
@@ -63,6 +68,8 @@ END_KEY = np.int64(xxhash.xxh64_intdigest(b"\n") - 2**63)
 _ZEROS, _ONES = np.divmod(np.arange(256), 16)
 _STRETCH = np.where(_ZEROS + _ONES > 0, np.log((_ONES + 0.3) / (_ZEROS + 0.3)), 0.0).astype(np.float32)
 _NEXT = np.stack([np.minimum(15, _ZEROS + 1) * 16 + np.where(_ONES > 2, (_ONES + 2) // 2, _ONES), np.where(_ZEROS > 2, (_ZEROS + 2) // 2, _ZEROS) * 16 + np.minimum(15, _ONES + 1)], axis=1).astype(np.uint8)
+#: The same for states that are doubled, so that the next bit can be added.
+_STRETCH_2, _NEXT_2 = np.repeat(_STRETCH, 2), _NEXT.ravel().astype(np.uint16) * 2
 _BASES = np.cumsum((0, *OWN[:-1]))
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -162,38 +169,28 @@ def classes_of(ranks: np.ndarray) -> np.ndarray:
 class Bits:
     """Some bits of a run of tokens: token, place there (``at``, an array or one number), bit, order-0 probability p,
     slots of the two counted contexts, names of the three contexts of the text's own predictors, kind (0
-    class, 1 rank, 2 byte)."""
+    class, 1 leading bits of a rank, 2 byte, 3 later bits of a rank)."""
 
     def __init__(self, token, at, bit, p, slots, names, kind: int):
         self.token, self.at, self.bit, self.p, self.slots, self.names, self.kind = token, at, bit, p, slots, names, kind
 
 
 class Tails:
-    """What follows the leading bits of a rank, for the tokens with more: is it the word that this text last had behind
-    these bits (``again``, -1 if it had none), and else log10 of its share of the training counts there."""
+    """The bits of ranks beyond the leading ones: tokens that have some, how many (``left``), and log10 of what is coded there
+    without mixing, which is nothing."""
 
     def __init__(self, words: Dictionary, text: np.ndarray, ranks: np.ndarray, kind: np.ndarray):
         self.token = np.flatnonzero((ranks > 0) & (kind > LEADING))
-        r, of = ranks[self.token], kind[self.token]
-        self.left = of - LEADING
-        v = r >> self.left
-        key = (text[self.token] << 32) + (of << 8) + v
-        order = np.argsort(key, kind="stable")
-        last = np.zeros(len(r), np.int64)
-        same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
-        last[order[same + 1]] = r[order[same]]
-        self.v, self.again = v, np.where(last > 0, last == r, -1)
-        top = len(words.below) - 1
-        mass = words.below[np.minimum((v + 1) << self.left, top)] - words.below[np.minimum(v << self.left, top)]
-        own = words.times[r]
-        self.log10 = np.where(self.again == 1, 0.0, np.log10(own / np.maximum(mass - words.times[last], own)))
+        self.left = kind[self.token] - LEADING
+        self.log10 = np.zeros(len(self.token))
 
 
 def bits_of(words: Dictionary, text: np.ndarray, ranks: np.ndarray, before: np.ndarray, before2: np.ndarray, spelled: dict[int, bytes], byte_p: np.ndarray, tails: Tails | None = None) -> Iterator[Bits]:
-    """All bits of the tokens that are mixed, place after place."""
+    """All bits of the tokens, place after place."""
     kind = classes_of(ranks)
     before_class, before2_class = classes_of(before), classes_of(before2)
     previous = WORD + np.where((before > 0) & (before <= FREQUENT), before - 1, FREQUENT + before_class) * NODES
+    later = TAIL + np.where((before > 0) & (before <= TAIL_FREQUENT), before - 1, TAIL_FREQUENT + before_class) * TAIL_NODES
     pair = PAIR + (before2_class * CLASSES + before_class) * NODES
     near = mixed(before.astype(np.uint64) * _M2 + np.uint64(5))
     far = mixed(near * _M1 + before2.astype(np.uint64))
@@ -206,7 +203,7 @@ def bits_of(words: Dictionary, text: np.ndarray, ranks: np.ndarray, before: np.n
         yield Bits(mine, k, words.bit[kind[mine], k], words.class_p[node], (previous[mine] + node, pair[mine] + node), (name, name ^ near[mine], name ^ far[mine]), 0)
     mine = np.flatnonzero(ranks > 1)
     of, r, top = kind[mine], ranks[mine], len(words.below) - 1
-    for depth in range(LEADING):
+    for depth in range(CLASSES):
         if depth:
             stay = of > depth
             mine, of, r = mine[stay], of[stay], r[stay]
@@ -218,15 +215,13 @@ def bits_of(words: Dictionary, text: np.ndarray, ranks: np.ndarray, before: np.n
         half = 1 << (left - 1)
         f_low, f_mid, f_high = (words.below[np.minimum(x, top)] for x in (low, low + half, low + 2 * half))
         name = mixed(((of << 32) + v + 64).astype(np.uint64) * _M1)
-        index = CLASSES + of * 8 + (v & ((1 << depth) - 1) | (1 << depth))
-        yield Bits(mine, length[mine] + depth, (r >> (left - 1)) & 1, (f_high - f_mid + 1e-3) / (f_high - f_low + 2e-3), (previous[mine] + index, pair[mine] + index), (name, name ^ near[mine], name ^ far[mine]), 1)
-    tails = tails or Tails(words, text, ranks, kind)
-    asked = tails.again >= 0
-    if asked.any():
-        mine, of, v = tails.token[asked], kind[tails.token[asked]], tails.v[asked]
-        name = mixed(((of << 32) + v + (1 << 31)).astype(np.uint64) * _M1)
-        index = CLASSES + of * 8
-        yield Bits(mine, length[mine] + LEADING, tails.again[asked], np.full(len(mine), 0.3), (previous[mine] + index, pair[mine] + index), (name, name ^ near[mine], name ^ far[mine]), 1)
+        if depth < LEADING:
+            index = CLASSES + of * 8 + (v & ((1 << depth) - 1) | (1 << depth))
+            slots = previous[mine] + index, pair[mine] + index
+        else:
+            index = (1 << of) + v
+            slots = np.where(index < TAIL_NODES, later[mine] + index, EMPTY), np.full(len(mine), EMPTY)
+        yield Bits(mine, length[mine] + depth, (r >> (left - 1)) & 1, (f_high - f_mid + 1e-3) / (f_high - f_low + 2e-3), slots, (name, name ^ near[mine], name ^ far[mine]), 1 if depth < LEADING else 3)
     if spelled:
         tokens = np.fromiter(spelled, np.int64, len(spelled))
         lengths = np.fromiter(map(len, spelled.values()), np.int64, len(spelled)) + 1
@@ -242,10 +237,10 @@ def bits_of(words: Dictionary, text: np.ndarray, ranks: np.ndarray, before: np.n
 
 
 def sizes_of(words: Dictionary, ranks: np.ndarray, spelled: dict[int, bytes], tails: Tails) -> np.ndarray:
-    """The number of mixed bits of each token."""
+    """The number of bits of each token."""
     kind = classes_of(ranks)
     out = words.length[kind] + np.where(ranks > 0, np.minimum(kind, LEADING), 0)
-    out[tails.token] += tails.again >= 0
+    out[tails.token] += tails.left
     if spelled:
         out[np.fromiter(spelled, np.int64, len(spelled))] += 8 * (np.fromiter(map(len, spelled.values()), np.int64, len(spelled)) + 1)
     return out
@@ -277,7 +272,7 @@ def runs_of(texts: list[str | None], most: int = TOKENS) -> Iterator[slice]:
     """The texts in runs of about ``most`` tokens at most; a longer text is a run of its own."""
     begin = held = 0
     for i, t in enumerate(texts):
-        size = len(t or "") // 6 + 1
+        size = len(t or "") // 6 + TEXT
         if held and held + size > most:
             yield slice(begin, i)
             begin, held = i, 0
@@ -300,7 +295,7 @@ def context_counts(docs: DataFrame, words: Dictionary) -> np.ndarray:
                     text, _, *coded = tokens_of(words, texts[run], rare)
                     held = []
                     for bits in bits_of(words, text, *coded, half):
-                        held += [(slots * 2 + bits.bit).astype(np.int32) for slots in bits.slots]
+                        held += [(slots * 2 + bits.bit).astype(np.int32) for slots in bits.slots[: 1 if bits.kind == 3 else 2]]
                         if bits.kind == 2:
                             held.append(((BYTE + (bits.slots[0] & 255)) * 2 + bits.bit).astype(np.int32))
                     sums += np.bincount(np.concatenate(held), minlength=2 * SLOTS)
@@ -312,9 +307,29 @@ def context_counts(docs: DataFrame, words: Dictionary) -> np.ndarray:
     rows = docs.select("text").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(2 * SLOTS, np.float32)
     out[rows.column("slot").to_numpy()] = rows.column("n").to_numpy()
+    out[2 * EMPTY :] = 0
     return out.reshape(SLOTS, 2)
 
 
+def alone(x: list, gate: list, own: list, bits: list, states: list, weights: list, refined: list) -> list[float]:
+    """What ``Model.log10`` does in a step, for one text; the lists of what it has learned are changed."""
+    out, stretch, follow, exp = [], _STRETCH_2.tolist(), _NEXT_2.tolist(), math.exp
+    for (x0, x1, x2), g, (a0, a1, a2), bit in zip(x, gate, own, bits):
+        s0, s1, s2 = states[a0], states[a1], states[a2]
+        x3, x4, x5 = stretch[s0], stretch[s1], stretch[s2]
+        states[a0], states[a1], states[a2] = follow[s0 | bit], follow[s1 | bit], follow[s2 | bit]
+        w0, w1, w2, w3, w4, w5 = weights[g]
+        dot = w0 * x0 + w1 * x1 + w2 * x2 + w3 * x3 + w4 * x4 + w5 * x5
+        mix = 1 / (1 + exp(-dot)) if dot > -80 else 0.0
+        bucket = min(max(int(dot / 1.5 + BUCKETS / 2), 0), BUCKETS - 1)
+        again = refined[bucket]
+        out.append(mix + (again - mix) * 0.1)
+        e = (bit - mix) * RATE
+        weights[g] = [w0 + e * x0, w1 + e * x1, w2 + e * x2, w3 + e * x3, w4 + e * x4, w5 + e * x5]
+        refined[bucket] = again + (bit - again) * REFINE
+    return out
+
+
 class Model:
     """What is broadcast: the dictionary and the counted contexts."""
 
@@ -338,58 +353,58 @@ class Model:
         return out, bits.kind * 3 + sure
 
     def log10(self, text: np.ndarray, texts: int, ranks: np.ndarray, before: np.ndarray, before2: np.ndarray, spelled: dict[int, bytes]) -> np.ndarray:
-        """log10 probability of the bits of each text; segments are coded side by side."""
+        """log10 probability of the bits of each text; texts are coded side by side, longer ones first."""
         tails = Tails(self.words, text, ranks, classes_of(ranks))
         sizes = sizes_of(self.words, ranks, spelled, tails)
-        per_text = np.bincount(text, sizes, minlength=texts).astype(np.int64)
-        start = np.cumsum(sizes) - sizes - (np.cumsum(per_text) - per_text)[text]  # of a token in its text
-        segments = -(-per_text // SEGMENT)
-        first = np.cumsum(segments) - segments
-        lengths = np.full(int(segments.sum()), SEGMENT)
-        lengths[first + segments - 1] = per_text - (segments - 1) * SEGMENT
+        lengths = np.bincount(text, sizes, minlength=texts).astype(np.int64)
+        start = np.cumsum(sizes) - sizes - (np.cumsum(lengths) - lengths)[text]  # of a token in its text
         order = np.argsort(-lengths, kind="stable")
-        lane = np.empty(len(order), np.int64)
-        lane[order] = np.arange(len(order))
-        alive = np.searchsorted(-lengths[order], -np.arange(int(lengths.max(initial=0))), side="left")  # segments longer than t
+        lane = np.empty(texts, np.int64)
+        lane[order] = np.arange(texts)
+        alive = np.searchsorted(-lengths[order], -np.arange(int(lengths.max(initial=0))), side="left")  # texts longer than t
         begins = np.concatenate([[0], np.cumsum(alive)])
         total = int(begins[-1])
         x, bit_gate, own = np.empty((total, 3), np.float32), np.empty(total, np.int32), np.empty((total, 3), np.int32)
         width = sum(OWN)
         for bits in bits_of(self.words, text, ranks, before, before2, spelled, self.byte_p, tails):
-            place = start[bits.token] + bits.at
-            mine = lane[first[text[bits.token]] + place // SEGMENT]
-            to = begins[place % SEGMENT] + mine  # bits in the order of steps
+            mine = lane[text[bits.token]]
+            to = begins[start[bits.token] + bits.at] + mine  # bits in the order of steps
             inputs, gates = self.inputs(bits)
-            x[to] = np.stack(inputs, axis=1)
+            for i, column in enumerate(inputs):
+                x[to, i] = column
             bit_gate[to] = (mine * GATES + gates) * 2 + bits.bit
-            own[to] = np.stack([(name & np.uint64(size - 1)).astype(np.int32) for name, size in zip(bits.names, OWN)], axis=1) + (mine * width)[:, None] + _BASES
-        states = np.zeros(len(order) * width, np.uint8)
-        weights = np.tile(START, (len(order) * GATES, 1))
-        refined = np.tile((1 / (1 + np.exp(-(np.arange(BUCKETS) - BUCKETS / 2 + 0.5) * 1.5))).astype(np.float32), len(order))
-        out, bit, half = np.empty(total, np.float32), (bit_gate & 1).astype(bool), np.float32(BUCKETS / 2)
-        rows, ones, gate = np.arange(len(order)) * BUCKETS, bit.view(np.uint8), bit_gate >> 1
-        target, xs_all = bit.astype(np.float32), np.empty((len(order), INPUTS), np.float32)
-        for low, high in zip(begins.tolist(), begins[1:].tolist()):
-            g, a, b, xs = gate[low:high], own[low:high], target[low:high], xs_all[: high - low]
-            state = states[a]
-            xs[:, :3], xs[:, 3:] = x[low:high], _STRETCH[state]
-            states[a] = _NEXT[state, ones[low:high, None]]
-            w = weights[g]
+            for i, (name, size) in enumerate(zip(bits.names, OWN)):
+                own[to, i] = (name & np.uint64(size - 1)).astype(np.int32) + (mine * width + _BASES[i])
+        states = np.zeros(texts * width, np.uint16)  # doubled
+        weights = np.tile(START, (texts * GATES, 1))
+        refined = np.tile((1 / (1 + np.exp(-(np.arange(BUCKETS) - BUCKETS / 2 + 0.5) * 1.5))).astype(np.float32), texts)
+        out, half = np.empty(total, np.float32), np.float32(BUCKETS / 2)
+        rows, ones, gate = np.arange(texts) * BUCKETS, (bit_gate & 1).astype(np.uint16), bit_gate >> 1
+        target, xs_all = ones.astype(np.float32), np.empty((texts, INPUTS), np.float32)
+        for low, high in zip(begins[:ABREAST].tolist(), begins[1 : ABREAST + 1].tolist()):
+            g, a, b, xs = gate[low:high], own[low:high].astype(np.intp), target[low:high], xs_all[: high - low]
+            state = states.take(a)
+            xs[:, :3], xs[:, 3:] = x[low:high], _STRETCH_2.take(state)
+            state |= ones[low:high, None]
+            states[a] = _NEXT_2.take(state)
+            w = weights.take(g, axis=0)
             dot = np.einsum("ij,ij->i", w, xs)
             mix = 1 / (1 + np.exp(-dot))
             bucket = (dot * np.float32(1 / 1.5) + half).astype(np.int32)
             bucket = rows[: high - low] + np.minimum(np.maximum(bucket, 0), BUCKETS - 1)
-            again = refined[bucket]
+            again = refined.take(bucket)
             out[low:high] = mix + (again - mix) * np.float32(0.1)
             w += ((b - mix) * np.float32(RATE))[:, None] * xs
             weights[g] = w
             refined[bucket] = again + (b - again) * np.float32(REFINE)
-        found = np.log10(np.clip(np.where(bit, out, 1 - out), 1e-6, 1).astype(np.float64))
+        for i in range(int(alive[ABREAST]) if len(alive) > ABREAST else 0):
+            rest = begins[ABREAST : lengths[order[i]]] + i
+            seen, own_weights, own_refined = (y[i * n : (i + 1) * n].tolist() for y, n in ((states, width), (weights, GATES), (refined, BUCKETS)))
+            out[rest] = alone(x[rest].tolist(), (gate[rest] - i * GATES).tolist(), (own[rest] - i * width).tolist(), ones[rest].tolist(), seen, own_weights, own_refined)
+        found = np.log10(np.clip(np.where(ones > 0, out, 1 - out), 1e-6, 1).astype(np.float64))
         # back from the order of steps: a lane's bits are those at its place of each step
         lanes = np.arange(total) - np.repeat(begins[:-1], np.diff(begins))
-        of_lane = np.bincount(lanes, found, minlength=len(order))
-        shares = np.bincount(text[tails.token], tails.log10, minlength=texts)
-        return np.bincount(np.repeat(np.arange(texts), segments), of_lane[lane], minlength=texts) + shares
+        return np.bincount(lanes, found, minlength=texts)[lane]
 
 
 def fit(docs: DataFrame, top: int = TOP) -> tuple[Model, DataFrame | None]:
@@ -438,9 +453,11 @@ def scored(docs: DataFrame, model: Model, outside: DataFrame | None) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
+            order = np.argsort([-len(t or "") for t in texts], kind="stable")  # as many steps as the longest has bits
+            texts = [texts[i] for i in order.tolist()]
             for part in runs_of(texts):
                 rows = list(zip(*texts_of(texts[part])))
-                ids = batch.column(0).slice(part.start, part.stop - part.start)
+                ids = batch.column(0).take(pa.array(order[part]))
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array(x, t) for x, t in zip(rows, kinds))], names=names)
 
     rows = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double, bits_per_byte double, rare array<long>")
