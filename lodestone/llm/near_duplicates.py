@@ -10,41 +10,33 @@ last level are dealt into blocks, and the documents with the highest average sim
 (estimated from the minwise tokens) join every block of it.
 
 A node that doesn't shrink (a template with many copies) may part similar documents there.  So that no link is
-missed, an exact check follows: the documents are joined by several rare shingles and length filters on their full
-sets, but only pairs that the trees have not yet put together are made.  Every link is confirmed on the
-full sets.  Links within a group are only sought until the group hangs together, as components are what
-counts.
+missed, an exact check follows, that of ``ngram_join``: each set has a home by a rare shingle, and visits the homes of
+sets of other components with which it shares enough of its rare shingles.  No pairs are made on the way, so a passage that
+many documents share costs their number.  Every link is confirmed on the full sets.  Links within a group are only sought
+until the group hangs together, as components are what counts.
 
 Null, empty and wordless texts have an empty set and are linked with nothing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import ROWS, cut_lineage, map_batches, table
+from lodestone.llm.common import cut_lineage, map_batches, table
 from lodestone.llm.components import components
 from lodestone.llm.hashing import mixed, shingle_sets
-from lodestone.llm.ngram_join import Similarity
+from lodestone.llm.ngram_join import Similarity, Texts, class_key, each_token, homes_of, named_shingles, pruned, visitors_links, visits_of
 
 TREES, LEVELS, SMALL = 2, 3, 200
 #: Minwise tokens of a set, and how many of them a node samples.
 COORDINATES, BRANCHES = 24, 3
 #: Documents per oversize node that join all of its blocks.
 PIVOTS = 8
-#: Group members that are broadcast to the texts.
-MAX_BROADCAST = 2_000_000
-#: Rounds in which sets without partners are left out.
-PRUNES = 2
-#: Slots of the table that orders shingles by how common they are; it decides speed, not results.
-COMMON = 1 << 20
 
 
 def minwise(shingles: np.ndarray, seeds: np.ndarray) -> np.ndarray:
@@ -56,19 +48,20 @@ def minwise(shingles: np.ndarray, seeds: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (equal for equal sets, null for empty ones), minwise array<int>."""
+    """doc_id, mark (a hash of the text), n_shingles, set_key (equal for equal sets, null for empty ones), minwise array<int>."""
     seeds = np.random.default_rng(7).integers(0, 2**63, COORDINATES, dtype=np.uint64)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sizes, keys, least = [], [], []
-        for s in shingle_sets(batch.column(1).to_pylist(), k):
+        for s in shingle_sets(batch.column(2).to_pylist(), k):
             sizes.append(len(s))
-            keys.append(xxhash.xxh128_digest(s.tobytes()) if len(s) else None)
+            keys.append(class_key(s) if len(s) else None)
             least.append(minwise(s, seeds) if len(s) else None)
-        columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(least, pa.list_(pa.int32()))]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_key", "minwise"])
+        columns = [*batch.columns[:2], pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(least, pa.list_(pa.int32()))]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "n_shingles", "set_key", "minwise"])
 
-    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, set_key binary, minwise array<int>")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
+    return map_batches(rows, run, "doc_id long, mark long, n_shingles long, set_key long, minwise array<int>")
 
 
 def _blocks(node_rows: DataFrame, counts: DataFrame, small: int) -> DataFrame:
@@ -102,7 +95,8 @@ def small_groups(reps: DataFrame, trees: int = TREES, levels: int = LEVELS, smal
         leaves = leaves.unionByName(at.join(counts.filter(F.col("n") <= small), ["tree", "node"]).select("tree", "node", "rep"))
         large = counts.filter(F.col("n") > small)
         if level + 1 < levels:
-            at = cut_lineage(at.join(large.drop("n"), ["tree", "node"]).select(*at.columns))
+            # only what stays in large nodes is joined with its minwise tokens again
+            at = cut_lineage(at.select("rep", "tree", "node").join(large.drop("n"), ["tree", "node"]).join(reps, "rep").select(*at.columns))
             if at.isEmpty():
                 break
         else:
@@ -111,29 +105,61 @@ def small_groups(reps: DataFrame, trees: int = TREES, levels: int = LEVELS, smal
     return groups.select("members").distinct().select(F.xxhash64("members").alias("gid"), F.explode("members").alias("rep"))
 
 
+def by_group(rows: DataFrame, fn: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``fn`` on many whole groups (gid) at a time, their rows by gid and rep; most groups are too small to be passed alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            got = pa.Table.from_batches([batch])
+            got = got if held is None else pa.concat_tables([held, got])
+            gid = got.column("gid").to_numpy()
+            cut = int(np.searchsorted(gid, gid[-1])) if len(gid) else 0
+            if cut:
+                yield from fn(got.slice(0, cut))
+            held = got.slice(cut)
+        if held is not None and held.num_rows:
+            yield from fn(held)
+
+    return rows.repartition("gid").sortWithinPartitions("gid", "rep").mapInArrow(run, schema)
+
+
+def _edges(gid: np.ndarray) -> list[tuple[int, int]]:
+    starts = np.flatnonzero(np.append(True, gid[1:] != gid[:-1]))
+    return list(zip(starts.tolist(), [*starts[1:].tolist(), len(gid)]))
+
+
 def likely_members(groups: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
     """The rows of ``groups`` without members that are like no other one.
 
     Of two sets at the similarity, each minwise value agrees with that probability; members stay whose
     best partner in the group agrees in at least the mean less 6 standard deviations of the values (of 24 values at 0.85, ten: 1e-7 are lost).
     """
+    least = COORDINATES * similarity - 6 * np.sqrt(COORDINATES * similarity * (1 - similarity))
 
-    def sift(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.stack(pdf["minwise"].to_numpy())
-        least = v.shape[1] * similarity - 6 * np.sqrt(v.shape[1] * similarity * (1 - similarity))
+    def sift(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        gid = t.column("gid").to_numpy()
+        v = np.concatenate([c.flatten().to_numpy() for c in t.column("minwise").chunks]).reshape(len(gid), -1)
         keep = np.zeros(len(v), bool)
-        for i in range(len(v) - 1):
-            like = (v[i + 1 :] == v[i]).sum(axis=1) >= least
-            keep[i] |= like.any()
-            keep[i + 1 :] |= like
-        return pdf.loc[keep, ["gid", "rep"]]
+        for a, b in _edges(gid):
+            if b - a == 2:
+                keep[a:b] = (v[a] == v[a + 1]).sum() >= least
+                continue
+            for i in range(a, b - 1):
+                like = (v[i + 1 : b] == v[i]).sum(axis=1) >= least
+                keep[i] |= like.any()
+                keep[i + 1 : b] |= like
+        yield from t.select(["gid", "rep"]).filter(pa.array(keep)).to_batches()
 
-    return groups.join(reps, "rep").groupBy("gid").applyInPandas(sift, "gid long, rep long")
+    return by_group(groups.join(reps, "rep").select("gid", "rep", "minwise"), sift, "gid long, rep long")
 
 
-def _spanning_links(ids: np.ndarray, sets: list[np.ndarray], numerator: int, denominator: int) -> list[tuple[int, int]]:
+def _spanning_links(ids: np.ndarray, sets: list[np.ndarray], like: Similarity) -> list[tuple[int, int]]:
     """Links that hold the group's components together; every pair not yet joined is compared."""
     sizes = np.array([len(s) for s in sets])
+    if len(sets) == 2:
+        common = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+        return [(int(ids[0]), int(ids[1]))] if like.linked(common, *sizes.tolist()) else []
     _, codes = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.concatenate([[0], np.cumsum(sizes)])
     own = [codes[starts[i] : starts[i + 1]] for i in range(len(sets))]
@@ -142,122 +168,57 @@ def _spanning_links(ids: np.ndarray, sets: list[np.ndarray], numerator: int, den
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
             i = queue.pop()
-            fits = np.minimum(sizes[rest], sizes[i]) * denominator >= np.maximum(sizes[rest], sizes[i]) * numerator
-            near = rest[fits]
+            near = rest[np.minimum(sizes[rest], sizes[i]) * like.q >= np.maximum(sizes[rest], sizes[i]) * like.p]
             if not len(near):
                 continue
             mark[own[i]] = 1
             both = np.add.reduceat(mark[np.concatenate([own[j] for j in near])], np.concatenate([[0], np.cumsum(sizes[near])[:-1]]))
             mark[own[i]] = 0
-            found = near[both * denominator >= (sizes[i] + sizes[near] - both) * numerator]
+            found = near[like.linked(both, sizes[i], sizes[near])]
             links += [(int(ids[i]), int(ids[j])) for j in found]
             queue += found.tolist()
             rest = np.setdiff1d(rest, found, assume_unique=True)
     return links
 
 
-def confirmed_links(docs: DataFrame, groups: DataFrame, k: int, numerator: int, denominator: int, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """a, b: links of each group, confirmed on the full sets of the documents in groups.
-
-    Up to ``max_broadcast`` members are broadcast to the texts; more are joined by id.
-    """
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [s.tobytes() for s in shingle_sets(batch.column(2).to_pylist(), k)]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], names=["gid", "rep", "shingles"])
+def confirmed_links(texts: Texts, groups: DataFrame, like: Similarity) -> DataFrame:
+    """a, b: links of each group, confirmed on the full sets of its members."""
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("rep").sort_values("rep")
-        links = _spanning_links(pdf["rep"].to_numpy(), [np.frombuffer(b, np.uint64) for b in pdf["shingles"]], numerator, denominator)
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+    def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        rep, column, links = t.column("rep").to_numpy(), t.column("shingles").to_pylist(), []
+        for a, b in _edges(t.column("gid").to_numpy()):
+            mine = [i for i in range(a, b) if i == a or rep[i] != rep[i - 1]]  # rows that are repeated whole count once
+            if len(mine) > 1:
+                links += _spanning_links(rep[mine], [np.frombuffer(column[i], np.uint64) for i in mine], like)
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["a", "b"])
 
-    wanted = F.broadcast(groups) if groups.count() <= max_broadcast else groups
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep").select("gid", "rep", "text")
-    return map_batches(texts, run, "gid long, rep long, shingles binary").groupBy("gid").applyInPandas(compare, "a long, b long")
-
-
-def _common(docs: DataFrame, k: int) -> np.ndarray:
-    """How many sets hold a shingle, by its low bits."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(COMMON, np.int64)
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                sets = list(shingle_sets(batch.column(1).slice(at, ROWS).to_pylist(), k))
-                sums += np.bincount((np.concatenate(sets) & np.uint64(COMMON - 1)).astype(np.int64), minlength=COMMON)
-        slots = np.flatnonzero(sums)
-        for at in range(0, len(slots), 1 << 16):
-            part = slots[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(sums[part])], names=["slot", "n"])
-
-    rows = docs.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(COMMON, np.int64)
-    out[rows.column("slot").to_numpy()] = rows.column("n").to_numpy()
-    return out
-
-
-def exact_pairs(docs: DataFrame, labelled: DataFrame, k: int, numerator: int, denominator: int) -> DataFrame:
-    """gid, rep: pairs of documents of different labels, among them all at the similarity.
-
-    labelled: rep, label.  Each set names its rarest shingles, so many that two sets at the similarity share several
-    of them.  Shingles that sets of one label alone name go first, then sets that keep too few to have a partner.  Pairs of
-    a shingle's most frequent label are never made, so a large group that already hangs together costs its size, not the
-    square; a pair must share as many named shingles as its smaller set demands.
-    """
-    like = Similarity(numerator, denominator)
-    texts = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text")
-    shared = docs.sparkSession.sparkContext.broadcast(_common(texts, k))
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, sizes, tokens = [], [], []
-        for rep, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist(), k)):
-            if like.linked(len(s), len(s), len(s) + 1):  # else only an equal set is like it
-                order = np.lexsort((s, shared.value[(s & np.uint64(COMMON - 1)).astype(np.int64)]))
-                tokens.append(s[order[: like.named(len(s))]].view(np.int64))
-                ids.append(rep)
-                sizes.append(len(s))
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], names=["rep", "n", "tokens"])
-
-    rows = cut_lineage(map_batches(texts, run, "rep long, n long, tokens array<long>").join(labelled, "rep"))
-    for _ in range(PRUNES):
-        each = rows.select("rep", "label", "n", F.explode("tokens").alias("token"))
-        several = each.groupBy("token").agg(F.min("label").alias("one"), F.max("label").alias("other")).filter("one <> other").select("token")
-        kept = each.join(several, "token").groupBy("rep", "label", "n").agg(F.collect_set("token").alias("tokens"))
-        rows = cut_lineage(kept.filter(F.size("tokens") >= like.needed(F.col("n"))))
-    each = rows.select("rep", "label", "n", F.explode("tokens").alias("token"))
-    main = each.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
-    each = cut_lineage(each.join(main, "token"))
-    other = F.col("label") != F.col("main")
-
-    def pairs(small: DataFrame, large: DataFrame) -> DataFrame:
-        x, y = small.alias("x"), large.alias("y")
-        n, m = F.col("x.n"), F.col("y.n")
-        on = (F.col("x.token") == F.col("y.token")) & (F.col("x.label") != F.col("y.label")) & ((n < m) | ((n == m) & (F.col("x.rep") < F.col("y.rep"))))
-        return x.join(y, on & (n * denominator >= m * numerator)).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), n.alias("n"))
-
-    met = pairs(each.filter(other), each).unionByName(pairs(each.filter(~other), each.filter(other)))
-    found = met.groupBy("a", "b", "n").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= 1 + F.floor(F.col("n") * 6 / 100))
-    return found.select(F.xxhash64("a", "b").alias("gid"), F.explode(F.array("a", "b")).alias("rep"))
+    return by_group(texts.sets(groups), compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, numerator: int = 80, denominator: int = 100, trees: int = TREES, levels: int = LEVELS, small: int = SMALL) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document.
 
     Documents whose sets have ``denominator * common >= numerator * all`` are linked; component_id is the
-    smallest doc_id reachable.  Repeated rows of an id fall into one class if their texts agree.
+    smallest doc_id reachable.  Equal sets are one class; rows of one id with other texts each keep their own.
     """
+    like = Similarity(numerator, denominator)
     signed = cut_lineage(signatures(docs, k))
-    classes = cut_lineage(signed.filter(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.any_value("minwise").alias("minwise")))
-    reps = classes.select("rep", "minwise")
+    first = F.min(F.struct("doc_id", "mark")).alias("first")
+    some = signed.filter("set_key is not null and doc_id is not null")
+    classes = cut_lineage(some.groupBy(F.col("set_key").alias("rep")).agg(first, F.any_value("minwise").alias("minwise")).select("rep", "first.doc_id", "first.mark", "minwise"))
+    texts, reps = Texts(docs, classes.drop("minwise"), k), classes.select("rep", "minwise")
     groups = cut_lineage(likely_members(small_groups(reps, trees, levels, small), reps, numerator / denominator))
-    links = cut_lineage(confirmed_links(docs, groups, k, numerator, denominator))
-    labels = components(links)
-    labelled = reps.join(labels, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("label"))
-    pairs = cut_lineage(exact_pairs(docs, labelled, k, numerator, denominator))
-    more = cut_lineage(confirmed_links(docs, pairs, k, numerator, denominator))
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
-    named = cut_lineage(classes.select("set_key", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "rep").alias("component_id")))
+    links = cut_lineage(confirmed_links(texts, groups, like))
+
+    # named shingles are made twice, which is cheaper than the disk that they would take
+    kept = each_token(pruned(named_shingles(docs, k, like), like), "need")
+    homes = homes_of(kept).drop("split").join(components(links), F.col("rep") == F.col("node"), "left")
+    placed = cut_lineage(homes.select("rep", "block", F.coalesce("component", "rep").alias("label")))
+    visits = cut_lineage(visits_of(kept, placed, like, searched=False))
+    links = links.unionByName(cut_lineage(visitors_links(texts, placed, visits, like)))
+
+    own = classes.select("rep", "doc_id").join(components(links), F.col("rep") == F.col("node"), "left").select("rep", "doc_id", F.coalesce("component", "rep").alias("label"))
+    named = cut_lineage(own.join(own.groupBy("label").agg(F.min("doc_id").alias("component_id")), "label").select(F.col("rep").alias("set_key"), "component_id"))
     out = signed.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))

@@ -211,7 +211,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
 
 
 def how_common(docs: DataFrame, k: int) -> np.ndarray:
-    """How many texts hold a shingle, by its low bits; each task sends one table of fixed size."""
+    """How many texts hold a shingle, by its low bits; each task sends one table of fixed size, so there are as many as cores."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(COMMON, np.int64)
@@ -224,7 +224,8 @@ def how_common(docs: DataFrame, k: int) -> np.ndarray:
             part = slots[at : at + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(sums[part])], names=["slot", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    rows = docs.select("text").coalesce(cores).mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(COMMON, np.int64)
     out[rows.column("slot").to_numpy()] = rows.column("n").to_numpy()
     return out
@@ -324,8 +325,9 @@ def block_links(texts: Texts, homes: DataFrame, like: Similarity) -> DataFrame:
     return texts.sets(homes.select("rep", "block")).groupBy("block").applyInArrow(search, "a long, b long")
 
 
-def visits_of(kept: DataFrame, placed: DataFrame, like: Similarity) -> DataFrame:
-    """rep, label, block: the blocks that a set must visit.  placed: rep, block, label."""
+def visits_of(kept: DataFrame, placed: DataFrame, like: Similarity, searched: bool = True) -> DataFrame:
+    """rep, label, block: the blocks that a set must visit.  placed: rep, block, label.  Sets visit their own block, too,
+    if blocks were not ``searched`` each for itself."""
     rows = kept.join(placed, "rep")
     labels = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count(F.lit(1)).alias("labels"))
     rows = cut_lineage(rows.join(labels.filter("labels > 1").drop("labels"), "token"))
@@ -333,7 +335,8 @@ def visits_of(kept: DataFrame, placed: DataFrame, like: Similarity) -> DataFrame
     asks = rows.filter("label <> main").select("token", "rep", "n", "label", "block", "need")
     near = (F.col("n") * like.q >= F.col("low") * like.p) & (F.col("n") * like.p <= F.col("high") * like.q)
     else_ = (F.col("one") != F.col("other")) | (F.col("one") != F.col("label"))
-    met = asks.join(there, "token").filter((F.col("block") != F.col("to")) & near & else_)
+    met = asks.join(there, "token").filter(near & else_)
+    met = met.filter(F.col("block") != F.col("to")) if searched else met
     # of the shingles that two sets share, at least one of them asks for half
     enough = met.groupBy("rep", "label", F.col("to").alias("block")).agg(F.count(F.lit(1)).alias("c"), F.first("need").alias("need")).filter("2 * c >= need")
     return enough.select("rep", "label", "block")
