@@ -42,13 +42,13 @@ WIDE = 96
 
 
 def rarity_levels(docs: DataFrame, buckets: int = BUCKETS) -> Column:
-    """The level of each bucket in the top eight bits, as one constant array: its size is fixed."""
+    """The level of each bucket less 128, as one constant array: its size is fixed, and small numbers keep plans short."""
     hashes = F.transform(word_array(F.col("text"), F.lower, False), lambda w: F.xxhash64(w).bitwiseAND(buckets - 1).cast("int"))
     counts = docs.select(F.explode(hashes).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     levels = ["0"] * buckets
     found = counts.select("bucket", F.least(F.lit(255), F.round(8 * F.log2(F.col("n") + 1))).cast("int").alias("level")).toArrow()
     for bucket, level in zip(found.column("bucket").to_pylist(), found.column("level").to_pylist()):
-        levels[bucket] = str((level - 128) << 56)
+        levels[bucket] = str(level - 128)
     return F.split(F.lit(",".join(levels)), ",").cast("array<bigint>")
 
 
@@ -87,7 +87,7 @@ def word_sets(lines: DataFrame, repeated: DataFrame, levels: Column, buckets: in
     firsts = firsts.filter(~F.col("many") | ((F.col("doc_id") == F.col("first_doc")) & (F.col("line_no") == F.col("first_line"))))
     words = firsts.select(*SPOT, "many", word_array(F.col("line"), F.lower).alias("words"))
     hashed = words.select(*SPOT, "many", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
-    level = lambda h: F.get(levels, h.bitwiseAND(buckets - 1).cast("int"))
+    level = lambda h: F.shiftleft(F.get(levels, h.bitwiseAND(buckets - 1).cast("int")), 56)
     order = F.sort_array(F.transform(F.array_distinct("hashes"), lambda h: level(h).bitwiseOR(F.shiftrightunsigned(h, 8))))
     size = F.size("hashes")
     starts = (F.lit(1), F.lit(RUN + 1), F.greatest(F.lit(1), size - RUN + 1))
