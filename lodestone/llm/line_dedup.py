@@ -7,9 +7,10 @@ similarity of 4/5 or more; of equal lines the first stays.  Lines without words
 2. Words are ordered by rarity: counts of all words of the corpus, in a fixed number of hash buckets, give
    each word a level; words of a level are ordered by hash.  Any common order makes the join exact, rarity
    makes it fast.
-3. Near copies first meet the earliest line of their group: lines that share a run of words at the start
-   or the end are grouped, and each is verified against the group's earliest line.  What that
-   settles need only be held against still earlier lines, so a group of near copies costs its size.
+3. Near copies first meet early lines of their group: lines that share a run of words at the start or the
+   end are grouped and held against the group's ``LEADERS`` earliest lines by length and sketch; the earliest
+   that passes and the closest one are verified.  What that settles need only be held against still earlier
+   lines, so a group of near copies costs its size.
 4. Two sets can only be similar if they share a word of their prefixes (the first n - ceil(4n/5) + 1
    words), so prefixes are joined by word.  In the join a pair must also pass the length filter, the
    positional filter (what can still be common after the shared word), a parity sketch (the bits in
@@ -23,10 +24,10 @@ early and never remove each other.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut_lineage, table, word_array
+from lodestone.llm.common import cut_lineage, table
 
 #: Hash buckets of the word counts, a power of two; a level is 8 * log2 of a bucket's count, below 256.
 BUCKETS = 1 << 17
@@ -34,6 +35,9 @@ BUCKETS = 1 << 17
 MAX_BROADCAST = 2_000_000
 #: Words of a run at the start or the end of a line by which near copies meet their earliest line.
 RUN = 4
+BLANKS = r"[\x20\x09-\x0D]+"
+#: Earliest lines of a run that all others of the run are held against.
+LEADERS = 16
 SPOT = ("doc_id", "line_no", "key", "key2")
 PLACE = ("doc_id", "line_no")
 TEXT = ("key", "key2")
@@ -43,8 +47,8 @@ WIDE = 96
 
 def rarity_levels(docs: DataFrame, buckets: int = BUCKETS) -> Column:
     """The level of each bucket less 128, as one constant array: its size is fixed, and small numbers keep plans short."""
-    hashes = F.transform(word_array(F.col("text"), F.lower, False), lambda w: F.xxhash64(w).bitwiseAND(buckets - 1).cast("int"))
-    counts = docs.select(F.explode(hashes).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    words = docs.select(F.explode(F.split(F.lower("text"), BLANKS)).alias("word"))
+    counts = words.groupBy(F.xxhash64("word").bitwiseAND(buckets - 1).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     levels = ["0"] * buckets
     found = counts.select("bucket", F.least(F.lit(255), F.round(8 * F.log2(F.col("n") + 1))).cast("int").alias("level")).toArrow()
     for bucket, level in zip(found.column("bucket").to_pylist(), found.column("level").to_pylist()):
@@ -52,6 +56,11 @@ def rarity_levels(docs: DataFrame, buckets: int = BUCKETS) -> Column:
     return F.split(F.lit(",".join(levels)), ",").cast("array<bigint>")
 
 
+def word_hashes(line: str) -> Column:
+    """64-bit hashes of the words of a line, in order; what a split leaves empty at either end is taken out as a number."""
+    return F.array_remove(F.transform(F.split(F.lower(line), BLANKS), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
+
+
 def text_keys() -> tuple[Column, Column]:
     """key, key2: two hashes of a line, by which lines are equal."""
     return F.xxhash64("line").alias("key"), F.xxhash64(F.lit(7), "line", F.length("line")).alias("key2")
@@ -85,9 +94,9 @@ def word_sets(lines: DataFrame, repeated: DataFrame, levels: Column, buckets: in
     """
     firsts = lines.join(_sized(repeated), list(TEXT), "left").withColumn("many", F.col("first_doc").isNotNull())
     firsts = firsts.filter(~F.col("many") | ((F.col("doc_id") == F.col("first_doc")) & (F.col("line_no") == F.col("first_line"))))
-    words = firsts.select(*SPOT, "many", word_array(F.col("line"), F.lower).alias("words"))
-    hashed = words.select(*SPOT, "many", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
-    level = lambda h: F.shiftleft(F.get(levels, h.bitwiseAND(buckets - 1).cast("int")), 56)
+    hashed = firsts.select(*SPOT, "many", word_hashes("line").alias("hashes"))
+    # without nulls, Spark sorts plain numbers
+    level = lambda h: F.shiftleft(F.coalesce(F.get(levels, h.bitwiseAND(buckets - 1).cast("int")), F.lit(0)), 56)
     order = F.sort_array(F.transform(F.array_distinct("hashes"), lambda h: level(h).bitwiseOR(F.shiftrightunsigned(h, 8))))
     size = F.size("hashes")
     starts = (F.lit(1), F.lit(RUN + 1), F.greatest(F.lit(1), size - RUN + 1))
@@ -110,12 +119,15 @@ def _earlier(x: str, y: str) -> Column:
     return (F.col(f"{x}doc_id") < F.col(f"{y}doc_id")) | ((F.col(f"{x}doc_id") == F.col(f"{y}doc_id")) & (F.col(f"{x}line_no") < F.col(f"{y}line_no")))
 
 
-def _alike(x: str, y: str) -> Column:
-    """The length filter and the sketch; x and y are prefixes of column names."""
-    both = F.col(f"{x}n") + F.col(f"{y}n")
+def _apart(x: str, y: str) -> Column:
+    """In how many words two sets differ at least, by their sketches; x and y are prefixes of column names."""
     of_all, of_some = (F.col(f"{x}{c}").bitwiseXOR(F.col(f"{y}{c}")) for c in ("low", "high"))
-    apart = F.coalesce(F.bit_count(of_some) + F.bit_count(of_all.bitwiseXOR(of_some)), F.bit_count(of_all))
-    return (5 * F.least(f"{x}n", f"{y}n") >= 4 * F.greatest(f"{x}n", f"{y}n")) & (9 * apart <= both)
+    return F.coalesce(F.bit_count(of_some) + F.bit_count(of_all.bitwiseXOR(of_some)), F.bit_count(of_all))
+
+
+def _alike(x: str, y: str) -> Column:
+    """The length filter and the sketch."""
+    return (5 * F.least(f"{x}n", f"{y}n") >= 4 * F.greatest(f"{x}n", f"{y}n")) & (9 * _apart(x, y) <= F.col(f"{x}n") + F.col(f"{y}n"))
 
 
 def _sized(rows: DataFrame, most: int = MAX_BROADCAST) -> DataFrame:
@@ -127,26 +139,29 @@ def _named(side: str, columns: tuple[str, ...] = SPOT, of: str = "") -> list[Col
     return [F.col(f"{of}{c}").alias(f"{side}_{c}") for c in columns]
 
 
-def leader_pairs(sets: DataFrame, hops: int = 2) -> DataFrame:
-    """(a, b): each line with the earliest line of one of its runs that passes the filters, if that is earlier.
+def leader_pairs(sets: DataFrame, hops: int = 2, most: int = LEADERS) -> DataFrame:
+    """(a, b): each line with two of the ``most`` earliest lines of its runs: of those that are earlier and pass the
+    filters, the earliest one and the one that the sketches say is closest.
 
-    Where that line has such a leader itself and the two pass the filters, too, the leader's leader is taken.
+    Where the earliest one has such a leader itself and the two pass the filters, too, the leader's leader is taken.
     """
     own = ("n", "low", "high")
-    runs = sets.select(*SPOT, *own, F.explode("runs").alias("run"))
-    shared = cut_lineage(runs.groupBy("run").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("run"))
-    grouped = cut_lineage(runs.join(_sized(shared), "run").withColumn("place", _place()))
-    least = grouped.groupBy("run").agg(F.min("place").alias("least"))
-    grouped = grouped.join(F.broadcast(least) if shared.count() <= MAX_BROADCAST else least, "run")
-    leaders = grouped.filter(F.col("place") == F.col("least")).select("run", *(F.col(c).alias(f"a_{c}") for c in (*SPOT, *own)))
-    met = grouped.join(leaders, "run").filter(_earlier("a_", "") & _alike("a_", "")).withColumnsRenamed({c: f"b_{c}" for c in (*SPOT, *own)})
     of = lambda s: [f"{s}_{c}" for c in (*SPOT, *own)]
-    now = cut_lineage(met.groupBy(*of("b")).agg(F.min(F.struct(*of("a"))).alias("a")).select("a.*", *of("b")))
+    runs = sets.select(*SPOT, *own, F.explode("runs").alias("run"))
+    shared = cut_lineage(runs.groupBy("run").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"))
+    grouped = cut_lineage(runs.join(_sized(shared), "run").withColumnsRenamed({c: f"b_{c}" for c in (*SPOT, *own)}))
+    rank = F.row_number().over(Window.partitionBy("run").orderBy(*(f"b_{c}" for c in PLACE)))
+    leaders = cut_lineage(grouped.withColumn("rank", rank).filter((F.col("rank") <= most) & (F.col("rank") < F.col("members"))).select(F.col("run").alias("a_run"), *(F.col(y).alias(x) for x, y in zip(of("a"), of("b")))))
+    met = grouped.join(_sized(leaders), (F.col("run") == F.col("a_run")) & _earlier("a_", "b_") & _alike("a_", "b_"))
+    share = (_apart("a_", "b_") / (F.col("a_n") + F.col("b_n"))).alias("share")
+    led = cut_lineage(met.groupBy(*of("b")).agg(F.min(F.struct(*of("a"))).alias("a"), F.min(F.struct(share, *of("a"))).alias("closest")))
+    now = led.select("a.*", *of("b"))
     for _ in range(hops):
         above = now.select(*(F.col(f"b_{c}").alias(f"a_{c}") for c in SPOT), F.struct(*(F.col(c).alias(f"up_{c[2:]}") for c in of("a"))).alias("up"))
         hop = now.join(above, [f"a_{c}" for c in SPOT], "left").select(*of("a"), *of("b"), "up.*")
         now = hop.select(*(F.when(_alike("up_", "b_"), F.col(f"up_{c}")).otherwise(F.col(f"a_{c}")).alias(f"a_{c}") for c in (*SPOT, *own)), *of("b"))
-    return now.select(*(f"{s}_{c}" for s in "ab" for c in PLACE)).distinct()
+    ends = [f"{s}_{c}" for s in "ab" for c in PLACE]
+    return now.select(*ends).union(led.select("closest.*", *of("b")).select(*ends)).distinct()
 
 
 def candidate_pairs(sets: DataFrame, settled: DataFrame) -> DataFrame:
@@ -173,8 +188,7 @@ def verified_pairs(docs: DataFrame, pairs: DataFrame, max_broadcast: int = MAX_B
     rows = docs.select("doc_id", "text").join(F.broadcast(wanted) if n <= max_broadcast else wanted, "doc_id")
     rows = rows.select("doc_id", F.split("text", "\n").alias("lines"), F.explode("wanted").alias("line_no"))
     rows = rows.select(*PLACE, F.get("lines", "line_no").alias("line")).filter("line is not null")
-    words = F.array_distinct(F.transform(word_array(F.col("line"), F.lower), lambda w: F.xxhash64(w)))
-    words = rows.select(*PLACE, *text_keys(), words.alias("words")).filter(F.size("words") > 0).dropDuplicates(list(SPOT))
+    words = rows.select(*PLACE, *text_keys(), F.array_distinct(word_hashes("line")).alias("words")).filter(F.size("words") > 0).dropDuplicates(list(SPOT))
     side = lambda s: words.select(*_named(s, (*SPOT, "words")))
     on = lambda s: [f"{s}_{c}" for c in PLACE]
     made = pairs.join(side("a"), on("a")).join(side("b"), on("b"))
@@ -183,6 +197,12 @@ def verified_pairs(docs: DataFrame, pairs: DataFrame, max_broadcast: int = MAX_B
     return similar.select(*(f"{s}_{c}" for s in "ab" for c in SPOT), (F.col("common") / (F.col("both") - F.col("common"))).alias("similarity"))
 
 
+def earliest(similar: DataFrame) -> DataFrame:
+    """Of each line's similar pairs the one with the earliest line."""
+    b = [f"b_{c}" for c in SPOT]
+    return cut_lineage(similar.groupBy(*b).agg(F.min(F.struct(*(f"a_{c}" for c in SPOT), "similarity")).alias("a")).select("a.*", *b))
+
+
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """doc_id, line_no, key, first_doc, first_line, similarity of every line that goes.
 
@@ -193,7 +213,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     lines = lines_of(docs)
     repeated = cut_lineage(repeated_texts(lines))
     sets = word_sets(lines, repeated, rarity_levels(docs))
-    settled = cut_lineage(verified_pairs(docs, cut_lineage(leader_pairs(sets))))
+    settled = earliest(verified_pairs(docs, cut_lineage(leader_pairs(sets))))
     pairs = cut_lineage(candidate_pairs(sets, settled))
     similar = settled.unionByName(verified_pairs(docs, pairs))
     found = similar.select(*(F.col(f"b_{c}").alias(c) for c in TEXT), F.struct(F.col("a_doc_id").alias("first_doc"), F.col("a_line_no").alias("first_line"), "similarity").alias("e"))
