@@ -44,13 +44,16 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import ROWS, cut_lineage, fold, table, words_of
 from lodestone.llm.hashing import RUN, hashed_words, mixed
 
-#: Bits of a text that are coded side by side with those of others; the rest of a longer one goes on alone, bit by bit.
-ABREAST = 65_536
+#: First bits of a text that are coded side by side with those of others whatever their number; after them, where fewer
+#: texts than ``FEW`` go on, each goes on alone, bit by bit.  Bits that are laid out at a time.
+ABREAST, FEW, WINDOW = 1_024, 20, 1 << 20
 #: Words of the dictionary at most.
 TOP = 2_000_000
 #: Tokens that are coded at a time (a text counts as ``TEXT`` of them more), bits after which a text's own learning starts
 #: anew: more than any text has.
 TOKENS, TEXT, SEGMENT = 150_000, 150, 1 << 62
+#: Tokens of the texts that are scored side by side.
+SCORED = 600_000
 ESCAPE, CLASSES, LEADING = 31, 32, 3
 #: Previous words with contexts of their own, nodes of a code that are counted in context.
 FREQUENT, NODES = 4_096, 256
@@ -174,6 +177,13 @@ class Bits:
     def __init__(self, token, at, bit, p, slots, names, kind: int):
         self.token, self.at, self.bit, self.p, self.slots, self.names, self.kind = token, at, bit, p, slots, names, kind
 
+    def some(self, which: np.ndarray) -> Bits:
+        """Those at the given indexes."""
+        if len(which) == len(self.token):
+            return self
+        at = self.at if isinstance(self.at, int) else self.at[which]
+        return Bits(self.token[which], at, self.bit[which], self.p[which], tuple(x[which] for x in self.slots), tuple(x[which] for x in self.names), self.kind)
+
 
 class Tails:
     """The bits of ranks beyond the leading ones: tokens that have some, how many (``left``), and log10 of what is coded there
@@ -362,49 +372,71 @@ class Model:
         lane = np.empty(texts, np.int64)
         lane[order] = np.arange(texts)
         alive = np.searchsorted(-lengths[order], -np.arange(int(lengths.max(initial=0))), side="left")  # texts longer than t
-        begins = np.concatenate([[0], np.cumsum(alive)])
-        total = int(begins[-1])
-        x, bit_gate, own = np.empty((total, 3), np.float32), np.empty(total, np.int32), np.empty((total, 3), np.int32)
-        width = sum(OWN)
-        for bits in bits_of(self.words, text, ranks, before, before2, spelled, self.byte_p, tails):
-            mine = lane[text[bits.token]]
-            to = begins[start[bits.token] + bits.at] + mine  # bits in the order of steps
-            inputs, gates = self.inputs(bits)
-            for i, column in enumerate(inputs):
-                x[to, i] = column
-            bit_gate[to] = (mine * GATES + gates) * 2 + bits.bit
-            for i, (name, size) in enumerate(zip(bits.names, OWN)):
-                own[to, i] = (name & np.uint64(size - 1)).astype(np.int32) + (mine * width + _BASES[i])
+        begins, ends = np.concatenate([[0], np.cumsum(alive)]), start + sizes
+        until = max(ABREAST, int(np.searchsorted(-alive, -FEW, side="right")))  # steps that are taken side by side
+        width, escaped = sum(OWN), np.fromiter(spelled, np.int64, len(spelled))
         states = np.zeros(texts * width, np.uint16)  # doubled
         weights = np.tile(START, (texts * GATES, 1))
         refined = np.tile((1 / (1 + np.exp(-(np.arange(BUCKETS) - BUCKETS / 2 + 0.5) * 1.5))).astype(np.float32), texts)
-        out, half = np.empty(total, np.float32), np.float32(BUCKETS / 2)
-        rows, ones, gate = np.arange(texts) * BUCKETS, (bit_gate & 1).astype(np.uint16), bit_gate >> 1
-        target, xs_all = ones.astype(np.float32), np.empty((texts, INPUTS), np.float32)
-        for low, high in zip(begins[:ABREAST].tolist(), begins[1 : ABREAST + 1].tolist()):
-            g, a, b, xs = gate[low:high], own[low:high].astype(np.intp), target[low:high], xs_all[: high - low]
-            state = states.take(a)
-            xs[:, :3], xs[:, 3:] = x[low:high], _STRETCH_2.take(state)
-            state |= ones[low:high, None]
-            states[a] = _NEXT_2.take(state)
-            w = weights.take(g, axis=0)
-            dot = np.einsum("ij,ij->i", w, xs)
-            mix = 1 / (1 + np.exp(-dot))
-            bucket = (dot * np.float32(1 / 1.5) + half).astype(np.int32)
-            bucket = rows[: high - low] + np.minimum(np.maximum(bucket, 0), BUCKETS - 1)
-            again = refined.take(bucket)
-            out[low:high] = mix + (again - mix) * np.float32(0.1)
-            w += ((b - mix) * np.float32(RATE))[:, None] * xs
-            weights[g] = w
-            refined[bucket] = again + (b - again) * np.float32(REFINE)
-        for i in range(int(alive[ABREAST]) if len(alive) > ABREAST else 0):
-            rest = begins[ABREAST : lengths[order[i]]] + i
-            seen, own_weights, own_refined = (y[i * n : (i + 1) * n].tolist() for y, n in ((states, width), (weights, GATES), (refined, BUCKETS)))
-            out[rest] = alone(x[rest].tolist(), (gate[rest] - i * GATES).tolist(), (own[rest] - i * width).tolist(), ones[rest].tolist(), seen, own_weights, own_refined)
-        found = np.log10(np.clip(np.where(ones > 0, out, 1 - out), 1e-6, 1).astype(np.float64))
-        # back from the order of steps: a lane's bits are those at its place of each step
-        lanes = np.arange(total) - np.repeat(begins[:-1], np.diff(begins))
-        return np.bincount(lanes, found, minlength=texts)[lane]
+        half, found = np.float32(BUCKETS / 2), np.zeros(texts)
+        rows, xs_all = np.arange(texts) * BUCKETS, np.empty((texts, INPUTS), np.float32)
+        first = 0
+        while first < len(alive):
+            last = max(first + 1, int(np.searchsorted(begins, begins[first] + WINDOW, side="right")) - 1)
+            last = min(last, until) if first < until else last
+            offset, total = begins[first], int(begins[last] - begins[first])
+            # the tokens that have bits in these steps
+            some = np.flatnonzero((start < last) & (ends > first))
+            place = np.searchsorted(some, escaped)
+            here = np.flatnonzero(some[np.minimum(place, len(some) - 1)] == escaped)
+            own_spelled = {t: spelled[e] for t, e in zip(place[here].tolist(), escaped[here].tolist())}
+            x, bit_gate, own = np.empty((total, 3), np.float32), np.empty(total, np.int32), np.empty((total, 3), np.int64)
+            for bits in bits_of(self.words, text[some], ranks[some], before[some], before2[some], own_spelled, self.byte_p):
+                step = start[some[bits.token]] + bits.at
+                if not len(step) or step.max() < first or step.min() >= last:
+                    continue
+                inside = np.flatnonzero((step >= first) & (step < last))
+                bits = bits.some(inside)
+                mine = lane[text[some[bits.token]]]
+                to = begins[step[inside]] - offset + mine  # bits in the order of steps
+                inputs, gates = self.inputs(bits)
+                for i, column in enumerate(inputs):
+                    x[to, i] = column
+                bit_gate[to] = (mine * GATES + gates) * 2 + bits.bit
+                for i, (name, size) in enumerate(zip(bits.names, OWN)):
+                    own[to, i] = (name & np.uint64(size - 1)).astype(np.int64) + (mine * width + _BASES[i])
+            out, ones, gate = np.empty(total, np.float32), (bit_gate & 1).astype(np.uint16), bit_gate >> 1
+            if first < until:
+                target, edges = ones.astype(np.float32), (begins[first : last + 1] - offset).tolist()
+                for low, high in zip(edges, edges[1:]):
+                    g, a, b, xs = gate[low:high], own[low:high], target[low:high], xs_all[: high - low]
+                    state = states.take(a)
+                    xs[:, :3], xs[:, 3:] = x[low:high], _STRETCH_2.take(state)
+                    state |= ones[low:high, None]
+                    states[a] = _NEXT_2.take(state)
+                    w = weights.take(g, axis=0)
+                    dot = np.einsum("ij,ij->i", w, xs)
+                    mix = 1 / (1 + np.exp(-dot))
+                    bucket = (dot * np.float32(1 / 1.5) + half).astype(np.int32)
+                    bucket = rows[: high - low] + np.minimum(np.maximum(bucket, 0), BUCKETS - 1)
+                    again = refined.take(bucket)
+                    out[low:high] = mix + (again - mix) * np.float32(0.1)
+                    w += ((b - mix) * np.float32(RATE))[:, None] * xs
+                    weights[g] = w
+                    refined[bucket] = again + (b - again) * np.float32(REFINE)
+            else:
+                for i in range(int(alive[first])):
+                    rest = begins[first : min(last, lengths[order[i]])] - offset + i
+                    learned = [y[i * n : (i + 1) * n] for y, n in ((states, width), (weights, GATES), (refined, BUCKETS))]
+                    lists = [y.tolist() for y in learned]
+                    out[rest] = alone(x[rest].tolist(), (gate[rest] - i * GATES).tolist(), (own[rest] - i * width).tolist(), ones[rest].tolist(), *lists)
+                    for y, new in zip(learned, lists):
+                        y[:] = new
+            # a lane's bits are those at its place of each step
+            lanes = np.arange(total) - np.repeat(begins[first:last] - offset, alive[first:last])
+            found += np.bincount(lanes, np.log10(np.clip(np.where(ones > 0, out, 1 - out), 1e-6, 1).astype(np.float64)), minlength=texts)
+            first = last
+        return found[lane]
 
 
 def fit(docs: DataFrame, top: int = TOP) -> tuple[Model, DataFrame | None]:
@@ -455,7 +487,7 @@ def scored(docs: DataFrame, model: Model, outside: DataFrame | None) -> DataFram
             texts = batch.column(1).to_pylist()
             order = np.argsort([-len(t or "") for t in texts], kind="stable")  # as many steps as the longest has bits
             texts = [texts[i] for i in order.tolist()]
-            for part in runs_of(texts):
+            for part in runs_of(texts, SCORED):
                 rows = list(zip(*texts_of(texts[part])))
                 ids = batch.column(0).take(pa.array(order[part]))
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array(x, t) for x, t in zip(rows, kinds))], names=names)

@@ -44,3 +44,23 @@ def test_long_texts_go_on_alone_and_score_alike(model, monkeypatch):
     want = scores(model, texts)
     monkeypatch.setattr(lm, "ABREAST", 500)
     assert scores(model, texts).tolist() == pytest.approx(want.tolist(), rel=1e-4)
+
+
+def test_windows_and_company_leave_scores_alone(model, monkeypatch):
+    texts = [" ".join(RNG.choice(VOCABULARY[:400], n)) for n in (300, 40, 1, 120)] + [None, "never seen " * 30]
+    want = scores(model, texts)
+    for abreast, few, window in ((10**9, 0, 97), (0, 3, 500), (0, 99, 1000), (50, 2, 1)):
+        for name, value in (("ABREAST", abreast), ("FEW", few), ("WINDOW", window)):
+            monkeypatch.setattr(lm, name, value)
+        assert scores(model, texts).tolist() == pytest.approx(want.tolist(), rel=1e-4)
+
+
+def test_bits_are_laid_out_a_window_at_a_time(model, monkeypatch):
+    """What is laid out hangs on the window, not on the texts that are scored side by side."""
+    texts = [" ".join(RNG.choice(VOCABULARY, 400)) for _ in range(30)]
+    text, _, *coded = lm.tokens_of(model.words, texts, 1)
+    most, inputs = [], lm.Model.inputs
+    monkeypatch.setattr(lm.Model, "inputs", lambda self, bits: most.append(len(bits.token)) or inputs(self, bits))
+    monkeypatch.setattr(lm, "WINDOW", 3000)
+    model.log10(text, len(texts), *coded)
+    assert max(most) <= 3000 < len(text)
