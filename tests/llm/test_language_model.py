@@ -64,3 +64,34 @@ def test_bits_are_laid_out_a_window_at_a_time(model, monkeypatch):
     monkeypatch.setattr(lm, "WINDOW", 3000)
     model.log10(text, len(texts), *coded)
     assert max(most) <= 3000 < len(text)
+
+
+def test_contexts_are_counted_at_leaves_as_bit_by_bit(model):
+    texts = [" ".join(RNG.choice(VOCABULARY, 700)), "never seen WORDS", None, ""]
+    _, _, *coded = lm.tokens_of(model.words, texts, 1)
+    want = np.zeros((lm.SLOTS, 2))
+    for bits in lm.bits_of(model.words, None, *coded):
+        for slots in bits.slots:  # the first bits may have none
+            np.add.at(want, (slots, bits.bit[-len(slots) :] if len(slots) else bits.bit[:0]), 1)
+        if bits.kind == 2:
+            np.add.at(want, (lm.BYTE + (bits.slots[0] & 255), bits.bit), 1)
+    leaves = lm.leaves_of(lm.Coded(model.words, *coded))
+    spelled = sum(len(w) + 1 for w in coded[3].values())
+    assert len(leaves) <= 3 * len(coded[0]) + 2 * spelled  # not at each of about 15 bits
+    assert spelled and (lm.nodes_of(model.words, np.bincount(leaves, minlength=lm.SLOTS)) == want).all()
+
+
+def test_a_task_has_texts_of_about_one_length(spark, monkeypatch):
+    """So that few steps have few texts side by side, whatever order the rows come in."""
+    for name, value in (("DEALT", 60_000), ("LEAST", 60_000), ("ROW", 10)):
+        monkeypatch.setattr(lm, name, value)
+    texts = [None, *("x " * int(n) for n in RNG.permutation(np.repeat([3, 40, 700, 9000], [2000, 300, 60, 5])))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = lm.by_length(docs).selectExpr("spark_partition_id() as task", "doc_id", "coalesce(octet_length(text), 0) as size").collect()
+    assert sorted(r.doc_id for r in rows) == list(range(len(texts)))
+    tasks = {}
+    for r in rows:
+        tasks.setdefault(r.task, []).append(r.size)
+    assert len(tasks) >= 4 and max(sum(s) + 10 * len(s) for s in tasks.values()) <= 2 * 60_000
+    assert sum(len(set(s)) > 2 for s in tasks.values()) <= 1  # the shortest, and those at a border
+    assert lm.by_length(docs.limit(0)).count() == 0
