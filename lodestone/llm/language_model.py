@@ -47,7 +47,7 @@ from lodestone.llm.hashing import RUN, hashed_words, mixed
 
 #: First bits of a text that are coded side by side with those of others whatever their number; after them, where fewer
 #: texts than ``FEW`` go on, each goes on alone, bit by bit.  Bits that are laid out at a time.
-ABREAST, FEW, WINDOW = 4_096, 20, 1 << 18
+ABREAST, FEW, WINDOW = 4_096, 10, 1 << 19
 #: More bits than a token has that is not spelled.
 MARGIN = 64
 #: Words of the dictionary at most.
@@ -55,9 +55,9 @@ TOP = 2_000_000
 #: Tokens that are coded at a time (a text counts as ``TEXT`` of them more), bits after which a text's own learning starts
 #: anew: more than any text has.
 TOKENS, TEXT, SEGMENT = 150_000, 150, 1 << 62
-#: Tokens of the texts that are scored side by side (a text counts as ``LANE`` of them more); bytes of the texts that a task
-#: scores, and of the least that is worth a task (a text counts as ``ROW`` of them more).
-SCORED, LANE = 2_000_000, 800
+#: Tokens of the texts that are scored at a time, and how many texts side by side; where one ends, the next one begins.
+SCORED, LANES = 3_000_000, 1_024
+#: Bytes of the texts that a task scores, and of the least that is worth a task (a text counts as ``ROW`` of them more).
 DEALT, LEAST, ROW = 16 << 20, 1 << 20, 1_000
 ESCAPE, CLASSES, LEADING = 31, 32, 3
 #: Nodes are numbered: those of the classes, of bytes, and of ranks from here.
@@ -163,12 +163,28 @@ class Dictionary:
             for k, (node, bit) in enumerate(reversed(way)):
                 self.node[c, k], self.bit[c, k] = node, bit
 
+    @cached_property
+    def begins(self) -> tuple[int, np.ndarray]:
+        """(bits that are left out, the first key of each run of keys that are equal in the others).  Keys are hashes, so a run
+        has one or two."""
+        out = 64 - max(1, len(self.keys).bit_length())
+        runs = np.bincount((self.keys >> out) + (1 << 63 - out), minlength=1 << 64 - out)
+        return out, (np.cumsum(runs) - runs).astype(np.int32)
+
     def ranks(self, keys: np.ndarray) -> np.ndarray:
         """The rank of each key, 0 for words outside."""
         if not len(self.keys):
-            return np.zeros(len(keys), np.int64)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.rank[at], 0).astype(np.int64)
+            return np.zeros(len(keys), np.int32)
+        out, begins = self.begins
+        last = len(self.keys) - 1
+        at = np.minimum(begins.take((keys >> out) + (1 << 63 - out)), last)
+        later = np.flatnonzero(self.keys.take(at) < keys)
+        while len(later):
+            at[later] += 1
+            later = later[at[later] <= last]
+            later = later[self.keys.take(at[later]) < keys[later]]
+        at = np.minimum(at, last)
+        return np.where(self.keys.take(at) == keys, self.rank.take(at), 0)
 
     @cached_property
     def nodes(self) -> tuple[np.ndarray, np.ndarray]:
@@ -216,7 +232,8 @@ def classes_of(ranks: np.ndarray) -> np.ndarray:
 class Bits:
     """Some bits of a run of tokens: token, place there (``at``, an array or one number), bit, node of the code, slots of the
     counted contexts of the last so many of them (the others have none), packed places in the text's own contexts, kind (0
-    class, 1 leading bits of a rank, 2 byte, 3 later bits of a rank), step of each bit and lane of its text if they are known."""
+    class, 1 leading bits of a rank, 2 byte, 3 later bits of a rank); in a window of steps, instead of the place, the step of each
+    bit from ``MARGIN`` before the window and the lane of its text."""
 
     def __init__(self, token, at, bit, node, slots, own, kind: int, step=None, lane=None):
         self.token, self.at, self.bit, self.node, self.slots, self.own, self.kind = token, at, bit, node, slots, own, kind
@@ -243,13 +260,8 @@ class Coded:
     the lane of the text, bits can be had a window of steps at a time."""
 
     def __init__(self, words: Dictionary, ranks: np.ndarray, before: np.ndarray, before2: np.ndarray, spelled: dict[int, bytes], start: np.ndarray | None = None, lane: np.ndarray | None = None):
-        self.words, self.ranks, self.kind = words, ranks.astype(np.int32), classes_of(ranks).astype(np.uint8)
-        before_class, before2_class = classes_of(before), classes_of(before2)
-        self.previous = (WORD + previous_of(before, before_class, FREQUENT) * NODES).astype(np.int32)
-        self.later = (TAIL + previous_of(before, before_class, TAIL_FREQUENT) * TAIL_NODES).astype(np.int32)
-        self.pair = (PAIR + (before2_class * CLASSES + before_class) * NODES).astype(np.int32)
-        near = mixed(before.astype(np.uint64) * _M2 + np.uint64(5))
-        self.own = packed(near, mixed(near * _M1 + before2.astype(np.uint64)))
+        self.words, self.ranks, self.before, self.before2 = words, *(x.astype(np.int32, copy=False) for x in (ranks, before, before2))
+        self.kind = classes_of(ranks).astype(np.uint8)
         self.start, self.lane = start, lane
         self.ends = None if start is None else start + (words.length + np.where(np.arange(CLASSES) == ESCAPE, 0, np.arange(CLASSES)))[self.kind]
         self.data = np.zeros(0, np.int64)
@@ -263,29 +275,40 @@ class Coded:
             self.token = np.repeat(tokens, lengths)
             self.byte_start = None if start is None else start[self.token] + words.length[ESCAPE] + self.place * 8
 
+    def contexts(self, some: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Where the slots of tokens start: after the previous word, after two classes, those of later bits; and what the
+        words before give to places in the text's own contexts."""
+        before, before2 = self.before[some].astype(np.int64), self.before2[some].astype(np.int64)
+        before_class = classes_of(before)
+        near = mixed(before.astype(np.uint64) * _M2 + np.uint64(5))
+        own = packed(near, mixed(near * _M1 + before2.astype(np.uint64)))
+        return WORD + previous_of(before, before_class, FREQUENT) * NODES, PAIR + (classes_of(before2) * CLASSES + before_class) * NODES, TAIL + previous_of(before, before_class, TAIL_FREQUENT) * TAIL_NODES, own
+
     def bits(self, first: int = 0, last: int | None = None) -> Iterator[Bits]:
         """All bits of the tokens, place after place; with ``last`` those of the tokens and bytes that have some in the steps
         from ``first`` to there, which may lie up to a token or byte outside."""
-        words = self.words
-        some = np.arange(len(self.kind)) if last is None else np.flatnonzero((self.start < last) & (self.ends > first))
+        words, whole = self.words, last is None
+        some = np.arange(len(self.kind)) if whole else np.flatnonzero((self.start < last) & (self.ends > first))
         kind = self.kind[some]
-        wide = lambda x, token: x if x is None else x[token].astype(np.int64)
+        contexts = self.contexts(some)
+        steps, lanes = (np.zeros(0) if whole else x[some].astype(np.int64) for x in (self.start, self.lane))
         # tokens of long codes come first, so that those that have a bit at a place are the first so many
         length = words.length[kind].astype(np.uint8)
         order = np.argsort(np.uint8(CLASSES) - length, kind="stable")
         token, code = some[order], kind[order].astype(np.int64)
-        own, (previous, pair, start, lane) = self.own[token], (wide(x, token) for x in (self.previous, self.pair, self.start, self.lane))
+        previous, pair, _, own = (x[order] for x in contexts)
+        start, lane = (None, None) if whole else (steps[order] + (MARGIN - first), lanes[order])
         longer = len(some) - np.cumsum(np.bincount(length, minlength=CLASSES))
         for k, n in enumerate(longer[longer > 0].tolist()):
             node = words.node[:, k].take(code[:n])
-            yield Bits(token[:n], k, words.bit[:, k].take(code[:n]), node, (previous[:n] + node, pair[:n] + node), NAMES[:CLASSES].take(node) ^ own[:n], 0, None if start is None else start[:n] + k, None if start is None else lane[:n])
+            yield Bits(token[:n], k, words.bit[:, k].take(code[:n]), node, (previous[:n] + node, pair[:n] + node), NAMES[:CLASSES].take(node) ^ own[:n], 0, None if whole else start[:n] + k, None if whole else lane[:n])
         key = np.where(kind == ESCAPE, 0, kind).astype(np.uint8)
         order = np.argsort(np.uint8(CLASSES) - key, kind="stable")[: np.count_nonzero(key)]
         token, of = some[order], kind[order].astype(np.int64)
-        rank, top, length = wide(self.ranks, token), 1 << of, words.length[of]
-        own, (previous, pair, later, start, lane) = self.own[token], (wide(x, token) for x in (self.previous, self.pair, self.later, self.start, self.lane))
+        rank, top, length = self.ranks[token].astype(np.int64), 1 << of, words.length[of]
+        previous, pair, later, own = (x[order] for x in contexts)
         previous, pair = previous + CLASSES + of * 8, pair + CLASSES + of * 8
-        start = None if start is None else start + length
+        start, lane = (None, None) if whole else (steps[order] + length + (MARGIN - first), lanes[order])
         bare = np.count_nonzero(top >= TAIL_NODES)  # their later bits have no counted context
         longer = len(some) - np.cumsum(np.bincount(key, minlength=CLASSES))
         for depth, n in enumerate(longer[longer > 0].tolist()):
@@ -293,14 +316,14 @@ class Coded:
             v = open_ >> 1
             index = top[:n] + v
             slots = (previous[:n] + v, pair[:n] + v) if depth < LEADING else (later[bare:n] + index[bare:],)
-            yield Bits(token[:n], length[:n] + depth, open_ & 1, RANKED + index, slots, words.nodes[0].take(index) ^ own[:n], 1 if depth < LEADING else 3, None if start is None else start[:n] + depth, None if start is None else lane[:n])
-        some = np.arange(len(self.data)) if last is None or not len(self.data) else np.flatnonzero((self.byte_start < last) & (self.byte_start > first - 8))
+            yield Bits(token[:n], length[:n] + depth if whole else None, open_ & 1, RANKED + index, slots, words.nodes[0].take(index) ^ own[:n], 1 if depth < LEADING else 3, None if whole else start[:n] + depth, None if whole else lane[:n])
+        some = np.arange(len(self.data)) if whole or not len(self.data) else np.flatnonzero((self.byte_start < last) & (self.byte_start > first - 8))
         if len(some):
             token, data, place, one, two, two_hash = (x[some] for x in (self.token, self.data, self.place, self.one, self.two, self.two_hash))
             own = packed(mixed(one.astype(np.uint64) * _M1 + np.uint64(3)), mixed((one * 256 + two).astype(np.uint64) * _M2 + np.uint64(9)))
             for spot in range(8):
                 node = (1 << spot) | (data >> (8 - spot))
-                yield Bits(token, words.length[ESCAPE] + place * 8 + spot, (data >> (7 - spot)) & 1, CLASSES + node, (BYTE_1 + one * 256 + node, BYTE_2 + two_hash * 256 + node), NAMES[CLASSES:].take(node) ^ own, 2, None if last is None else self.byte_start[some] + spot, None if last is None else self.lane[token].astype(np.int64))
+                yield Bits(token, words.length[ESCAPE] + place * 8 + spot, (data >> (7 - spot)) & 1, CLASSES + node, (BYTE_1 + one * 256 + node, BYTE_2 + two_hash * 256 + node), NAMES[CLASSES:].take(node) ^ own, 2, None if whole else self.byte_start[some] + (MARGIN - first + spot), None if whole else self.lane[token].astype(np.int64))
 
 
 def bits_of(words: Dictionary, text: np.ndarray, ranks: np.ndarray, before: np.ndarray, before2: np.ndarray, spelled: dict[int, bytes], byte_p: np.ndarray | None = None, tails: Tails | None = None) -> Iterator[Bits]:
@@ -323,7 +346,7 @@ def tokens_of(words: Dictionary, texts: list[str | None], rare: int) -> tuple[np
     ``rare``); before a text stands its end."""
     keys = list(word_keys(texts))
     sizes = np.fromiter(map(len, keys), np.int64, len(keys))
-    text, key = np.repeat(np.arange(len(keys)), sizes), np.concatenate([np.zeros(0, np.int64), *keys])
+    text, key = np.repeat(np.arange(len(keys), dtype=np.int32), sizes), np.concatenate([np.zeros(0, np.int64), *keys])
     ranks, end = words.ranks(key), words.ranks(np.array([END_KEY]))[0]
     starts = np.cumsum(sizes) - sizes
     before = np.concatenate([[end], ranks])[: len(ranks)]
@@ -340,11 +363,11 @@ def tokens_of(words: Dictionary, texts: list[str | None], rare: int) -> tuple[np
     return text, key, ranks, before, before2, spelled
 
 
-def runs_of(texts: list[str | None], most: int = TOKENS, more: int = TEXT) -> Iterator[slice]:
+def runs_of(texts: list[str | None], most: int = TOKENS) -> Iterator[slice]:
     """The texts in runs of about ``most`` tokens at most; a longer text is a run of its own."""
     begin = held = 0
     for i, t in enumerate(texts):
-        size = len(t or "") // 6 + more
+        size = len(t or "") // 6 + TEXT
         if held and held + size > most:
             yield slice(begin, i)
             begin, held = i, 0
@@ -359,7 +382,8 @@ def leaves_of(coded: Coded) -> np.ndarray:
     kind, rank = coded.kind.astype(np.int64), coded.ranks.astype(np.int64)
     leaf = kind * 8 + ((rank << LEADING >> kind) & 7)
     tail = (rank >= 1 << LEADING + 1) & (rank < TAIL_NODES)
-    out = [coded.previous + leaf, coded.pair + leaf, coded.later[tail] + rank[tail]]
+    previous, pair, later, _ = coded.contexts()
+    out = [previous + leaf, pair + leaf, later[tail] + rank[tail]]
     if len(coded.data):
         out += [BYTE_1 + coded.one * 256 + coded.data, BYTE_2 + coded.two_hash * 256 + coded.data]
     return np.concatenate(out)
@@ -445,6 +469,20 @@ def alone(x: list, gate: list, own: list, bits: list, states: list, weights: lis
     return out
 
 
+def lanes_of(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lane of each text, step at which it begins there, length of each lane, longest first): texts are dealt to ``LANES``
+    lanes, the longest first, each to where least lies."""
+    heap = [(0, i) for i in range(min(len(lengths), LANES))]
+    lane, begin, held = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64), np.zeros(len(heap), np.int64)
+    for t in np.argsort(-lengths, kind="stable").tolist():
+        begin[t], lane[t] = heap[0]
+        end = int(begin[t] + lengths[t])
+        heapq.heapreplace(heap, (end, int(lane[t])))
+        held[lane[t]] = end
+    order = np.argsort(-held, kind="stable")
+    return np.argsort(order)[lane], begin, held[order]
+
+
 class Model:
     """What is broadcast: the dictionary and the counted contexts."""
 
@@ -484,26 +522,27 @@ class Model:
         return out + [first] * (3 - len(out)), sure + np.uint8(bits.kind * 3)
 
     def log10(self, text: np.ndarray, texts: int, ranks: np.ndarray, before: np.ndarray, before2: np.ndarray, spelled: dict[int, bytes]) -> np.ndarray:
-        """log10 probability of the bits of each text; texts are coded side by side, longer ones first."""
+        """log10 probability of the bits of each text; texts are coded side by side, and where one ends another one begins."""
         tails = Tails(self.words, text, ranks, classes_of(ranks))
         sizes = sizes_of(self.words, ranks, spelled, tails)
         lengths = np.bincount(text, sizes, minlength=texts).astype(np.int64)
-        start = np.cumsum(sizes) - sizes - (np.cumsum(lengths) - lengths)[text]  # of a token in its text
-        order = np.argsort(-lengths, kind="stable")
-        lane = np.empty(texts, np.int64)
-        lane[order] = np.arange(texts)
-        alive = np.searchsorted(-lengths[order], -np.arange(int(lengths.max(initial=0))), side="left")  # texts longer than t
+        lane, begin, held = lanes_of(lengths)
+        start = np.cumsum(sizes) - sizes + (begin - np.cumsum(lengths) + lengths)[text]  # of a token in its lane
+        order = np.argsort(begin, kind="stable")
+        starts = list(zip(begin[order].tolist(), lane[order].tolist(), order.tolist()))[::-1]  # of the texts, the last ones first
+        alive = np.searchsorted(-held, -np.arange(int(held.max(initial=0))), side="left")  # lanes longer than t
         begins = np.concatenate([[0], np.cumsum(alive)])
         until = max(ABREAST, int(np.searchsorted(-alive, -FEW, side="right")))  # steps that are taken side by side
         coded = Coded(self.words, ranks, before, before2, spelled, start, lane[text].astype(np.int32))
-        states = np.zeros(texts * WIDTH, np.uint8)
+        lanes = len(held)
+        states = np.zeros(lanes * WIDTH, np.uint8)
         # a gate's weights: those of a given input and of one of the text's own in turn, moved in pairs
-        weights = np.tile(START.reshape(2, 3).T.ravel(), (texts * GATES, 1))
+        fresh = np.tile(START.reshape(2, 3).T.ravel(), (GATES, 1)), (1 / (1 + np.exp(-(np.arange(BUCKETS) - BUCKETS / 2 + 0.5) * 1.5))).astype(np.float32)
+        weights, refined = np.tile(fresh[0], (lanes, 1)), np.tile(fresh[1], lanes)
         pairs, of_pair = weights.reshape(-1).view(np.uint64), np.arange(3)[:, None]
-        refined = np.tile((1 / (1 + np.exp(-(np.arange(BUCKETS) - BUCKETS / 2 + 0.5) * 1.5))).astype(np.float32), texts)
-        found, places, xs_all = np.zeros(texts), np.arange(texts) * WIDTH, np.empty((3, 2 * texts), np.float32)
-        most = min(max(WINDOW, texts), int(begins[-1]))
-        given, moved = np.empty(most + texts, np.complex128), np.empty(most + texts, np.uint64)
+        found, places, current = np.zeros(texts), np.arange(lanes) * WIDTH, np.zeros(lanes, np.int64)
+        most = min(max(WINDOW, lanes), int(begins[-1]))
+        given, moved = np.empty(most + lanes, np.complex128), np.empty(most + lanes, np.uint64)
         first = 0
         while first < len(alive):
             last = max(first + 1, int(np.searchsorted(begins, begins[first] + WINDOW, side="right")) - 1)
@@ -513,26 +552,42 @@ class Model:
             where = np.full(last - first + 2 * MARGIN, total)
             where[MARGIN:-MARGIN] = begins[first:last] - offset
             for bits in coded.bits(first, last):
-                to = where.take(bits.step - (first - MARGIN)) + bits.lane  # bits in the order of steps
+                to = where.take(bits.step)  # bits in the order of steps
+                to += bits.lane
                 inputs, gates = self.inputs(bits)
                 x = np.empty((len(to), 4), np.float32)
                 x[:, 0], x[:, 1], x[:, 2] = inputs
                 given[to] = x.view(np.complex128)[:, 0]
-                moved[to] = bits.own | ((gates.astype(np.uint64) * np.uint64(2) + bits.bit.astype(np.uint64)) << np.uint64(48))
+                gates = (gates << 1 | bits.bit.astype(np.uint8)).astype(np.uint64)
+                gates <<= np.uint64(48)
+                moved[to] = np.bitwise_or(gates, bits.own, out=gates)
             x, fields = given[:total].view(np.float32).reshape(total, 4)[:, :3].T, moved[:total].view(np.uint16).reshape(total, 4).T
             ones, gate, own = fields[3] & 1, (fields[3] >> 1).astype(np.int64), fields[:3].astype(np.int64)
-            # a lane's bits are those at its place of each step
-            lanes = np.arange(total) - np.repeat(begins[first:last] - offset, alive[first:last])
+            # a lane's bits are those at its place of each step; of which text they are, and (step, lane) of what begins
+            # after another text
+            lane_of = np.arange(total) - np.repeat(begins[first:last] - offset, alive[first:last])
+            owner, new = current.take(lane_of), []
+            while starts and starts[-1][0] < last:
+                at, i, t = starts.pop()
+                owner[begins[at : min(last, held[i])] - offset + i] = current[i] = t
+                if at:
+                    new.append((at - first, i))
             if first < until:
                 target, after, edges = ones.astype(np.float32), ones << 8, (begins[first : last + 1] - offset).tolist()
-                gate = (gate + lanes * GATES) * 3
+                gate = (gate + lane_of * GATES) * 3
+                ahead = new[::-1]
                 dots, mixes, again = (np.empty(total, np.float32) for _ in range(3))
-                for low, high in zip(edges, edges[1:]):
+                inputs, twice = np.empty((3, 2 * total), np.float32), np.empty(2 * lanes, np.float32)
+                inputs[:, ::2] = x
+                for t, (low, high) in enumerate(zip(edges, edges[1:])):
                     n = high - low
+                    while ahead and ahead[-1][0] == t:
+                        i = ahead.pop()[1]
+                        states[i * WIDTH : (i + 1) * WIDTH], weights[i * GATES : (i + 1) * GATES] = 0, fresh[0]
                     a, g = own[:, low:high] + places[:n], gate[low:high] + of_pair
                     state = states.take(a)
-                    xs, w = xs_all[:, : 2 * n], pairs.take(g).view(np.float32)
-                    xs[:, ::2], xs[:, 1::2] = x[:, low:high], _STRETCH.take(state)
+                    xs, w = inputs[:, 2 * low : 2 * high], pairs.take(g).view(np.float32)
+                    xs[:, 1::2] = _STRETCH.take(state)
                     states[a] = _FOLLOW.take(state + after[low:high])
                     parts = w * xs
                     dot = parts[0]
@@ -544,11 +599,16 @@ class Model:
                     np.reciprocal(mix, out=mixes[low:high])
                     e = target[low:high] - mixes[low:high]
                     e *= np.float32(RATE)
-                    xs *= np.repeat(e, 2)
+                    twice[: 2 * n : 2], twice[1 : 2 * n : 2] = e, e
+                    xs *= twice[: 2 * n]
                     w += xs
                     pairs[g] = w.view(np.uint64)
-                bucket = lanes * BUCKETS + np.minimum(np.maximum((dots * np.float32(1 / 1.5) + np.float32(BUCKETS / 2)).astype(np.int32), 0), BUCKETS - 1)
-                for low, high in zip(edges, edges[1:]):
+                bucket = (dots * np.float32(1 / 1.5) + np.float32(BUCKETS / 2)).astype(np.int32)
+                bucket, ahead = lane_of * BUCKETS + np.minimum(np.maximum(bucket, 0), BUCKETS - 1), new[::-1]
+                for t, (low, high) in enumerate(zip(edges, edges[1:])):
+                    while ahead and ahead[-1][0] == t:
+                        i = ahead.pop()[1]
+                        refined[i * BUCKETS : (i + 1) * BUCKETS] = fresh[1]
                     b = bucket[low:high]
                     r = refined.take(b, out=again[low:high], mode="clip")
                     refined[b] = r + (target[low:high] - r) * np.float32(REFINE)
@@ -556,15 +616,20 @@ class Model:
             else:
                 out = np.empty(total, np.float32)
                 for i in range(int(alive[first])):
-                    rest = begins[first : min(last, lengths[order[i]])] - offset + i
                     learned = [y[i * n : (i + 1) * n] for y, n in ((states, WIDTH), (weights, GATES), (refined, BUCKETS))]
-                    lists = [y.tolist() for y in learned]
-                    out[rest] = alone(x[:, rest].T.tolist(), gate[rest].tolist(), own[:, rest].T.tolist(), ones[rest].tolist(), *lists)
-                    for y, new in zip(learned, lists):
-                        y[:] = new
-            found += np.bincount(lanes, np.log10(np.clip(np.where(ones > 0, out, 1 - out), np.float32(1e-6), np.float32(1)), dtype=np.float64), minlength=texts)
+                    begun = [first + at for at, j in new if i == j]
+                    cuts = sorted({first, *begun, int(min(last, held[i]))})
+                    for at, end in zip(cuts, cuts[1:]):
+                        if at in begun:
+                            learned[0][:], learned[1][:], learned[2][:] = 0, *fresh
+                        rest, lists = begins[at:end] - offset + i, [y.tolist() for y in learned]
+                        out[rest] = alone(x[:, rest].T.tolist(), gate[rest].tolist(), own[:, rest].T.tolist(), ones[rest].tolist(), *lists)
+                        for y, after in zip(learned, lists):
+                            y[:] = after
+            out -= ones == 0  # less 1 where the bit is 0: the size is the bit's probability
+            found += np.bincount(owner, np.log(np.clip(np.abs(out), np.float32(1e-6), np.float32(1))), minlength=texts)
             first = last
-        return found[lane]
+        return found / math.log(10)
 
 
 def fit(docs: DataFrame, top: int = TOP) -> tuple[Model, DataFrame | None]:
@@ -633,7 +698,7 @@ def scored(docs: DataFrame, model: Model, outside: DataFrame | None) -> DataFram
             texts = batch.column(1).to_pylist()
             order = np.argsort([-len(t or "") for t in texts], kind="stable")  # as many steps as the longest has bits
             texts = [texts[i] for i in order.tolist()]
-            for part in runs_of(texts, SCORED, LANE):
+            for part in runs_of(texts, SCORED):
                 rows = list(zip(*texts_of(texts[part])))
                 ids = batch.column(0).take(pa.array(order[part]))
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array(x, t) for x, t in zip(rows, kinds))], names=names)

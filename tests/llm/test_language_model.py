@@ -95,3 +95,25 @@ def test_a_task_has_texts_of_about_one_length(spark, monkeypatch):
     assert len(tasks) >= 4 and max(sum(s) + 10 * len(s) for s in tasks.values()) <= 2 * 60_000
     assert sum(len(set(s)) > 2 for s in tasks.values()) <= 1  # the shortest, and those at a border
     assert lm.by_length(docs.limit(0)).count() == 0
+
+
+def test_texts_that_take_over_a_lane_start_anew(model, monkeypatch):
+    texts = [" ".join(RNG.choice(VOCABULARY[:400], int(n))) for n in RNG.integers(1, 90, 40)] + [None, "never seen " * 30]
+    want = scores(model, texts)
+    for lanes, window, few, abreast in ((3, 1 << 19, 0, 10**9), (3, 200, 0, 10**9), (1, 1 << 19, 0, 10**9), (7, 500, 5, 700), (2, 300, 99, 0)):
+        for name, value in (("LANES", lanes), ("WINDOW", window), ("FEW", few), ("ABREAST", abreast)):
+            monkeypatch.setattr(lm, name, value)
+        assert scores(model, texts).tolist() == pytest.approx(want.tolist(), rel=1e-4)
+    lane, begin, held = lm.lanes_of(np.arange(1, 41))
+    ends = {i: sorted(zip(begin[lane == i], begin[lane == i] + np.arange(1, 41)[lane == i])) for i in range(2)}
+    assert all(own[0][0] == 0 and own[-1][1] == held[i] and all(a[1] == b[0] for a, b in zip(own, own[1:])) for i, own in ends.items())
+    assert held.sum() == 820 and held[0] - held[1] <= 40
+
+
+@pytest.mark.parametrize("words", [0, 1, 2, 5000])
+def test_ranks_of_keys(words):
+    keys = np.unique(RNG.integers(-(2**63), 2**63, words, dtype=np.int64, endpoint=False))
+    found = lm.Dictionary(keys, np.arange(len(keys), dtype=np.int64) + 1, 10, 10, 1, 5.0)
+    asked = np.concatenate([keys, keys + 1, keys - 1, RNG.integers(-(2**63), 2**63, 900, dtype=np.int64), [-(2**63), -1, 0, 2**63 - 1]])
+    rank = dict(zip(keys.tolist(), range(len(keys), 0, -1)))
+    assert found.ranks(asked).tolist() == [rank.get(k, 0) for k in asked.tolist()]
