@@ -528,6 +528,7 @@ class Model:
         lengths = np.bincount(text, sizes, minlength=texts).astype(np.int64)
         lane, begin, held = lanes_of(lengths)
         start = np.cumsum(sizes) - sizes + (begin - np.cumsum(lengths) + lengths)[text]  # of a token in its lane
+        del tails, sizes  # as long as all tokens, and not needed below
         order = np.argsort(begin, kind="stable")
         starts = list(zip(begin[order].tolist(), lane[order].tolist(), order.tolist()))[::-1]  # of the texts, the last ones first
         alive = np.searchsorted(-held, -np.arange(int(held.max(initial=0))), side="left")  # lanes longer than t
