@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions.quotes import with_held
 from lodestone.functions.text import count_tokens, html_visible_text
 from lodestone.operators.urls import Rule, document_id, url_to_path
 
@@ -132,18 +133,8 @@ def sources_of(answered: DataFrame, k: int = 5) -> DataFrame:
 
 
 def holders(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs and items where the text holds the quote: joined by the quote's rarest word, then compared.
-
-    Quotes without a whole inner word (between blanks) are compared with all texts; there are few, and short.
-    """
-    words = lambda text: F.array_distinct(F.split(text, r"[ \t\r\n\f\x0B]+"))
-    inner = F.slice(F.split("quote", r"[ \t\r\n\f\x0B]+"), F.lit(2), F.greatest(F.size(F.split("quote", r"[ \t\r\n\f\x0B]+")) - 2, F.lit(0)))
-    in_texts = docs.select(F.explode(words(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("c"))
-    asked = items.select("item_id", "quote", F.explode(F.array_distinct(inner)).alias("word")).join(in_texts, "word")
-    rarest = asked.groupBy("item_id", "quote").agg(F.min(F.struct("c", "word")).alias("w")).select("item_id", "quote", F.col("w.word").alias("word"))
-    some = docs.select("*", F.explode(words(F.col("text"))).alias("word")).join(rarest, "word").filter(F.contains("text", "quote")).drop("word", "quote")
-    whole = docs.join(items.filter(F.size(inner) == 0).select("item_id", "quote"), F.contains("text", "quote")).drop("quote")
-    return some.unionByName(whole)
+    """docs and items where the text holds the quote."""
+    return with_held(docs, items)
 
 
 def golden_set(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
