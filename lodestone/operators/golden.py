@@ -7,13 +7,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.sources.tables import GOLDEN
+from lodestone.sources.tables import GOLDEN, cut_lineage
 
 #: The question types.
 TYPES = ("api_fact", "exact_identifier", "how_to", "faq", "paraphrased", "multi_chunk", "definition", "unanswerable")
 FIELDS = ("id", "type", "question", "expected_answer", "evidence", "source_urls", "required_terms", "answerable", "notes")
 #: The fields that aren't texts.
 LISTS, FLAGS = ("evidence", "source_urls", "required_terms"), ("answerable",)
+#: Bytes of evidence that go to the chunks at most; beyond that both are dealt by chunk.
+BROADCAST = 32 << 20
 
 
 def _blank(text: Column) -> Column:
@@ -86,7 +88,9 @@ def unknown_chunks(golden: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def quote_not_in_chunk(golden: DataFrame, chunks: DataFrame) -> DataFrame:
     """Quotes must occur in each chunk they name, case aside."""
-    pairs = _evidence(golden).join(chunks.select("chunk_id", "text"), "chunk_id")
+    evidence = _evidence(golden)
+    size = evidence.agg(F.sum(F.coalesce(F.octet_length("quote"), F.lit(0)) + 64)).first()[0] or 0
+    pairs = (F.broadcast(evidence) if size <= BROADCAST else evidence).join(chunks.select("chunk_id", "text"), "chunk_id")
     lost = pairs.filter(~F.contains(F.lower("text"), F.lower("quote")))
     return lost.select("id", F.lit("quote not in chunk").alias("check"), F.col("chunk_id").cast("string").alias("detail"))
 
@@ -106,7 +110,8 @@ def duplicate_questions(golden: DataFrame) -> DataFrame:
 
 
 def golden_problems(golden: DataFrame, chunks: DataFrame) -> DataFrame:
-    """All checks as one table."""
+    """All checks as one table; the golden set, which may be made of the chunks, is worked out once."""
+    golden = cut_lineage(golden)
     parts = [record_checks(golden), unknown_chunks(golden, chunks), quote_not_in_chunk(golden, chunks), source_url_mismatch(golden, chunks), duplicate_questions(golden)]
     return reduce(DataFrame.unionByName, parts)
 

@@ -4,6 +4,8 @@ import random
 
 from lodestone.functions import quotes
 from lodestone.jobs import adapters
+from lodestone.operators import golden
+from lodestone.sources import tables
 
 
 def plan(df) -> str:
@@ -24,3 +26,20 @@ def test_holders_leave_texts_where_they_are(spark, monkeypatch):
     monkeypatch.setattr(quotes, "QUOTE_BYTES", 700)
     monkeypatch.setattr(quotes, "STEP", 64)
     assert sorted((r.doc_id, r.item_id) for r in adapters.holders(docs, items).collect()) == want
+
+
+def test_quotes_are_looked_up_where_chunks_are(spark, monkeypatch):
+    g = spark.createDataFrame([(i, "faq", "q", "a", [(f"b{i} c", ["c1", "c2"])], ["u"], [], True, "") for i in "123"], tables.GOLDEN)
+    chunks = spark.createDataFrame([("c1", "b1 c B2 C", "u"), ("c2", "b1 c b3 c", "u")], "chunk_id string, text string, source_url string").cache()
+    chunks.count()
+    near = golden.quote_not_in_chunk(g, chunks)
+    want = [("2", "c2"), ("3", "c1")]
+    monkeypatch.setattr(golden, "BROADCAST", 0)
+    far = golden.quote_not_in_chunk(g.hint("merge"), chunks)
+    assert sorted((r.id, r.detail) for r in near.collect()) == sorted((r.id, r.detail) for r in far.collect()) == want
+    monkeypatch.undo()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "SortMergeJoin" not in plan(golden.quote_not_in_chunk(g, chunks))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
