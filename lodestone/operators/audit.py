@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -66,14 +70,55 @@ def uncovered_sections(sections: DataFrame, chunks: DataFrame) -> DataFrame:
     return sections.join(held, "section_id", "left_anti").select("section_id")
 
 
+def _words(text: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(r"(?U)\w+"), F.lit(0))
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, kind, section_id, words, by key and kind: a chunk (0), sections that lie in it alone (1), whose missing words
+    come out, and others that it holds a part of (2), for which its own words come out."""
+    key, inside = None, Counter()
+    for batch in batches:
+        for start in range(0, batch.num_rows, 256):
+            rows, out = batch.slice(start, 256), []
+            for at, kind, section, words in zip(*(c.to_pylist() for c in rows.columns)):
+                own = Counter(words or ()) if kind < 2 else None
+                if kind == 0:
+                    key, inside = at, own
+                    continue
+                here = inside if at == key else Counter()
+                if kind == 1:
+                    out += [(section, w, n, here[w]) for w, n in own.items() if n > here[w]]
+                else:
+                    out += [(section, w, 0, n) for w, n in here.items()]
+            if out:
+                ids, *rest = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("section_id").type), *(pa.array(c, t) for c, t in zip(rest, (pa.string(), pa.int64(), pa.int64())))], ["section_id", "word", "n_section", "n_chunks"])
+
+
 def missing_words(sections: DataFrame, chunks: DataFrame) -> DataFrame:
-    """section_id, word, n_section, n_chunks: words that occur less often in a section's chunks than in it."""
-    words = lambda c: F.explode(F.regexp_extract_all(c, F.lit(r"(?U)\w+"), F.lit(0))).alias("word")
-    own = sections.select("section_id", words("content")).groupBy("section_id", "word").agg(F.count(F.lit(1)).alias("n_section"))
-    inside = chunks.select("chunk_id", "section_ids", words("text")).groupBy("chunk_id", "section_ids", "word").agg(F.count(F.lit(1)).alias("n"))
-    held = inside.select(F.explode("section_ids").alias("section_id"), "word", "n").groupBy("section_id", "word").agg(F.sum("n").alias("n_chunks"))
-    zero = F.coalesce("n_chunks", F.lit(0))
-    return own.join(held, ["section_id", "word"], "left").filter(F.col("n_section") > zero).select("section_id", "word", "n_section", zero.alias("n_chunks"))
+    """section_id, word, n_section, n_chunks: words that occur less often in a section's chunks than in it.
+
+    A section that lies in one chunk is dealt to where that is, and their rows are compared there.  Only of sections in
+    several chunks (or of several rows) the words themselves are dealt, with those of the chunks.
+    """
+    kind = sections.schema["section_id"].dataType.simpleString()
+    key, none = F.md5(F.to_json(F.struct("chunk_id", "section_ids", "text"))), lambda t: F.lit(None).cast(t)
+    held = chunks.select(key.alias("key"), F.explode("section_ids").alias("section_id")).filter("section_id is not null")
+    both = held.select("section_id", "key", F.lit(0).alias("own")).unionByName(sections.select("section_id", none("string").alias("key"), F.lit(1).alias("own")))
+    about = both.groupBy("section_id").agg(F.sum("own").alias("rows"), F.count("key").alias("holders"), F.min("key").alias("key")).filter("rows > 0")
+    single = (F.col("rows") == 1) & (F.col("holders") <= 1)
+    about = about.select("section_id", single.alias("single"), F.coalesce("key", F.md5(F.col("section_id").cast("string")), F.lit("")).alias("key"))
+    placed = sections.select("section_id", "content").alias("s").join(about.alias("a"), F.expr("s.section_id <=> a.section_id")).select("s.section_id", "content", "single", "key")
+
+    texts = chunks.select(key.alias("key"), F.lit(0).alias("kind"), none(kind).alias("section_id"), "text")
+    asked = placed.filter("single").select("key", F.lit(1).alias("kind"), "section_id", F.col("content").alias("text"))
+    parts = held.join(about.filter("not single").select("section_id"), "section_id").select("key", F.lit(2).alias("kind"), "section_id", none("string").alias("text"))
+    dealt = texts.unionByName(asked).unionByName(parts).repartition("key").sortWithinPartitions("key", "kind")
+    found = dealt.select("key", "kind", "section_id", _words("text").alias("words")).mapInArrow(_compared, f"section_id {kind}, word string, n_section bigint, n_chunks bigint")
+    several = placed.filter("not single").select("section_id", F.explode(_words("content")).alias("word"), F.lit(1).cast("long").alias("n_section"), F.lit(0).cast("long").alias("n_chunks"))
+    sums = found.unionByName(several).groupBy("section_id", "word").agg(F.sum("n_section").alias("n_section"), F.sum("n_chunks").alias("n_chunks"))
+    return sums.filter("n_section > n_chunks")
 
 
 def chunk_stats(chunks: DataFrame) -> DataFrame:

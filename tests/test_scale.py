@@ -2,9 +2,11 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from lodestone.functions import quotes
 from lodestone.jobs import adapters
-from lodestone.operators import golden
+from lodestone.operators import audit, golden
 from lodestone.sources import tables
 
 
@@ -43,3 +45,24 @@ def test_quotes_are_looked_up_where_chunks_are(spark, monkeypatch):
         assert "SortMergeJoin" not in plan(golden.quote_not_in_chunk(g, chunks))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_missing_words_are_compared_where_the_chunk_is(spark):
+    dealt = random.Random(8)
+    text = lambda n: " ".join(dealt.choice("abcdé") for _ in range(n))
+    sections = [(f"s{i}", text(dealt.randint(0, 30))) for i in range(40)] + [("s1", "a a"), (None, "a b"), ("s50", None), ("s51", "x")]
+    chunks = [(f"c{i}", [f"s{dealt.randint(0, 40)}" for _ in range(dealt.randint(0, 3))], text(dealt.randint(0, 60))) for i in range(40)]
+    chunks += [chunks[3], ("c4", chunks[4][1], text(5)), (None, [None, "s2"], "a"), ("n", None, "a"), ("m", ["s3"], None)]
+    want = set()
+    for name in {s for s, _ in sections}:
+        own = " ".join(t or "" for s, t in sections if s == name).split()
+        inside = [w for _, ids, t in chunks for i in ids or [] if i == name and i is not None for w in (t or "").split()]
+        want |= {(name, w, own.count(w), inside.count(w)) for w in own if own.count(w) > inside.count(w)}
+    one = spark.createDataFrame(sections, "section_id string, content string")
+    found = audit.missing_words(one, spark.createDataFrame(chunks, "chunk_id string, section_ids array<string>, text string"))
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in found.collect())
+    # sections in one chunk: their words, all there, were dealt too
+    lone = spark.createDataFrame([(f"s{i}", text(200)) for i in range(20)], "section_id string, content string")
+    held = lone.select(F.concat(F.lit("c"), "section_id").alias("chunk_id"), F.array("section_id").alias("section_ids"), F.col("content").alias("text"))
+    assert audit.missing_words(lone, held).count() == 0
+    assert "MapInArrow" in plan(audit.missing_words(lone, held))
