@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html as html_lib
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: One token: a run of letters, digits and underscores, or any other single character that isn't blank.
-TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
+TOKEN = r"[a-zA-Z0-9_\p{L}\p{N}]+|[^a-zA-Z0-9_\s\p{L}\p{N}]"
 FENCE = "```"
 #: The wrapper tags whose contents are kept, with the pattern of their arguments.
 WRAPPERS = (
@@ -30,6 +31,11 @@ def _replace_all(text: Column, steps: list[tuple[str, str]]) -> Column:
     return reduce(lambda t, s: F.regexp_replace(t, s[0], s[1]), steps, text)
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often body names it (also in lambdas, for each element)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Without blanks of any kind at both ends."""
     return _replace_all(text, [(r"(?U)\A\s+", ""), (r"(?U)\s+\z", "")])
@@ -125,15 +131,15 @@ def split_blocks(content: Column) -> Column:
         ),
         lambda s: F.when(s["open"].isNull(), s["done"]).otherwise(F.array_append(s["done"], s["open"])),
     )
-    return F.filter(state, lambda b: F.trim(F.translate(b, "\t\r\n", "   ")) != "")
+    return F.filter(state, lambda b: b.rlike(r"[^ \t\r\n]"))
 
 
 def classify_block(block: Column) -> Column:
     """code, table, list or paragraph."""
-    body = strip(block)
-    return (
-        F.when(body.startswith(FENCE), "code")
+    return bound(
+        strip(block),
+        lambda body: F.when(body.startswith(FENCE), "code")
         .when(body.startswith("|") & body.contains("\n"), "table")
         .when(body.rlike(r"\A(?:[-*+]|\d+[.)])\s"), "list")
-        .otherwise("paragraph")
+        .otherwise("paragraph"),
     )

@@ -6,10 +6,14 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import quotes
 from lodestone.jobs import adapters
-from lodestone.operators import audit, golden
+from lodestone.jobs.registry import QUERIES
+from lodestone.operators import audit, chunking, golden
 from lodestone.sources import tables
 
 
+SMOKE = "/root/testdata/sf0.001"
+
+
 def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -66,3 +70,15 @@ def test_missing_words_are_compared_where_the_chunk_is(spark):
     held = lone.select(F.concat(F.lit("c"), "section_id").alias("chunk_id"), F.array("section_id").alias("section_ids"), F.col("content").alias("text"))
     assert audit.missing_words(lone, held).count() == 0
     assert "MapInArrow" in plan(audit.missing_words(lone, held))
+
+
+def test_blocks_of_a_small_table_are_split_by_many_tasks(spark):
+    made = plan(QUERIES["split_blocks_whole"](spark, SMOKE))
+    assert "REPARTITION_BY_NUM" in made  # one file, of one task, makes 300 times its bytes of text
+
+
+def test_only_glossary_pages_are_joined(spark):
+    docs = adapters.sectioned_documents(spark, SMOKE)
+    kept = chunking.fold_glossary(chunking.prepared(docs.select("document", "inherited_api", F.inline("sections"))))
+    whole = plan(kept)
+    assert "Union" in whole.split("Join")[0]  # what is no glossary page goes past the joins
