@@ -10,8 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestone.sources.tables import cut_lineage
+
 #: Questions that are broadcast at a time (of 1536 doubles: 25 MB).
 QUERY_BLOCK = 2_000
+#: Questions whose scores with a batch of chunks are held at a time.
+TILE = 256
 
 
 def _unit(vectors: pd.Series) -> np.ndarray:
@@ -19,15 +23,54 @@ def _unit(vectors: pd.Series) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Which of a query's scores can be among its first k by score to 12 places, then id: those k, and scores that lie so
+    near to a half of the last place that only the JVM's rounding tells."""
+    scaled = scores * 1e12 + 0.5
+    low, high = np.floor(scaled - 1e-3), np.floor(scaled + 1e-3)
+    if len(ids) <= k:
+        return np.arange(len(ids))
+    least = np.partition(low, -k)[-k]
+    some = np.nonzero(high >= least)[0]
+    some = some[np.lexsort((ids[some], -low[some]))]
+    last = some[k - 1]
+    return some[(np.arange(len(some)) < k) | (high[some] > low[last]) | ((high[some] == low[last]) & (ids[some] <= ids[last]))]
+
+
+def _nearest(q: np.ndarray, batches: Iterator[tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(query, chunk ids, scores): what can be among the first k of all batches (ids, unit vectors); k are carried along."""
+    held: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(q)
+    least = np.full(len(q), -np.inf)
+    for ids, x in batches:
+        for start in range(0, len(q), TILE):
+            scores = q[start : start + TILE] @ x.T
+            for i in np.nonzero(scores.max(axis=1) >= least[start : start + TILE] - 2e-12)[0]:
+                n = start + i
+                some = np.nonzero(scores[i] >= least[n] - 2e-12)[0]
+                own, at = scores[i][some], ids[some]
+                if held[n] is not None:
+                    at, own = np.concatenate([held[n][0], at]), np.concatenate([held[n][1], own])
+                best = _best(own, at, k)
+                held[n] = (at[best], own[best])
+                if len(best) >= k:
+                    least[n] = np.partition(own[best], -k)[-k]
+    for n, pair in enumerate(held):
+        if pair is not None:
+            yield n, *pair
+
+
 def vector_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, chunk_id, score: the k chunks most similar to each query; ties to the smaller chunk_id.
 
     queries: query_id, embedding; chunks: chunk_id, embedding.  Blocks of queries are broadcast, chunks stay
-    where they are, and only k rows for each query and partition are shuffled.
+    where they are, and only k rows for each query and partition are shuffled, ties among them left out.
     """
     spark, kinds = chunks.sparkSession, {**dict(queries.dtypes), **dict(chunks.dtypes)}
     queries = queries.select("query_id", "embedding").filter("embedding is not null")
-    parts = max(1, -(-queries.count() // block))
+    count = queries.count()
+    parts = max(1, -(-count // block))
+    if parts > 1:  # each block reads both: vectors are worked out once
+        queries, chunks = cut_lineage(queries), cut_lineage(chunks.select("chunk_id", "embedding"))
     found = None
     for part in range(parts):
         mine = queries if parts == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
@@ -36,12 +79,11 @@ def vector_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, block: int =
 
         def compare(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             ids, q = shared.value
-            for pdf in batches:
-                if len(pdf) and len(ids):
-                    scores = q @ _unit(pdf["embedding"]).T
-                    least = np.partition(scores, -k, axis=1)[:, -k] if len(pdf) > k else np.full(len(ids), -np.inf)
-                    r, c = np.nonzero(scores >= least[:, None] - 1e-12)
-                    yield pd.DataFrame({"query_id": ids[r], "chunk_id": pdf["chunk_id"].to_numpy()[c], "score": scores[r, c]})
+            if len(ids):
+                out: list[tuple[int, np.ndarray, np.ndarray]] = list(_nearest(q, ((pdf["chunk_id"].to_numpy(), _unit(pdf["embedding"])) for pdf in batches if len(pdf)), k))
+                if out:
+                    places = np.repeat([n for n, *_ in out], [len(at) for _, at, _ in out])
+                    yield pd.DataFrame({"query_id": ids[places], "chunk_id": np.concatenate([at for _, at, _ in out]), "score": np.concatenate([own for *_, own in out])})
 
         out = chunks.select("chunk_id", "embedding").filter("embedding is not null").mapInPandas(compare, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double")
         found = out if found is None else found.unionByName(out)

@@ -2,12 +2,13 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lodestone.functions import quotes
 from lodestone.jobs import adapters
 from lodestone.jobs.registry import QUERIES
-from lodestone.operators import audit, chunking, golden
+from lodestone.operators import audit, chunking, golden, retrieval
 from lodestone.sources import tables
 
 
@@ -82,3 +83,21 @@ def test_only_glossary_pages_are_joined(spark):
     kept = chunking.fold_glossary(chunking.prepared(docs.select("document", "inherited_api", F.inline("sections"))))
     whole = plan(kept)
     assert "Union" in whole.split("Join")[0]  # what is no glossary page goes past the joins
+
+
+def test_equal_scores_are_cut_in_each_partition(spark):
+    dealt = np.random.default_rng(3)
+    x = dealt.integers(0, 3, (300, 3)).astype(float) + [0, 0, 1]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = dealt.permutation(300)
+    found = list(retrieval._nearest(x[:40], ((ids[i : i + 7], x[i : i + 7]) for i in range(0, 300, 7)), 4))
+    assert all(len(at) <= 8 for _, at, _ in found)  # all of the same score came out, for each batch
+    for n, at, _ in found:
+        first = sorted(range(300), key=lambda i: (-round(float(x[n] @ x[i]), 12), ids[i]))[:4]
+        assert {ids[i] for i in first} <= set(at.tolist())
+    stored = spark.createDataFrame([(f"c{ids[i]:03d}", x[i].tolist()) for i in range(300)], "chunk_id string, embedding array<double>").repartition(3)
+    asked = spark.createDataFrame([(n, x[n].tolist()) for n in range(40)], "query_id long, embedding array<double>")
+    got = {}
+    for r in retrieval.vector_topk(asked, stored, 4, block=15).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.chunk_id)
+    assert got == {n: [f"c{ids[i]:03d}" for i in sorted(range(300), key=lambda i: (-round(float(x[n] @ x[i]), 12), ids[i]))[:4]] for n in range(40)}
